@@ -41,45 +41,51 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return found
 
 
+def _ascii_part(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if ord(c) < 128)
+
+
 @lru_cache(maxsize=1)
 def _ascii_forms() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decompositions that contain ASCII, from the Unicode database.
+    """ASCII parts of compatibility decompositions, from the Unicode database.
 
-    Returns (characters, their single ASCII characters, characters with longer forms).
+    Returns (lower-case characters with one ASCII character, those characters, characters
+    of any case with a longer form). Forms are those of the lower-case character; capitals
+    left in them separate words, as any character outside a slug does.
     """
-    single_from, single_to, longer = [], [], {}
+    one_from, one_to, longer = [], [], {}
     for code in range(128, sys.maxunicode + 1):
         char = chr(code)
-        form = unicodedata.normalize("NFKD", char)
-        if form == char:
-            continue
-        ascii_part = "".join(c for c in form if ord(c) < 128)
-        if len(ascii_part) == 1:
-            single_from.append(char)
-            single_to.append(ascii_part)
-        elif ascii_part:
-            longer[char] = ascii_part
-    return "".join(single_from), "".join(single_to), longer
-
-
-def to_ascii(text: Column) -> Column:
-    """Compatibility-decompose and keep the ASCII part, inside the JVM.
-
-    Characters with one ASCII letter go through `translate`; the rare ones with several
-    are mapped one by one, only in rows that hold any.
-    """
-    single_from, single_to, longer = _ascii_forms()
-    mapping = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in longer) + "]"
-    expanded = F.when(
-        text.rlike(rare),
-        F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(mapping[c], c)), ""),
-    ).otherwise(text)
-    simple = F.when(
-        expanded.rlike(r"[^\x00-\x7f]"),
-        F.regexp_replace(F.translate(expanded, single_from, single_to), r"[^\x00-\x7f]+", ""),
+        form = "".join(_ascii_part(c) for c in char.lower())
+        if len(form) == 1 and char == char.lower():
+            one_from.append(char)
+            one_to.append(form)
+        elif len(form) > 1:
+            longer[char] = "".join("-" if c.isupper() else c for c in form)
+    return "".join(one_from), "".join(one_to), longer
+
+
+def _ranges(codes: list[int]) -> str:
+    """Inside of a character class for code points, neighbours joined to ranges."""
+    spans: list[list[int]] = []
+    for code in sorted(codes):
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+
+
+def _expand(text: Column) -> Column:
+    """Spell out characters with longer ASCII forms; only rows that hold any are taken apart."""
+    _, _, longer = _ascii_forms()
+    rare = _ranges([ord(c) for c in longer])
+    forms = F.str_to_map(
+        F.lit("\x01".join(f"{c}\x02{form}" for c, form in longer.items())), F.lit("\x01"), F.lit("\x02")
     )
-    return F.coalesce(simple, expanded)
+    pieces = F.regexp_extract_all(text, F.lit(f"[^{rare}]+|[{rare}]"), F.lit(0))
+    spelled = F.array_join(F.transform(pieces, lambda p: F.coalesce(forms[p], p)), "")
+    return F.when(text.rlike(f"[{rare}]"), spelled).otherwise(text)
 
 
 def transliterate(text: Column) -> Column:
@@ -92,13 +98,19 @@ def transliterate(text: Column) -> Column:
 
 
 def slugify(title: Column, date: Column | None = None) -> Column:
-    """Url-safe form of a title, with the date appended unless it is the undated marker."""
-    plain = to_ascii(transliterate(title))
+    """Url-safe form of a title, with the date appended unless it is the undated marker.
+
+    Every step uses the one before once, so the chain is evaluated once per row.
+    """
+    one_from, one_to, _ = _ascii_forms()
+    latin = F.translate(transliterate(_expand(title)), one_from, one_to)
+    plain = F.regexp_replace(latin, r"[^\x00-\x7f]+", "")
     dashed = F.regexp_replace(plain, "[^a-z0-9]+", "-")
     slug = F.substring(F.trim(dashed, F.lit("-")), 1, vocab.SLUG_LENGTH)
     if date is None:
         return slug
-    return F.when(date == vocab.ALWAYS, slug).otherwise(F.concat(slug, F.lit("-"), date))
+    suffix = F.when(date == vocab.ALWAYS, "").otherwise(F.concat(F.lit("-"), date))
+    return F.concat(slug, suffix)
 
 
 def normalize_text(text: Column) -> Column:

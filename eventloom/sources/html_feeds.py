@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
@@ -20,9 +19,6 @@ from ..operators.ranking import drop_repeats, last_n
 from ..schemas import arrival, card_columns
 from . import htmltree
 
-# Executors get the small parser with the task, whether or not the package is installed there.
-cloudpickle.register_pickle_by_value(htmltree)
-
 KEPT = ["source", "city", "url", "page"]
 
 
@@ -183,13 +179,14 @@ def page_links(html: Column) -> Column:
     live = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
     anchors = F.regexp_extract_all(live, F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
     attribute = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    hrefs = F.transform(
-        anchors,
-        lambda a: F.concat(*[F.regexp_extract(a, attribute, group) for group in (1, 2, 3)]),
-    )
-    for entity, char in _LINK_ENTITIES:
-        hrefs = F.transform(hrefs, lambda h, e=entity, c=char: F.replace(h, F.lit(e), F.lit(c)))
-    return F.filter(hrefs, lambda h: h != "")
+
+    def target(anchor):
+        href = F.concat(*[F.regexp_extract(anchor, attribute, group) for group in (1, 2, 3)])
+        for entity, char in _LINK_ENTITIES:
+            href = F.replace(href, F.lit(entity), F.lit(char))
+        return href
+
+    return F.filter(F.transform(anchors, target), lambda h: h != "")
 
 
 def listing_links(raw: DataFrame, pattern: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import vocab
 from ..functions import dates, predicates, prices, types
@@ -30,7 +30,7 @@ def sitemap_urls(raw: DataFrame, pattern: str | None = None) -> DataFrame:
     return urls.filter(F.col("url").rlike(pattern)) if pattern else urls
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _flatten_deep(blocks: pd.Series) -> pd.Series:
     """Objects of lists and graphs nested deeper than the expressions below unfold."""
 
