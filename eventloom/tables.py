@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from . import vocab
-from .operators.cards import manual_guard
+from .operators.cards import failed_rules, manual_guard
 from .operators.ranking import drop_repeats
 from .schemas import EVENT, HEALTH, RAW, VENUE, ddl, shape
 from .session import cut_lineage
@@ -26,6 +26,12 @@ def _children(spark: SparkSession, path: str) -> list:
     return fs, (list(fs.listStatus(folder)) if fs.exists(folder) else [])
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to a folder was completed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 @dataclass
 class WriteCounts:
     inserted: int = 0
@@ -41,14 +47,14 @@ class KeyedTable:
         self.partition_by = partition_by
 
     def _versions(self, complete_only: bool = True) -> list[int]:
-        fs, statuses = _children(self.spark, self.path)
-        found = []
-        for status in statuses:
-            name = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v=") and (not complete_only or fs.exists(done)):
-                found.append(int(name[2:]))
-        return sorted(found)
+        _, statuses = _children(self.spark, self.path)
+        names = [s.getPath().getName() for s in statuses]
+        return sorted(
+            int(name[2:])
+            for name in names
+            if name.startswith("v=")
+            and (not complete_only or finished(self.spark, f"{self.path}/{name}"))
+        )
 
     def read(self) -> DataFrame:
         versions = self._versions()
@@ -108,8 +114,6 @@ def upsert_venues(table: KeyedTable, venues: DataFrame, insert_only: bool = Fals
 def fetch_by_ids(table: KeyedTable, ids: DataFrame) -> DataFrame:
     """Stored rows under the given ids that still pass as events."""
     rows = table.read().join(ids.select("id").distinct(), "id", "left_semi")
-    from .operators.cards import failed_rules
-
     return rows.filter(F.size(failed_rules(rows)) == 0)
 
 
