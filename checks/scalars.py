@@ -289,15 +289,15 @@ def price_range(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1000 + user_id WHEN 3 THEN user_id ELSE 0 END AS price_min,
-  CASE event_id % 4 WHEN 0 THEN 20000 + user_id WHEN 3 THEN user_id ELSE 0 END AS price_max,
-  CASE event_id % 4 WHEN 0 THEN 'от 1 ' || lpad(CAST(user_id AS VARCHAR), 3, '0') || ' до 20 ' || lpad(CAST(user_id AS VARCHAR), 3, '0')
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1000 + user_id % 1000 WHEN 3 THEN user_id ELSE 0 END AS price_min,
+  CASE event_id % 4 WHEN 0 THEN 20000 + user_id % 1000 WHEN 3 THEN user_id ELSE 0 END AS price_max,
+  CASE event_id % 4 WHEN 0 THEN 'от 1 ' || lpad(CAST(user_id % 1000 AS VARCHAR), 3, '0') || ' до 20 ' || lpad(CAST(user_id % 1000 AS VARCHAR), 3, '0')
     WHEN 1 THEN 'бесплатно' WHEN 2 THEN 'уточняйте' ELSE user_id || ' руб' END AS price_text
 FROM events
 """)
 def price_from_text(spark, sf_dir):
     shown = expr(
-        "CASE event_id % 4 WHEN 0 THEN concat(' от 1 ', lpad(user_id, 3, '0'), ' до 20 ', lpad(user_id, 3, '0')) "
+        "CASE event_id % 4 WHEN 0 THEN concat(' от 1 ', lpad(user_id % 1000, 3, '0'), ' до 20 ', lpad(user_id % 1000, 3, '0')) "
         "WHEN 1 THEN 'Вход БЕСПЛАТНЫЙ' WHEN 2 THEN ' ' ELSE concat(user_id, ' руб') END"
     )
     read = T(spark, sf_dir, E).select("event_id", prices.price_from_text(shown).alias("p"))

@@ -87,16 +87,21 @@ def parse(html):
 
 
 class _Stripper(HTMLParser):
-    """Source text without some elements, everything else exactly as written."""
+    """Source text without some elements, everything else as written."""
 
     def __init__(self, dropped):
         super().__init__(convert_charrefs=False)
         self.dropped, self.depth, self.out, self.body = set(dropped), 0, [], None
+        self.end_at = 0
 
     def _raw(self, text):
         if not self.depth:
             self.out.append(text)
 
+    def parse_endtag(self, i):
+        self.end_at = i
+        return super().parse_endtag(i)
+
     def handle_starttag(self, tag, attrs):
         if tag in self.dropped:
             self.depth += tag not in VOID
@@ -113,27 +118,24 @@ class _Stripper(HTMLParser):
         if tag in self.dropped:
             self.depth = max(0, self.depth - 1)
         else:
-            self._raw(f"</{tag}>")
+            self._raw(self.rawdata[self.end_at : self.rawdata.find(">", self.end_at) + 1])
 
     def handle_data(self, data):
         self._raw(data)
 
-    def handle_entityref(self, name):
-        self._raw(f"&{name};")
-
-    def handle_charref(self, name):
-        self._raw(f"&#{name};")
-
     def handle_comment(self, data):
         self._raw(f"<!--{data}-->")
 
 
 def strip_tags(html, dropped):
     """The body of a page as source text without the dropped elements."""
+    html = html or ""
+    # Entities pass through untouched: their mark is swapped for an unused private character.
+    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in html)
     stripper = _Stripper(dropped)
-    stripper.feed(html or "")
+    stripper.feed(html.replace("&", mark))
     stripper.close()
-    text = "".join(stripper.out[stripper.body or 0:])
+    text = "".join(stripper.out[stripper.body or 0:]).replace(mark, "&")
     end = text.lower().rfind("</body>")
     return text[: end + 7] if end >= 0 else text
 
