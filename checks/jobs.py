@@ -30,7 +30,7 @@ def _cards_with_order(rows):
 
 
 def _counts(run):
-    totals = run.tally.groupBy("counter").agg(F.sum("n").alias("n"))
+    totals = run.tally().groupBy("counter").agg(F.sum("n").alias("n"))
     return totals.filter("n > 0")
 
 
@@ -63,7 +63,7 @@ def _post_inputs(spark, sf_dir):
         F.unix_timestamp(lit("2024-01-19 00:00:00")).cast("double").alias("date_unix"),
         arrival(lit(0), "turn"),
     )
-    taken, documents = feeds.post_documents(wall, now(), size=2, limit=3)
+    taken, documents = feeds.post_documents(wall, now(), size=2, limit=3, staging=scratch(spark))
     links = F.regexp_extract_all("document", F.lit(r"=== POST (\S+) ==="), F.lit(1))
     answers = documents.filter("chunk = 0 OR posts = 2").select(
         "doc_hash",
@@ -113,7 +113,7 @@ def _listing_run(spark, sf_dir):
         ).alias("content"),
     )
     stored = pages.filter("page % 10 = 1").select("url", F.sha2("content", 256).alias("hash"))
-    return feeds.listing_feed(pages, answers, day(), stored)
+    return feeds.listing_feed(pages, answers, day(), stored, scratch(spark))
 
 
 _LISTED = f"""
@@ -203,7 +203,7 @@ def generic_feed(spark, sf_dir):
     probes = pages.select(
         lit("none").alias("domain"), lit(0).alias("probe_order"), "url", lit(200).alias("status"), "content"
     )
-    run, _ = feeds.generic_feed(stored, probes, pages, answers, hashes, now(), 20, 5)
+    run, _ = feeds.generic_feed(stored, probes, pages, answers, hashes, now(), 20, 5, scratch(spark))
     return run.settled.filter("outcome = 'extracted'").select("source", "title")
 
 

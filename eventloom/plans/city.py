@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import vocab
 from ..operators import cards as card_ops, maintenance, merge, reports
 from ..schemas import CANDIDATE, EVENT, VENUE
+from ..session import staged
 from ..tables import KeyedTable, RawArchive, append_health, snapshot_upsert, upsert_venues
 from .feeds import FeedRun
 
@@ -68,12 +69,10 @@ def stage(feeds: list[Feed], city: str, path: str, fetched_at, raw: RawArchive)
         error = None
         try:
             run = feed.read()
-            run.settled.withColumn("feed_order", F.lit(order)).write.mode("overwrite").parquet(
-                f"{path}/settled/feed={order}"
-            )
-            run.tally.withColumn("feed_order", F.lit(order)).write.mode("overwrite").parquet(
-                f"{path}/tally/feed={order}"
-            )
+            numbered = run.settled.withColumn("feed_order", F.lit(order))
+            settled = staged(numbered, f"{path}/settled/feed={order}")
+            tally = run.tally(settled).withColumn("feed_order", F.lit(order))
+            tally.write.mode("overwrite").parquet(f"{path}/tally/feed={order}")
             if run.archive is not None:
                 raw.append(run.archive, fetched_at)
         except Exception as problem:  # one source must not take the run down
@@ -101,14 +100,14 @@ def run_city(
     """
     spark = tables.spark
     day, moment = F.lit(as_of), F.lit(now).cast("timestamp")
-    staged = tables.path(f"staging/{run_id}")
-    outcomes = stage(feeds, city, staged, moment, tables.raw)
+    folder = tables.path(f"staging/{run_id}")
+    outcomes = stage(feeds, city, folder, moment, tables.raw)
     good = [o[0] for o in outcomes if o[3] is None]
     if not good:
         raise RuntimeError("every feed failed: " + "; ".join(o[3] for o in outcomes))
 
-    settled = spark.read.parquet(*[f"{staged}/settled/feed={i}" for i in good])
-    tally = spark.read.schema(_TALLY).parquet(*[f"{staged}/tally/feed={i}" for i in good])
+    settled = spark.read.parquet(*[f"{folder}/settled/feed={i}" for i in good])
+    tally = spark.read.schema(_TALLY).parquet(*[f"{folder}/tally/feed={i}" for i in good])
 
     venues = card_ops.to_venues(settled.filter(F.col("outcome") == "venue"), F.lit("twogis"), moment)
     upsert_venues(tables.venues, venues)
@@ -116,20 +115,16 @@ def run_city(
     extracted = settled.filter(F.col("outcome") == "extracted").withColumn(
         "seq", F.struct("feed_order", "seq")
     )
-    rows = card_ops.to_event_rows(extracted, moment)
+    rows = staged(card_ops.to_event_rows(extracted, moment), f"{folder}/rows")
     stored = tables.events.read()
     full = [f.name for f in feeds if f.full_snapshot]
     current = rows.filter(F.col("source").isin(full)).select("source", "city", "id")
     kept, _ = maintenance.sync_snapshot(stored, current, day)
 
     peers = card_ops.stored_peers(rows, kept)
-    peers = peers.filter(F.size(card_ops.failed_rules(peers)) == 0)
-    merged = merge.merge_cards(rows, peers, priorities)
-    merged.write.mode("overwrite").parquet(f"{staged}/merged")
-    merged = spark.read.parquet(f"{staged}/merged")
-    pairs = merge.merge_pairs(rows, peers, priorities)
-    pairs.write.mode("overwrite").parquet(f"{staged}/pairs")
-    pairs = spark.read.parquet(f"{staged}/pairs")
+    peers = staged(peers.filter(F.size(card_ops.failed_rules(peers)) == 0), f"{folder}/peers")
+    merged = staged(merge.merge_cards(rows, peers, priorities), f"{folder}/merged")
+    pairs = staged(merge.merge_pairs(rows, peers, priorities), f"{folder}/pairs")
 
     # One new version of the table: what the snapshot sync left, the merged cards, nothing past.
     known = merged.join(stored.select("id"), "id", "left_semi").count()

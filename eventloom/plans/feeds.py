@@ -7,7 +7,7 @@ a later run reads the answers by document hash or page url.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,15 +17,28 @@ from ..operators import cards as card_ops, discovery, posts as post_ops
 from ..sources.json_feeds import model_responses
 from ..sources.structured import jsonld_events, structured_or_model
 from ..schemas import CARD
+from ..session import staged
 
 
 @dataclass
 class FeedRun:
-    """Settled cards, the counters behind them, and documents to archive."""
+    """Settled cards, the counters they do not tell, and documents to archive.
+
+    `discovered` and `new` say whether those counters follow from the settled cards.
+    """
 
     settled: DataFrame
-    tally: DataFrame
+    extra: list[DataFrame] = field(default_factory=list)
     archive: DataFrame | None = None
+    discovered: bool = True
+    new: bool = True
+
+    def tally(self, settled: DataFrame | None = None) -> DataFrame:
+        """(source, city, counter, n); `settled` is the staged form of the cards, if there is one."""
+        counted = count_settled(
+            self.settled if settled is None else settled, self.discovered, self.new
+        )
+        return reduce(DataFrame.unionByName, [counted, *self.extra])
 
 
 def settle(cards: DataFrame, as_of: Column | None = None, direct: bool = False) -> DataFrame:
@@ -52,15 +65,12 @@ def count_as(df: DataFrame, counter: str) -> DataFrame:
     )
 
 
-def count_settled(settled: DataFrame, discovered: bool = False, new: bool = True) -> DataFrame:
+def count_settled(settled: DataFrame, discovered: bool, new: bool) -> DataFrame:
     """Counters that follow from the settled cards, in one pass."""
-    is_new = F.col("outcome") == "extracted"
-    named = {
-        "extracted": is_new,
-        "skipped_always": F.col("outcome") == "skipped_always",
-    }
+    is_extracted = F.col("outcome") == "extracted"
+    named = {"extracted": is_extracted, "skipped_always": F.col("outcome") == "skipped_always"}
     if new:
-        named["new"] = is_new
+        named["new"] = is_extracted
     if discovered:
         named["discovered"] = F.lit(True)
     wide = settled.groupBy("source", "city").agg(
@@ -69,31 +79,30 @@ def count_settled(settled: DataFrame, discovered: bool = False, new: bool = True
     return wide.unpivot(["source", "city"], list(named), "counter", "n")
 
 
-def total(tallies: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tallies)
-
-
 def direct_feed(cards: DataFrame) -> FeedRun:
     """A feed that gives cards itself: undated ones become venues, the rest events."""
-    settled = settle(cards, direct=True)
-    return FeedRun(settled, count_settled(settled, discovered=True))
+    return FeedRun(settle(cards, direct=True))
 
 
 def group_event_feed(cards: DataFrame) -> FeedRun:
     """Communities that are events."""
-    settled = settle(cards)
-    return FeedRun(settled, count_settled(settled, discovered=True))
+    return FeedRun(settle(cards))
 
 
 def post_documents(
     posts: DataFrame, now: Column, hashes: DataFrame | None = None,
     source_type: Column | str = predicates.SOCIAL, size: int = 5, limit: int = 20,
+    staging: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(posts taken, documents to ask about). Documents are keyed by `doc_hash`."""
+    """(posts taken, documents to ask about). Documents are keyed by `doc_hash`.
+
+    With `staging` the posts taken are written there once and read from there after.
+    """
     group = ["source", "city", "group_url"]
     taken = post_ops.candidate_posts(posts, now, hashes, source_type, group, limit=limit)
     place = F.row_number().over(Window.partitionBy(*group).orderBy("seq"))
     placed = taken.withColumn("place", place).withColumn("chunk", F.floor((F.col("place") - 1) / size))
+    placed = staged(placed, staging and f"{staging}/posts")
     documents = post_ops.assemble_posts(placed.drop("chunk"), group, "place", size)
     documents = documents.withColumn("doc_hash", F.sha2("document", 256))
     return placed, documents
@@ -118,31 +127,33 @@ def post_feed(
     settled = settle(cards, as_of)
     key = ["source", "city", "group_url", "chunk"]
     done = taken.join(answered.select(*key), key, "left_semi")
-    tally = total([
+    extra = [
         count_as(taken, "discovered"),
         count_as(asked.filter(F.col("content").isNull()), "failed"),
-        count_settled(settled),
-    ])
+    ]
     archive = done.select(
         "source", "url", F.col("text").alias("content"), "hash", F.lit("post").alias("content_type")
     )
-    return FeedRun(settled, tally, archive)
+    return FeedRun(settled, extra, archive, discovered=False)
 
 
 def listing_feed(
-    pages: DataFrame, answers: DataFrame, as_of: Column, hashes: DataFrame | None = None
+    pages: DataFrame, answers: DataFrame, as_of: Column, hashes: DataFrame | None = None,
+    staging: str | None = None,
 ) -> FeedRun:
     """Listing pages read whole: structured data first, else the landed answer of the page.
 
     `pages` are landed rows with `event_type` (null: no structured data is tried) and
     `rendered` (hash the visible text only). Unchanged pages are skipped before anything
-    is read; pages that gave nothing are not archived.
+    is read; pages that gave nothing are not archived. With `staging` the structured cards
+    are written there once, so that pages are parsed once.
     """
     hashed = pages.withColumn("hash", text.content_hash(F.col("content"), F.col("rendered")))
     changed = hashed if hashes is None else card_ops.changed_docs(hashed, hashes)
     structured = jsonld_events(
         changed.filter(F.col("event_type").isNotNull()), F.col("event_type")
     )
+    structured = staged(structured, staging and f"{staging}/structured")
     asked = changed.select("source", "city", "url", "page").join(
         answers.select("url", "content"), "url"
     )
@@ -156,12 +167,9 @@ def listing_feed(
     ).distinct()
     key = ["source", "city", "url"]
     done = changed.join(read, key, "left_semi")
-    tally = total([
-        count_as(changed.join(read, key, "left_anti"), "failed"),
-        count_settled(settled, discovered=True),
-    ])
+    extra = [count_as(changed.join(read, key, "left_anti"), "failed")]
     archive = done.select("source", "url", "content", "hash", F.lit("html").alias("content_type"))
-    return FeedRun(settled, tally, archive)
+    return FeedRun(settled, extra, archive)
 
 
 def per_url_feed(
@@ -186,13 +194,12 @@ def per_url_feed(
     archive = pages.join(done, "url", "left_semi").select(
         "source", "url", "content", F.lit("html").alias("content_type")
     )
-    tally = total([
+    extra = [
         count_as(found, "discovered"),
         count_as(fresh, "new"),
         count_as(fresh.join(usable, "url", "left_anti"), "failed"),
-        count_settled(settled, new=False),
-    ])
-    return FeedRun(settled, tally, archive)
+    ]
+    return FeedRun(settled, extra, archive, discovered=False, new=False)
 
 
 def generic_feed(
@@ -204,6 +211,7 @@ def generic_feed(
     now: Column,
     domain_budget: int = 20,
     model_budget: int = 10,
+    staging: str | None = None,
 ) -> tuple[FeedRun, DataFrame]:
     """The long tail: one page of each approved domain, best domains first.
 
@@ -225,7 +233,7 @@ def generic_feed(
     raw = reading.filter("changed").select(
         "source", "city", F.col("listing_url").alias("url"), "content", F.col("place").alias("page")
     )
-    structured = jsonld_events(raw, "other")
+    structured = staged(jsonld_events(raw, "other"), staging and f"{staging}/structured")
     with_data = structured.select(F.col("source_url").alias("listing_url")).distinct().withColumn(
         "_structured", F.lit(True)
     )
@@ -250,10 +258,6 @@ def generic_feed(
     ).unionByName(
         turns.join(asked.select("url"), "url", "left_semi").select("source", "url", "content", "hash")
     )
-    tally = total([
-        count_as(unreadable, "failed"),
-        count_as(unanswered, "failed"),
-        count_settled(settled, discovered=True),
-    ])
+    extra = [count_as(unreadable, "failed"), count_as(unanswered, "failed")]
     archive = done.withColumn("content_type", F.lit("html"))
-    return FeedRun(settled, tally, archive), chosen
+    return FeedRun(settled, extra, archive), chosen

@@ -36,6 +36,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if small else df
 
 
+def staged(df: DataFrame, path: str | None) -> DataFrame:
+    """`df` written once and read back, for frames several later steps read; as it is without a path."""
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Checkpoint `df` in the shared folder that the session names.
 
