@@ -75,132 +75,137 @@ def jsonld_objects(raw: DataFrame, kept: list[str]) -> DataFrame:
     ).withColumn("_path", F.concat("_path", F.array("_at"))).drop("_at")
 
 
-def _kind(value: Column) -> Column:
-    """TEXT, OBJECT, ARRAY or another kind of a variant."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(shape == "STRING", "TEXT")
-        .when(shape.startswith("OBJECT"), "OBJECT")
-        .when(shape.startswith("ARRAY"), "ARRAY")
-        .otherwise("OTHER")
-    )
+def _is(value: Column, kind: str) -> Column:
+    """Whether a variant is a STRING, an OBJECT or an ARRAY."""
+    return F.startswith(F.schema_of_variant(value), F.lit(kind))
 
 
-def _get(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f'$["{name}"]', "variant")
+def _struct_of(value: Column, *names: str) -> Column:
+    """Fields of an object variant as a struct of variants, read in one pass; null for other kinds."""
+    fields = ",".join(f"`{name}`:variant" for name in names)
+    return F.try_variant_get(value, "$", f"struct<{fields}>")
 
 
 def text_of(value: Column) -> Column:
     """Trimmed text of a JSON string; null for any other kind of value."""
-    return F.when(_kind(value) == "TEXT", clean(F.try_variant_get(value, "$", "string")))
+    return F.when(_is(value, "STRING"), clean(F.try_variant_get(value, "$", "string")))
 
 
 def _first_of(value: Column) -> Column:
     """The value itself, or the first of a list."""
-    return F.when(_kind(value) == "ARRAY", F.get(_as_list(value), 0)).otherwise(value)
+    return F.when(_is(value, "ARRAY"), F.get(_as_list(value), 0)).otherwise(value)
+
+
+def _address_of(place: Column) -> Column:
+    parts = F.try_variant_get(
+        place, "$.address", "struct<streetAddress:variant,addressLocality:variant>"
+    )
+    joined = F.concat_ws(", ", text_of(parts["streetAddress"]), text_of(parts["addressLocality"]))
+    return F.coalesce(text_of(F.try_variant_get(place, "$.address", "variant")), present(joined))
 
 
 def join_address(location: Column) -> Column:
     """Address of a location: plain text, or street and locality of an address object."""
-    address = _get(_first_of(location), "address")
-    parts = F.concat_ws(
-        ", ", text_of(_get(address, "streetAddress")), text_of(_get(address, "addressLocality"))
-    )
-    return F.when(_kind(address) == "TEXT", text_of(address)).otherwise(present(parts))
+    return _address_of(_first_of(location))
 
 
 def pick_image(value: Column) -> Column:
     """Picture url: text, an object's url, or the first usable entry of a list."""
-    one = lambda v: F.when(_kind(v) == "TEXT", text_of(v)).otherwise(text_of(_get(v, "url")))
-    many = F.filter(F.transform(_as_list(value), one), lambda u: u.isNotNull())
-    return F.when(_kind(value) == "ARRAY", F.try_element_at(many, F.lit(1))).otherwise(one(value))
+    one = lambda v: F.coalesce(text_of(v), text_of(F.try_variant_get(v, "$.url", "variant")))
+    usable = F.filter(F.transform(_as_list(value), one), lambda u: u.isNotNull())
+    return F.coalesce(one(value), F.try_element_at(usable, F.lit(1)))
 
 
 def pick_organizer(value: Column) -> Column:
     """Organizer: text, or the name of an object, first of a list."""
     one = _first_of(value)
-    return F.when(_kind(one) == "OBJECT", text_of(_get(one, "name"))).otherwise(text_of(one))
+    return F.coalesce(text_of(F.try_variant_get(one, "$.name", "variant")), text_of(one))
 
 
 def _offer_price(value: Column) -> Column:
     number = F.try_variant_get(value, "$", "double").try_cast("int")
-    return (
-        F.when(_kind(value) == "TEXT", prices.whole_price(F.try_variant_get(value, "$", "string")))
-        .when(F.schema_of_variant(value) != "BOOLEAN", number)
-    )
+    text = prices.whole_price(F.try_variant_get(value, "$", "string"))
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "STRING", text).when(kind != "BOOLEAN", number)
 
 
 def offer_prices(offers: Column) -> Column:
     """Every price of an offer or a list of offers, null where one is not given."""
-    listed = F.coalesce(
-        F.when(_kind(offers) == "ARRAY", _as_list(offers)),
-        F.when(_kind(offers) == "OBJECT", F.array(offers)),
-    )
-    return F.flatten(
-        F.transform(
-            listed,
-            lambda o: F.array(
-                *[_offer_price(_get(o, name)) for name in ("price", "lowPrice", "highPrice")]
-            ),
-        )
+    names = ("price", "lowPrice", "highPrice")
+    listed = F.transform(
+        F.coalesce(_as_list(offers), F.array(offers)), lambda o: _struct_of(o, *names)
     )
+    return F.flatten(F.transform(listed, lambda o: F.array(*[_offer_price(o[n]) for n in names])))
 
 
 def jsonld_events(raw: DataFrame, default_type: Column | str = "other") -> DataFrame:
     """Event objects of the pages' structured data as cards.
 
     Objects without a name of three letters, a date, a venue and an address are dropped.
-    `source_url` is the page; the event's own link stays in `event_url`.
+    `source_url` is the page; the event's own link stays in `event_url`. Fields are read in
+    stages, and the test for complete cards sits inside the generator, so that no value is
+    computed a second time for a filter.
     """
     kept = ["source", "city", "url", "page"]
-    column = isinstance(default_type, Column)
-    pages = raw.withColumn("_default", default_type if column else F.lit(default_type))
-    found = jsonld_objects(
-        pages.filter(F.col("content").contains("ld+json")), [*kept, "_default"]
+    given = default_type if isinstance(default_type, Column) else F.lit(default_type)
+    pages = raw.filter(F.col("content").contains("ld+json")).withColumn("_default", given)
+    found = jsonld_objects(pages, [*kept, "_default"])
+    fields = _struct_of(
+        F.col("obj"), "@type", "name", "startDate", "endDate", "location", "offers", "url", "@id",
+        "image", "description", "organizer",
     )
-    obj = F.col("obj")
-    kind = _get(obj, "@type")
-    names = F.coalesce(
-        F.transform(F.when(_kind(kind) == "ARRAY", _as_list(kind)), text_of),
-        F.array(F.when(_kind(kind) == "TEXT", F.try_variant_get(kind, "$", "string"))),
+    f = lambda name: F.col("f").getField(name)
+    # An empty url counts as none, a blank one does not.
+    url = F.when(_is(f("url"), "STRING"), present(F.try_variant_get(f("url"), "$", "string")))
+    opened = found.select(*kept, "_default", "_path", fields.alias("f")).select(
+        *kept, "_default", "_path",
+        _first_of(f("location")).alias("place"),
+        F.coalesce(_as_list(f("@type")), F.array(f("@type"))).alias("kinds"),
+        offer_prices(f("offers")).alias("prices"),
+        text_of(f("name")).alias("name"),
+        text_of(f("startDate")).alias("start"),
+        text_of(f("endDate")).alias("end"),
+        pick_image(f("image")).alias("image"),
+        text_of(f("description")).alias("about"),
+        pick_organizer(f("organizer")).alias("organizer"),
+        F.coalesce(url, text_of(f("@id"))).alias("link"),
     )
-    events = found.withColumn("_types", F.array_compact(names)).filter(
-        predicates.is_jsonld_event(F.col("_types"))
+    event = F.struct(
+        "name", "image", "organizer", "link",
+        dates.iso_date_part(F.col("start")).alias("date"),
+        dates.iso_time_part(F.col("start")).alias("starts"),
+        dates.iso_time_part(F.col("end")).alias("ends"),
+        text_of(F.try_variant_get("place", "$.name", "variant")).alias("venue"),
+        _address_of(F.col("place")).alias("address"),
+        clean_description(F.col("about")).alias("about"),
+        F.array_compact(F.transform("kinds", text_of)).alias("kinds"),
+        prices.price_range(F.col("prices")).alias("price"),
     )
-    start, end = text_of(_get(obj, "startDate")), text_of(_get(obj, "endDate"))
-    link = F.coalesce(
-        F.when(_kind(_get(obj, "url")) != "TEXT", F.lit(None)).otherwise(
-            present(F.try_variant_get(obj, "$.url", "string"))
-        ),
-        text_of(_get(obj, "@id")),
+    complete = lambda e: (
+        predicates.is_jsonld_event(e["kinds"]) & (F.length(e["name"]) >= 3)
+        & e["date"].isNotNull() & e["venue"].isNotNull() & e["address"].isNotNull()
     )
-    events = (
-        events.withColumn("_title", text_of(_get(obj, "name")))
-        .withColumn("_date", dates.iso_date_part(start))
-        .withColumn("_venue", text_of(_get(_first_of(_get(obj, "location")), "name")))
-        .withColumn("_address", join_address(_get(obj, "location")))
-        .filter(
-            (F.length("_title") >= 3) & F.col("_date").isNotNull()
-            & F.col("_venue").isNotNull() & F.col("_address").isNotNull()
-        )
-        .withColumn("_price", prices.price_range(offer_prices(_get(obj, "offers"))))
+    read = opened.select(*kept, "_default", "_path", event.alias("e"))
+    events = read.select(
+        *kept, "_default", "_path", F.explode(F.filter(F.array("e"), complete)).alias("e")
     )
+    e = lambda name: F.col(f"e.{name}")
     return events.select(
         *card_columns({
-            "title": F.substring("_title", 1, vocab.TITLE_LENGTH),
-            "type": types.map_type_by_schema(F.col("_types"), F.col("_default")),
-            "date": F.col("_date"),
-            "time_start": dates.iso_time_part(start),
-            "time_end": dates.iso_time_part(end),
-            "price_min": F.col("_price.price_min"),
-            "price_max": F.col("_price.price_max"),
-            "price_text": F.col("_price.price_text"),
-            "address": F.col("_address"),
-            "venue_name": F.col("_venue"),
-            "image_url": pick_image(_get(obj, "image")),
-            "description": clean_description(text_of(_get(obj, "description"))),
-            "organizer": pick_organizer(_get(obj, "organizer")),
-            "event_url": F.when(~link.startswith("#"), clean(link)),
+            "title": F.substring(e("name"), 1, vocab.TITLE_LENGTH),
+            "type": types.map_type_by_schema(e("kinds"), F.col("_default")),
+            "date": e("date"),
+            "time_start": e("starts"),
+            "time_end": e("ends"),
+            "price_min": e("price")["price_min"],
+            "price_max": e("price")["price_max"],
+            "price_text": e("price")["price_text"],
+            "address": e("address"),
+            "venue_name": e("venue"),
+            "image_url": e("image"),
+            "description": e("about"),
+            "organizer": e("organizer"),
+            "event_url": F.when(~e("link").startswith("#"), clean(e("link"))),
         }),
         "source", "city", F.col("url").alias("source_url"),
         F.struct("page", F.transform("_path", lambda p: p.cast("long")).alias("pos")).alias("seq"),
