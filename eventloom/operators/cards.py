@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab
 from ..functions import dates, predicates, text, types, urls
 from ..schemas import EVENT, REQUIRED, VENUE, shape
+from ..session import checked_broadcast
 
 
 def failed_rules(df: DataFrame) -> Column:
@@ -140,4 +141,4 @@ def manual_guard(venues: DataFrame, stored: DataFrame) -> DataFrame:
 
 def drop_known_domains(hits: DataFrame, known: DataFrame) -> DataFrame:
     """Hits of domains neither configured nor rejected; `known` has one column `domain`."""
-    return hits.join(known.select("domain").distinct(), "domain", "left_anti")
+    return hits.join(checked_broadcast(known.select("domain").distinct()), "domain", "left_anti")

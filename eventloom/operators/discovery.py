@@ -25,7 +25,8 @@ def first_answering(hits: DataFrame, providers: list[str] = vocab.SEARCH_PROVIDE
     order = F.array_position(F.array(*[F.lit(p) for p in providers]), F.col("provider"))
     ranked = hits.withColumn("_rank", order).filter(F.col("_rank") > 0)
     best = ranked.groupBy("query").agg(F.min("_rank").alias("_rank"))
-    return ranked.join(best, ["query", "_rank"], "left_semi").select(*hits.columns)
+    kept = ranked.join(checked_broadcast(best), ["query", "_rank"], "left_semi")
+    return kept.select(*hits.columns)
 
 
 def collect_candidates(

@@ -14,7 +14,17 @@ def upcoming(events: DataFrame, now: Column, city: str | None = None) -> DataFra
     """Dated events from the city's own today on."""
     rows = events.filter(F.col("city") == city) if city else events
     today = dates.local_today(now, F.col("city"))
-    return rows.filter(dates.event_date(F.col("date")) >= today)
+    earliest = F.date_sub(now.cast("date"), 1)
+    return not_before(rows, earliest).filter(dates.event_date(F.col("date")) >= today)
+
+
+def not_before(events: DataFrame, day: Column) -> DataFrame:
+    """A coarse cut by date text that the file scan can apply.
+
+    Padded dates order as text, unpadded ones never come before their padded form, and the
+    undated marker comes last, so no row dated on `day` or later is lost.
+    """
+    return events.filter(F.col("date") >= day.cast("string"))
 
 
 def event_by_slug(events: DataFrame, city: str, slug: str) -> DataFrame:
@@ -39,11 +49,12 @@ def apply_filters(
     if types_chosen is not None:
         kept = kept.filter(F.col("type").isin(types_chosen))
     if when == "today":
-        return kept.filter(day == as_of)
+        return not_before(kept, as_of).filter(day == as_of)
     if when == "tomorrow":
-        return kept.filter(day == F.date_add(as_of, 1))
+        return not_before(kept, as_of).filter(day == F.date_add(as_of, 1))
     if when == "weekend":
-        return kept.filter(F.array_contains(dates.weekend_days(as_of), day))
+        weekend = dates.weekend_days(as_of)
+        return not_before(kept, as_of).filter(F.array_contains(weekend, day))
     if when != "any":
         raise ValueError(f"unknown day filter {when!r}")
     return kept
@@ -59,9 +70,9 @@ def venues_by_type(venues: DataFrame) -> DataFrame:
 
 def first_venues(venues: DataFrame, n: int = 8) -> DataFrame:
     """The first venues of a page with the total and whether there are more."""
-    total = venues.agg(F.count(F.lit(1)).alias("total"))
+    total = venues.agg(F.count(F.lit(1))).scalar()
     shown = venues_by_type(venues).limit(n)
-    return shown.join(total, how="left", on=F.lit(True)).withColumn("show_all", F.col("total") > n)
+    return shown.withColumn("total", total).withColumn("show_all", F.col("total") > n)
 
 
 def sample(df: DataFrame, n: int, *order) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import vocab
 from ..operators import cards as card_ops, maintenance, merge, reports
 from ..schemas import CANDIDATE, EVENT, VENUE
-from ..session import staged
+from ..session import checked_broadcast, staged
 from ..tables import KeyedTable, RawArchive, append_health, snapshot_upsert, upsert_venues
 from .feeds import FeedRun
 
@@ -183,7 +183,7 @@ def health_rows(parts: DataFrame, run_at) -> DataFrame:
 
 def refresh_venues(tables: Tables, catalog: DataFrame, rendered: DataFrame, now) -> dict:
     """Venues from the catalog, or from rendered pages for cities where the catalog gave none."""
-    filled = catalog.select("city").distinct()
+    filled = checked_broadcast(catalog.select("city").distinct())
     moment = F.lit(now).cast("timestamp")
     fallback = rendered.join(filled, "city", "left_anti")
     venues = card_ops.to_venues(catalog, F.lit("twogis"), moment).unionByName(

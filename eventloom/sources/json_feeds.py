@@ -28,8 +28,8 @@ def open_items(raw: DataFrame, envelope: str, items: Column, layout: str) -> Dat
             "source", "city", "url",
             arrival("page", "_pos"), "item_text",
         )
+        .filter(F.ltrim("item_text").startswith("{"))
         .withColumn("item", F.from_json("item_text", layout))
-        .filter(F.col("item").isNotNull())
     )
 
 

@@ -101,7 +101,7 @@ def stream_changed_docs(
             newest = F.max_by(F.struct(*batch.columns), F.struct("fetched_at", "content"))
             latest = batch.groupBy("url").agg(newest.alias("r")).select("r.*")
             hashed = latest.withColumn("hash", F.sha2("content", 256))
-            changed = card_ops.changed_docs(hashed, archive.hashes())
+            changed = card_ops.changed_docs(hashed, archive.hashes(hashed))
             changed.select(*RAW).write.mode("overwrite").parquet(folder)
         written = batch.sparkSession.read.schema(ddl(RAW)).parquet(folder)
         archive.append(written, F.col("fetched_at"))

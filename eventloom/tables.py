@@ -135,9 +135,15 @@ class RawArchive:
             "append"
         ).partitionBy("fetch_day").parquet(self.path)
 
-    def hashes(self) -> DataFrame:
-        """(url, hash) as last stored: only the two small columns are read and moved."""
-        return self._log().groupBy("url").agg(
+    def hashes(self, urls: DataFrame | None = None) -> DataFrame:
+        """(url, hash) as last stored, of all urls or of the given ones.
+
+        Only the small columns are read and moved, contents never.
+        """
+        log = self._log()
+        if urls is not None:
+            log = log.join(urls.select("url").distinct(), "url", "left_semi")
+        return log.groupBy("url").agg(
             F.max_by("hash", F.struct("fetched_at", "hash")).alias("hash")
         )
 
