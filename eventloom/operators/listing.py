@@ -182,7 +182,7 @@ def venue_jsonld(venues: DataFrame, site: str) -> DataFrame:
     return venues.withColumns({"place_json": F.to_json(place), "crumbs_json": crumbs_text})
 
 
-def map_url(name: Column, address: Column, search: str = "https://2gis.ru/search/") -> Column:
+def map_url(name: Column, address: Column, search: str = vocab.MAP_SEARCH) -> Column:
     """Map search for a place."""
     query = F.trim(F.concat_ws(" ", name, F.coalesce(address, F.lit(""))))
     return F.concat(F.lit(search), percent_encode(query))

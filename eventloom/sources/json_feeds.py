@@ -22,15 +22,20 @@ KEPT = ["source", "city", "url", "page"]
 def open_items(raw: DataFrame, envelope: str, items: Column, layout: str) -> DataFrame:
     """One row per item: the kept columns, `seq`, the item's text and its fields as `item`."""
     opened = raw.select(*KEPT, F.from_json("content", envelope).alias("_page"))
-    return (
-        opened.select(*KEPT, F.posexplode(items).alias("_pos", "item_text"))
-        .select(
-            "source", "city", "url",
-            arrival("page", "_pos"), "item_text",
-        )
-        .filter(F.ltrim("item_text").startswith("{"))
-        .withColumn("item", F.from_json("item_text", layout))
+    texts = opened.select(*KEPT, F.posexplode(items).alias("_pos", "item_text")).select(
+        "source", "city", "url", arrival("page", "_pos"), "item_text"
     )
+    return parse_items(texts.filter(F.ltrim("item_text").startswith("{")), layout)
+
+
+def parse_items(texts: DataFrame, layout: str, column: str = "item_text") -> DataFrame:
+    """Rows with their text parsed as `item`.
+
+    The parse sits in a generator: filters on fields stay above it, so each item is parsed
+    once instead of once more for every filter moved below a projection.
+    """
+    parsed = F.explode(F.array(F.from_json(column, layout))).alias("item")
+    return texts.select(*texts.columns, parsed)
 
 
 def to_cards(items: DataFrame, values: dict[str, Column], source_url: Column) -> DataFrame:
@@ -73,8 +78,7 @@ def quiz_games(raw: DataFrame, site: str) -> DataFrame:
     games = open_items(raw, "data struct<data:array<string>>", F.col("_page.data.data"), layout)
     games = games.withColumn("_id", F.col("item.id"))
     games = drop_repeats(games.drop("item"), ["source", "city", "_id"], "seq", blank="_id")
-    item = F.from_json("item_text", layout)
-    games = games.withColumn("item", item)
+    games = parse_items(games, layout)
     start = dates.parse_dmy_clock(F.col("item.date"))
     price = F.coalesce(
         _int_of(F.coalesce(_truthy(F.col("item.price")), F.col("item.current_price"))), F.lit(0)
@@ -286,10 +290,9 @@ def museum_items(
         "sub_title_extended string, starts_at string, ends_at string"
     )
     entries = entries.select(
-        "source", "city", "url",
-        arrival("_outer.page", F.col("_outer.pos")[0], "_inner"),
-        F.from_json("item_text", layout).alias("item"),
-    ).withColumn(
+        "source", "city", "url", arrival("_outer.page", F.col("_outer.pos")[0], "_inner"), "item_text"
+    )
+    entries = parse_items(entries, layout).drop("item_text").withColumn(
         "_id", F.coalesce(present(F.nullif(F.col("item.id"), F.lit("0"))), F.col("item.url"))
     )
     entries = drop_repeats(entries, ["source", "city", "_id"], "seq", blank="_id")
@@ -434,9 +437,8 @@ def model_responses(raw: DataFrame, batch: bool = True) -> DataFrame:
         )
     else:
         items = F.array("content")
-    answers = raw.select(*KEPT, F.posexplode(items).alias("_pos", "_text")).withColumn(
-        "item", F.from_json("_text", layout)
-    )
+    answers = raw.select(*KEPT, F.posexplode(items).alias("_pos", "_text"))
+    answers = parse_items(answers, layout, "_text")
     whole = lambda name: F.when(
         F.col(f"item.{name}").try_cast("double") % 1 == 0,
         F.col(f"item.{name}").try_cast("double").try_cast("int"),
