@@ -211,10 +211,9 @@ def _city_run(spark, sf_dir):
     """A run for one city: five feeds by event type, over a table that already holds rows."""
     rows = cards(spark, sf_dir)
     tables = city_plan.Tables(spark, scratch(spark))
-    tables.events.replace(
-        drop_repeats(shape(rows.filter("stored"), EVENT, ["seq"]), ["id"], "seq")
-        .withColumn("tags_version", lit(1))
-    )
+    stored = drop_repeats(shape(rows.filter("stored"), EVENT, ["seq"]), ["id"], "seq")
+    for city in ("perm", "sochi"):
+        tables.events.of(city).replace(stored.filter(c("city") == city).withColumn("tags_version", lit(1)))
     incoming = _cards_with_order(rows.filter("NOT stored AND city = 'perm'"))
     configured = [
         city_plan.Feed(
@@ -304,7 +303,7 @@ SELECT id, name, address, CASE city WHEN 'perm' THEN 'twogis' ELSE 'playwright'
 def refresh_venues(spark, sf_dir):
     rows = social(spark, sf_dir).filter("venue_name <> ' - '").withColumn("date", lit("always"))
     tables = city_plan.Tables(spark, scratch(spark))
-    city_plan.refresh_venues(tables, rows.filter("city = 'perm'"), rows, MOMENT)
+    city_plan.refresh_venues(tables, rows.filter("city = 'perm'"), rows, MOMENT, ["perm", "sochi"])
     return tables.venues.read().select("id", "name", "address", "source")
 
 
@@ -314,9 +313,10 @@ WHERE date = 'always' AND starts_with(source, 'twogis-')
 """)
 def sync_venues(spark, sf_dir):
     tables = city_plan.Tables(spark, scratch(spark))
-    tables.events.replace(social(spark, sf_dir))
-    city_plan.sync_venues(tables, MOMENT, force=False)
-    city_plan.sync_venues(tables, MOMENT, force=True)
+    for city in ("perm", "sochi"):
+        tables.events.of(city).replace(social(spark, sf_dir).filter(c("city") == city))
+    city_plan.sync_venues(tables, MOMENT, ["perm", "sochi"])
+    city_plan.sync_venues(tables, MOMENT, ["perm", "sochi"], force=True)
     return tables.venues.read().select("id", "name", "source")
 
 

@@ -156,7 +156,7 @@ def snapshot_upsert(spark, sf_dir):
         "city", c("type").alias("category"), c("date").alias("snapshot_date")
     ).agg(F.count(lit(1)).alias("n"))
     path = scratch(spark)
-    keys = ["city", "category"]
+    keys = ["category"]
     tb.snapshot_upsert(spark, path, stats, keys)
     again = stats.filter("city = 'perm' AND snapshot_date >= '2024-01-15'").withColumn("n", c("n") * 2)
     tb.snapshot_upsert(spark, path, again, keys, scratch(spark))

@@ -12,7 +12,7 @@ from .. import vocab
 from ..operators import cards as card_ops, maintenance, merge, reports
 from ..schemas import CANDIDATE, EVENT, VENUE
 from ..session import checked_broadcast, staged
-from ..tables import KeyedTable, RawArchive, append_health, snapshot_upsert, upsert_venues
+from ..tables import CityTables, KeyedTable, RawArchive, append_health, snapshot_upsert, upsert_venues
 from .feeds import FeedRun
 
 
@@ -22,14 +22,14 @@ class Tables:
 
     spark: SparkSession
     root: str
-    events: KeyedTable = field(init=False)
-    venues: KeyedTable = field(init=False)
+    events: CityTables = field(init=False)
+    venues: CityTables = field(init=False)
     candidates: KeyedTable = field(init=False)
     raw: RawArchive = field(init=False)
 
     def __post_init__(self):
-        self.events = KeyedTable(self.spark, self.path("events"), EVENT, "id", ("city",))
-        self.venues = KeyedTable(self.spark, self.path("venues"), VENUE)
+        self.events = CityTables(self.spark, self.path("events"), EVENT)
+        self.venues = CityTables(self.spark, self.path("venues"), VENUE)
         self.candidates = KeyedTable(self.spark, self.path("candidates"), CANDIDATE, "domain")
         self.raw = RawArchive(self.spark, self.path("raw"))
 
@@ -110,13 +110,14 @@ def run_city(
     tally = spark.read.schema(_TALLY).parquet(*[f"{folder}/tally/feed={i}" for i in good])
 
     venues = card_ops.to_venues(settled.filter(F.col("outcome") == "venue"), F.lit("twogis"), moment)
-    upsert_venues(tables.venues, venues)
+    upsert_venues(tables.venues.of(city), venues)
 
     extracted = settled.filter(F.col("outcome") == "extracted").withColumn(
         "seq", F.struct("feed_order", "seq")
     )
     rows = staged(card_ops.to_event_rows(extracted, moment), f"{folder}/rows")
-    stored = tables.events.read()
+    events = tables.events.of(city)
+    stored = events.read()
     full = [f.name for f in feeds if f.full_snapshot]
     current = rows.filter(F.col("source").isin(full)).select("source", "city", "id")
     kept, _ = maintenance.sync_snapshot(stored, current, day)
@@ -131,14 +132,15 @@ def run_city(
     total = merged.count()
     others = kept.join(merged.select("id"), "id", "left_anti")
     result = merged.select(*EVENT).unionByName(others.select(*EVENT))
-    tables.events.replace(maintenance.purge_past(result, day, city)[0])
+    events.replace(maintenance.purge_past(result, day, city)[0])
+    events.expire(keep=3)
     tables.raw.purge(as_of)
 
     snapshot = F.lit(as_of)
-    covered = reports.coverage(tables.events.read(), snapshot, city)
-    snapshot_upsert(spark, tables.path("coverage"), covered, ["city", "category"], tables.path("checkpoint"))
+    covered = reports.coverage(events.read(), snapshot, city)
+    snapshot_upsert(spark, tables.path("coverage"), covered, ["category"], tables.path("checkpoint"))
     quality = reports.source_quality(reports.extracted_by_source(rows), pairs, city, snapshot)
-    snapshot_upsert(spark, tables.path("quality"), quality, ["city", "source"], tables.path("checkpoint"))
+    snapshot_upsert(spark, tables.path("quality"), quality, ["source"], tables.path("checkpoint"))
 
     parts = run_parts(spark, tally, outcomes)
     append_health(tables.path("health"), health_rows(parts, moment))
@@ -181,7 +183,18 @@ def health_rows(parts: DataFrame, run_at) -> DataFrame:
     )
 
 
-def refresh_venues(tables: Tables, catalog: DataFrame, rendered: DataFrame, now) -> dict:
+def upsert_by_city(tables: Tables, venues: DataFrame, cities: list[str]) -> dict:
+    """Venue rows into the tables of the configured cities."""
+    done = {}
+    for city in cities:
+        counts = upsert_venues(tables.venues.of(city), venues.filter(F.col("city") == city))
+        done[city] = {"inserted": counts.inserted, "updated": counts.updated}
+    return done
+
+
+def refresh_venues(
+    tables: Tables, catalog: DataFrame, rendered: DataFrame, now, cities: list[str]
+) -> dict:
     """Venues from the catalog, or from rendered pages for cities where the catalog gave none."""
     filled = checked_broadcast(catalog.select("city").distinct())
     moment = F.lit(now).cast("timestamp")
@@ -189,16 +202,13 @@ def refresh_venues(tables: Tables, catalog: DataFrame, rendered: DataFrame, now)
     venues = card_ops.to_venues(catalog, F.lit("twogis"), moment).unionByName(
         card_ops.to_venues(fallback, F.lit("playwright"), moment)
     )
-    counts = upsert_venues(tables.venues, venues)
-    return {"inserted": counts.inserted, "updated": counts.updated}
+    return upsert_by_city(tables, venues, cities)
 
 
-def sync_venues(tables: Tables, now, city: str | None = None, force: bool = False) -> dict:
+def sync_venues(tables: Tables, now, cities: list[str], force: bool = False) -> dict:
     """Venues out of undated events; without `force` they are only counted."""
-    venues = maintenance.venues_from_events(
-        tables.events.read(), F.lit(now).cast("timestamp"), city
-    )
+    stored = tables.events.read().filter(F.col("city").isin(cities))
+    venues = maintenance.venues_from_events(stored, F.lit(now).cast("timestamp"))
     if not force:
         return {"would_import": venues.count()}
-    counts = upsert_venues(tables.venues, venues)
-    return {"inserted": counts.inserted, "updated": counts.updated}
+    return upsert_by_city(tables, venues, cities)

@@ -16,7 +16,7 @@ from . import vocab
 from .operators.cards import failed_rules, manual_guard
 from .operators.ranking import drop_repeats
 from .schemas import EVENT, HEALTH, RAW, VENUE, ddl, shape
-from .session import cut_lineage
+from .session import checked_broadcast, cut_lineage
 
 
 def _children(spark: SparkSession, path: str) -> list:
@@ -56,12 +56,16 @@ class KeyedTable:
             and (not complete_only or finished(self.spark, f"{self.path}/{name}"))
         )
 
-    def read(self) -> DataFrame:
+    def current(self) -> str | None:
+        """Folder of the last complete version."""
         versions = self._versions()
-        if not versions:
+        return f"{self.path}/v={versions[-1]:08d}" if versions else None
+
+    def read(self) -> DataFrame:
+        folder = self.current()
+        if folder is None:
             return self.spark.createDataFrame([], ddl(self.layout))
-        reader = self.spark.read.schema(ddl(self.layout))
-        return shape(reader.parquet(f"{self.path}/v={versions[-1]:08d}"), self.layout)
+        return shape(self.spark.read.schema(ddl(self.layout)).parquet(folder), self.layout)
 
     def replace(self, rows: DataFrame) -> None:
         """Write the next version. Rows may be read from the current one."""
@@ -100,6 +104,30 @@ class KeyedTable:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class CityTables:
+    """A keyed table of its own for every city.
+
+    A run rewrites the rows of its city only, and the runs of several cities can go on at
+    the same time, each with its own versions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, layout: dict[str, str], key: str = "id"):
+        self.spark, self.path, self.layout, self.key = spark, path, layout, key
+
+    def of(self, city: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.path}/city={city}", self.layout, self.key)
+
+    def read(self) -> DataFrame:
+        """The rows of all cities."""
+        _, statuses = _children(self.spark, self.path)
+        names = [s.getPath().getName() for s in statuses]
+        folders = [self.of(n[5:]).current() for n in sorted(names) if n.startswith("city=")]
+        folders = [f for f in folders if f]
+        if not folders:
+            return self.spark.createDataFrame([], ddl(self.layout))
+        return shape(self.spark.read.schema(ddl(self.layout)).parquet(*folders), self.layout)
+
+
 def upsert_events(table: KeyedTable, rows: DataFrame) -> WriteCounts:
     return table.upsert(shape(rows, EVENT))
 
@@ -195,25 +223,28 @@ def append_health(path: str, runs: DataFrame) -> None:
     shape(rows, HEALTH).write.mode("append").parquet(path)
 
 
+DAILY = ("city", "snapshot_date")
+
+
 def snapshot_rows(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The days touched by `rows`: new rows, and stored ones of other keys of those days."""
-    days = rows.select("snapshot_date").distinct()
-    same_days = stored.join(days, "snapshot_date", "left_semi")
-    kept = same_days.join(rows.select(*keys, "snapshot_date"), [*keys, "snapshot_date"], "left_anti")
+    """The days of cities touched by `rows`: new rows, and stored ones of other keys of those days."""
+    touched = checked_broadcast(rows.select(*DAILY).distinct())
+    same_days = stored.join(touched, list(DAILY), "left_semi")
+    kept = same_days.join(rows.select(*keys, *DAILY), [*keys, *DAILY], "left_anti")
     return rows.unionByName(kept.select(*rows.columns))
 
 
 def snapshot_upsert(
     spark: SparkSession, path: str, rows: DataFrame, keys: list[str], checkpoint_dir: str | None = None
 ) -> None:
-    """Replace the rows of some keys of some days; only the partitions of those days are written."""
+    """Replace the rows of some keys of some days; only those days of those cities are written."""
     _, statuses = _children(spark, path)
-    if any(s.getPath().getName().startswith("snapshot_date=") for s in statuses):
+    if any(s.getPath().getName().startswith("city=") for s in statuses):
         stored = spark.read.schema(rows.schema).parquet(path)
         # The result is cut from its lineage: it is read from the partitions it replaces.
         rows = cut_lineage(snapshot_rows(stored, rows, keys), checkpoint_dir)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "snapshot_date"
+        *DAILY
     ).parquet(path)
 
 

@@ -63,12 +63,15 @@ def test_a_document_that_returns_to_an_old_text_is_changed(spark, tmp_path):
 
 
 def test_daily_snapshots_keep_other_days_and_keys(spark, tmp_path):
-    make = lambda *data: spark.createDataFrame(list(data), "city string, n int, snapshot_date string")
+    make = lambda *data: spark.createDataFrame(list(data), "city string, kind string, n int, snapshot_date string")
     path = str(tmp_path / "snap")
-    tb.snapshot_upsert(spark, path, make(("perm", 1, "2026-06-01"), ("sochi", 2, "2026-06-01"), ("perm", 3, "2026-06-02")), ["city"])
-    tb.snapshot_upsert(spark, path, make(("perm", 9, "2026-06-01")), ["city"])
-    got = {(r.city, r.snapshot_date.isoformat()): r.n for r in spark.read.parquet(path).collect()}
-    assert got == {("perm", "2026-06-01"): 9, ("sochi", "2026-06-01"): 2, ("perm", "2026-06-02"): 3}
+    tb.snapshot_upsert(spark, path, make(("perm", "a", 1, "2026-06-01"), ("sochi", "a", 2, "2026-06-01"), ("perm", "b", 4, "2026-06-01"), ("perm", "a", 3, "2026-06-02")), ["kind"])
+    tb.snapshot_upsert(spark, path, make(("perm", "a", 9, "2026-06-01")), ["kind"])
+    got = {(r.city, r.kind, r.snapshot_date.isoformat()): r.n for r in spark.read.parquet(path).collect()}
+    assert got == {
+        ("perm", "a", "2026-06-01"): 9, ("sochi", "a", "2026-06-01"): 2, ("perm", "b", "2026-06-01"): 4,
+        ("perm", "a", "2026-06-02"): 3,
+    }
 
 
 def test_empty_answer_of_a_snapshot_source_drops_nothing(spark):
