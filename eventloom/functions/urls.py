@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
-from ..session import checked_broadcast
 from .text import strip
 
 # scheme, authority, path, query and fragment of a reference
@@ -54,7 +53,6 @@ def drop_listed_domains(df: DataFrame, domain: str, listed: DataFrame) -> DataFr
         .join(listed.select("domain").distinct(), "domain", "left_semi")
         .select("_domain").distinct()
     )
-    blocked = checked_broadcast(blocked)
     return df.join(blocked, F.col(domain) == F.col("_domain"), "left_anti")
 
 

@@ -196,13 +196,15 @@ def refresh_venues(
     tables: Tables, catalog: DataFrame, rendered: DataFrame, now, cities: list[str]
 ) -> dict:
     """Venues from the catalog, or from rendered pages for cities where the catalog gave none."""
-    filled = checked_broadcast(catalog.select("city").distinct())
     moment = F.lit(now).cast("timestamp")
+    folder = tables.path(f"staging/venues-{now:%Y%m%dT%H%M%S}")
+    catalog = staged(catalog, f"{folder}/catalog")
+    filled = checked_broadcast(catalog.select("city").distinct())
     fallback = rendered.join(filled, "city", "left_anti")
     venues = card_ops.to_venues(catalog, F.lit("twogis"), moment).unionByName(
         card_ops.to_venues(fallback, F.lit("playwright"), moment)
     )
-    return upsert_by_city(tables, venues, cities)
+    return upsert_by_city(tables, staged(venues, f"{folder}/venues"), cities)
 
 
 def sync_venues(tables: Tables, now, cities: list[str], force: bool = False) -> dict:

@@ -78,23 +78,22 @@ class KeyedTable:
     def upsert(self, rows: DataFrame, insert_only: bool = False) -> WriteCounts:
         """Insert rows, replacing those of the same key, or only those of new keys.
 
-        `rows` has one row per key. Counts come from the write itself.
+        `rows` has one row per key. One full outer join reads rows and table once each, and
+        the counts come from the write itself.
         """
-        stored = self.read()
-        keys = stored.select(self.key)
-        if insert_only:
-            fresh, kept = rows.join(keys, self.key, "left_anti"), stored
-            fresh = fresh.withColumn("_known", F.lit(None).cast("boolean"))
-        else:
-            fresh = rows.join(keys.withColumn("_known", F.lit(True)), self.key, "left")
-            kept = stored.join(rows.select(self.key), self.key, "left_anti")
+        values = [name for name in self.layout if name != self.key]
+        stored = self.read().select(self.key, F.struct(*values).alias("stored"))
+        given = shape(rows, self.layout).select(self.key, F.struct(*values).alias("given"))
+        known, new = F.col("stored").isNotNull(), F.col("given").isNotNull()
         seen = Observation()
-        counted = fresh.observe(
-            seen, F.count(F.lit(1)).alias("rows"), F.count("_known").alias("known")
+        joined = stored.join(given, self.key, "full_outer").observe(
+            seen, F.count_if(~known).alias("inserted"), F.count_if(known & new).alias("updated")
         )
-        self.replace(shape(counted, self.layout).unionByName(kept))
+        taken = new & ~known if insert_only else new
+        row = F.when(taken, F.col("given")).otherwise(F.col("stored")).alias("row")
+        self.replace(joined.select(self.key, row).select(self.key, "row.*"))
         counts = seen.get
-        return WriteCounts(counts["rows"] - counts["known"], counts["known"])
+        return WriteCounts(counts["inserted"], 0 if insert_only else counts["updated"])
 
     def expire(self, keep: int = 2) -> None:
         """Delete all but the last complete versions."""
