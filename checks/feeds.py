@@ -77,10 +77,11 @@ SELECT 'Order ' || o_orderkey AS title,
   'https://tickets.example/' || o_orderkey AS source_url, o_orderpriority AS organizer
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
 WHERE o_orderkey % 7 <> 0
-GROUP BY o_orderkey, o_orderdate, o_custkey, o_orderpriority
+GROUP BY o_orderkey, o_orderdate, o_custkey, o_orderpriority, l_linenumber // 8
 """)
 def ticket_events(spark, sf_dir):
-    tickets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    # At most eight tickets to an item, however many lines an order has.
+    tickets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.expr("l_linenumber DIV 8")).agg(
         F.collect_list(F.struct(F.col("l_extendedprice").alias("price"))).alias("ticket_types")
     )
     orders = table(spark, sf_dir, "orders")
@@ -474,13 +475,14 @@ def channel_posts(spark, sf_dir):
         "'<a class=\"tgme_widget_message_date\" href=\"https://t.example/', conv_id, '/', turn, '\"><time datetime=\"', "
         "date_format(timestamp_seconds(1704067200 + turn * 60), \"yyyy-MM-dd'T'HH:mm:ss\"), '+00:00\">t</time></a></div>')"
     )
-    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", message.alias("m")).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("r")
+    messages = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", message.alias("m"), F.expr("turn DIV 20").alias("page")
     )
+    pages = messages.groupBy("conv_id", "page").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("r"))
     raw = landed(
         pages.select(
             F.array_join(F.transform("r", lambda r: r["m"]), "").alias("content"),
-            F.concat(F.lit("https://t.example/s/"), F.col("conv_id").cast("string")).alias("url"),
+            F.concat(F.lit("https://t.example/s/"), F.col("conv_id").cast("string")).alias("url"), "page",
         )
     )
     return html_feeds.channel_posts(raw, 3).select(

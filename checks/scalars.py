@@ -276,16 +276,17 @@ def map_url(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, min(CAST(trunc(l_quantity) AS INT)) AS price_min, max(CAST(trunc(l_quantity) AS INT)) AS price_max,
+SELECT l_orderkey, l_linenumber // 8 AS part, min(CAST(trunc(l_quantity) AS INT)) AS price_min, max(CAST(trunc(l_quantity) AS INT)) AS price_max,
   CASE WHEN min(CAST(trunc(l_quantity) AS INT)) = max(CAST(trunc(l_quantity) AS INT)) THEN 'от ' || min(CAST(trunc(l_quantity) AS INT)) || ' ₽'
     ELSE 'от ' || min(CAST(trunc(l_quantity) AS INT)) || ' до ' || max(CAST(trunc(l_quantity) AS INT)) || ' ₽' END AS price_text
-FROM lineitem GROUP BY l_orderkey
+FROM lineitem GROUP BY l_orderkey, l_linenumber // 8
 """)
 def price_range(spark, sf_dir):
-    grouped = T(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    grouped = T(spark, sf_dir, "lineitem").groupBy("l_orderkey", expr("l_linenumber DIV 8").alias("part")).agg(
         F.collect_list(c("l_quantity").cast("int")).alias("prices")
     )
-    return grouped.select("l_orderkey", prices.price_range(c("prices")).alias("p")).select("l_orderkey", "p.*")
+    read = grouped.select("l_orderkey", "part", prices.price_range(c("prices")).alias("p"))
+    return read.select("l_orderkey", "part", "p.*")
 
 
 @query("""

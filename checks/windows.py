@@ -47,12 +47,12 @@ def chunk_id(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') AS date,
+SELECT l_orderkey, l_linenumber // 8 AS part, strftime(min(l_shipdate), '%Y-%m-%d') AS date,
   arg_min(l_linenumber, strftime(l_shipdate, '%Y-%m-%d') || lpad(CAST(l_linenumber AS VARCHAR), 3, '0')) AS line
-FROM lineitem WHERE l_shipdate >= '1996-01-01' GROUP BY l_orderkey
+FROM lineitem WHERE l_shipdate >= '1996-01-01' GROUP BY l_orderkey, l_linenumber // 8
 """)
 def next_date(spark, sf_dir):
-    listed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    listed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", expr("l_linenumber DIV 8").alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(
             "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("start_date"),
             c("l_linenumber").alias("start_time"),
@@ -60,7 +60,7 @@ def next_date(spark, sf_dir):
     )
     found = listed.withColumn("d", ranking.next_date(c("dates"), lit("1996-01-01").cast("date")))
     return found.filter(c("d").isNotNull()).select(
-        "l_orderkey", c("d.start_date").alias("date"), c("d.start_time").alias("line")
+        "l_orderkey", "part", c("d.start_date").alias("date"), c("d.start_time").alias("line")
     )
 
 
