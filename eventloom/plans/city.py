@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -59,26 +60,40 @@ class CityRun:
     updated: int
 
 
+FEEDS_AT_A_TIME = 8
+
+
 def stage(feeds: list[Feed], city: str, path: str, fetched_at, raw: RawArchive) -> list[tuple]:
     """Write every feed's settled cards and counters; a feed that fails leaves the others alone.
 
-    Returns (order, feed, error) with the error text of a failed feed.
+    Feeds are small next to a cluster, so several are written at a time, each to folders of
+    its own. Returns (order, feed, city, error) with the error text of a failed feed.
     """
-    outcomes = []
-    for order, feed in enumerate(feeds):
-        error = None
+
+    def attempt(feed: Feed, work) -> str | None:
         try:
-            run = feed.read()
-            numbered = run.settled.withColumn("feed_order", F.lit(order))
-            settled = staged(numbered, f"{path}/settled/feed={order}")
-            tally = run.tally(settled).withColumn("feed_order", F.lit(order))
-            tally.write.mode("overwrite").parquet(f"{path}/tally/feed={order}")
-            if run.archive is not None:
-                raw.append(run.archive, fetched_at)
+            work()
         except Exception as problem:  # one source must not take the run down
-            error = f"{feed.name}: {str(problem).splitlines()[0]}"[: vocab.WARNING_LENGTH]
-        outcomes.append((order, feed.name, city, error))
-    return outcomes
+            return f"{feed.name}: {str(problem).splitlines()[0]}"[: vocab.WARNING_LENGTH]
+
+    archives = {}
+
+    def write(order: int, feed: Feed) -> None:
+        run = feed.read()
+        numbered = run.settled.withColumn("feed_order", F.lit(order))
+        settled = staged(numbered, f"{path}/settled/feed={order}")
+        tally = run.tally(settled).withColumn("feed_order", F.lit(order))
+        tally.write.mode("overwrite").parquet(f"{path}/tally/feed={order}")
+        archives[order] = run.archive
+
+    with ThreadPoolExecutor(FEEDS_AT_A_TIME) as pool:
+        errors = list(
+            pool.map(lambda item: attempt(item[1], lambda: write(*item)), enumerate(feeds))
+        )
+    for order, feed in enumerate(feeds):
+        if errors[order] is None and archives[order] is not None:
+            errors[order] = attempt(feed, lambda: raw.append(archives[order], fetched_at, city))
+    return [(order, feed.name, city, errors[order]) for order, feed in enumerate(feeds)]
 
 
 _TALLY = "source string, city string, counter string, n bigint, feed_order int"
@@ -143,7 +158,7 @@ def run_city(
     snapshot_upsert(spark, tables.path("quality"), quality, ["source"], tables.path("checkpoint"))
 
     parts = run_parts(spark, tally, outcomes)
-    append_health(tables.path("health"), health_rows(parts, moment))
+    append_health(tables.path("health"), health_rows(parts, moment), city)
     return CityRun(
         parts, reports.run_summary(parts, ["city"]), merged, pairs,
         merge.near_misses(rows, peers), total - known, known,

@@ -104,7 +104,7 @@ def stream_changed_docs(
             changed = card_ops.changed_docs(hashed, archive.hashes(hashed))
             changed.select(*RAW).write.mode("overwrite").parquet(folder)
         written = batch.sparkSession.read.schema(ddl(RAW)).parquet(folder)
-        archive.append(written, F.col("fetched_at"))
+        archive.append(written, F.col("fetched_at"), "stream")
 
     return docs.writeStream.foreachBatch(compare).option(
         "checkpointLocation", checkpoint

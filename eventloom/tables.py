@@ -145,22 +145,35 @@ def fetch_by_ids(table: KeyedTable, ids: DataFrame) -> DataFrame:
 
 
 class RawArchive:
-    """Raw documents, appended by fetch day; the newest row of a url is the stored one."""
+    """Raw documents, appended by fetch day; the newest row of a url is the stored one.
+
+    Every writer (a city's run, a stream) has a folder of its own, since two file writes
+    into one folder at the same time remove each other's temporary files. Readers see all.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def _log(self) -> DataFrame:
-        _, statuses = _children(self.spark, self.path)
-        layout = f"{ddl(RAW)}, fetch_day date"
-        if not any(s.getPath().getName().startswith("fetch_day=") for s in statuses):
-            return self.spark.createDataFrame([], layout)
-        return self.spark.read.schema(layout).parquet(self.path)
-
-    def append(self, docs: DataFrame, fetched_at: Column) -> None:
-        archive_rows(docs, fetched_at).withColumn("fetch_day", F.to_date("fetched_at")).write.mode(
-            "append"
-        ).partitionBy("fetch_day").parquet(self.path)
+        if not self._days():
+            return self.spark.createDataFrame([], ddl(RAW))
+        layout = f"{ddl(RAW)}, writer string, fetch_day date"
+        return self.spark.read.schema(layout).parquet(self.path).drop("writer", "fetch_day")
+
+    def _days(self) -> list:
+        """Folders of all days of all writers."""
+        _, writers = _children(self.spark, self.path)
+        names = [w.getPath().getName() for w in writers]
+        found = []
+        for name in names:
+            if name.startswith("writer="):
+                _, days = _children(self.spark, f"{self.path}/{name}")
+                found += [d.getPath() for d in days if d.getPath().getName().startswith("fetch_day=")]
+        return found
+
+    def append(self, docs: DataFrame, fetched_at: Column, writer: str = "shared") -> None:
+        rows = archive_rows(docs, fetched_at).withColumn("fetch_day", F.to_date("fetched_at"))
+        rows.write.mode("append").partitionBy("fetch_day").parquet(f"{self.path}/writer={writer}")
 
     def hashes(self, urls: DataFrame | None = None) -> DataFrame:
         """(url, hash) as last stored, of all urls or of the given ones.
@@ -176,22 +189,19 @@ class RawArchive:
 
     def latest(self, urls: DataFrame | None = None) -> DataFrame:
         """Stored documents, of all urls or of the given ones (then other contents never move)."""
-        log = self._log().drop("fetch_day")
+        log = self._log()
         if urls is not None:
             log = log.join(urls.select("url").distinct(), "url", "left_semi")
         return latest_documents(log)
 
     def purge(self, as_of, keep_days: int = 120) -> list[str]:
         """Drop whole days that ended `keep_days` before `as_of` (a date); returns their names."""
-        fs, statuses = _children(self.spark, self.path)
-        dropped = []
-        for status in statuses:
-            name = status.getPath().getName()
-            if name.startswith("fetch_day="):
-                day = name.split("=", 1)[1]
-                if (as_of - as_of.fromisoformat(day)).days > keep_days:
-                    fs.delete(status.getPath(), True)
-                    dropped.append(day)
+        dropped = set()
+        for folder in self._days():
+            day = folder.getName().split("=", 1)[1]
+            if (as_of - as_of.fromisoformat(day)).days > keep_days:
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+                dropped.add(day)
         return sorted(dropped)
 
 
@@ -216,10 +226,10 @@ def latest_documents(log: DataFrame) -> DataFrame:
     return log.groupBy("url").agg(newest.alias("_row")).select("_row.*")
 
 
-def append_health(path: str, runs: DataFrame) -> None:
-    """Append run rows to the log, durations to the millisecond."""
+def append_health(path: str, runs: DataFrame, writer: str = "shared") -> None:
+    """Append run rows to the log, durations to the millisecond; writers have folders of their own."""
     rows = runs.withColumn("duration_sec", F.round("duration_sec", 3))
-    shape(rows, HEALTH).write.mode("append").parquet(path)
+    shape(rows, HEALTH).write.mode("append").parquet(f"{path}/writer={writer}")
 
 
 DAILY = ("city", "snapshot_date")
