@@ -9,10 +9,10 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_every_query_is_checked_or_known_to_have_no_sql():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == {"clean_markdown"}
+    assert set(registered.QUERIES) - set(registered.SQL) == {"clean_markdown"}
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.QUERIES))
 def test_query(spark, name):
     result = compare(spark, SF_DIR, [name])[name]
     assert result.startswith(("ok", "rows only")), result
