@@ -7,8 +7,9 @@ place has already given the same content is not taken again, so that the work en
 Spans found in a layer are mapped back to the original text: exactly through escapes and base64 of
 ASCII, else to the whole run they came from.
 
-Layers of one text are opened up to `MAX_EXPANDED` characters in all, which only decompression can
-reach; what stays closed is counted in `n_unopened`. The text itself is always scanned whole.
+Layers of one text are opened up to `MAX_EXPANDED` characters in all, which takes compressed layers or
+escapes nested thousands deep; what stays closed is counted in `n_unopened`. The text itself is always
+scanned whole.
 
 Nulls and ties: a null text counts as empty and has no spans. The same span found twice counts once.
 Rows that repeat each other get equal results. An empty table gives an empty table.
@@ -187,9 +188,9 @@ def scan(text: str, max_expanded: int = MAX_EXPANDED) -> tuple[list, list, int,
             while plain is None:
                 data, over = _unpacked(data, max_expanded - spent)
                 closed += over
-                if data is None or (hash_of := hashlib.sha256(data).digest(), m.span()) in seen:
+                if data is None or (place := ("packed", hashlib.sha256(data).digest(), layer.origin(*m.span()))) in seen:
                     break
-                seen.add((hash_of, m.span()))
+                seen.add(place)
                 spent += len(data)
                 plain, packed = _as_text(data), True
             if plain:
