@@ -7,35 +7,41 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut
 
 
+def _edge(hi: str, lo: str):
+    return F.struct(F.col(hi).alias("hi"), F.col(lo).alias("lo"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
-    both = links.select("hi", "lo").union(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-    both = both.toDF("node", "other")
-    least = both.groupBy("node").agg(F.min("other").alias("least")).select(
-        "node", F.least("node", "least").alias("least"))
-    above = both.filter("other > node").join(least, "node")
-    return above.select(F.col("other").alias("hi"), F.col("least").alias("lo")).distinct()
+    ends = links.select(F.explode(F.array(_edge("hi", "lo"), _edge("lo", "hi"))).alias("e")).select("e.*").toDF("lo", "other")
+    least = ends.groupBy("lo").agg(F.min("other").alias("least"))
+    return links.join(least, "lo").select("hi", F.least("lo", "least").alias("lo"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its lower neighbours are tied to the least of these."""
     least = links.groupBy("hi").agg(F.min("lo").alias("least"))
-    lower = links.join(least, "hi").filter("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-    return lower.union(least.select("hi", F.col("least").alias("lo"))).distinct()
+    tied = links.join(least, "hi").select(F.explode(F.array(_edge("hi", "least"), _edge("lo", "least"))).alias("e"))
+    return tied.select("e.*").filter("hi <> lo").distinct()
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one lower neighbour, which has none itself, or only higher ones."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                          F.struct(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    sums = ends.select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.filter("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node with a link in (a, b); a component is named by its least node.
+    """(node, component) for every node with a link in (a, b) to another; a component is named by its least node.
 
     Neighbours are reduced to their least before any join, and every round is checkpointed.
     """
-    links = cut(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct())
-    seen = None
+    links = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
     while True:
         links = cut(_small_star(_large_star(links)))
-        state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first())
-        if state == seen:
+        if _are_stars(links):
             break
-        seen = state
-    stars = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    stars = links.select("hi", F.col("lo").alias("component")).toDF("node", "component")
     return stars.union(stars.select("component", "component").distinct())

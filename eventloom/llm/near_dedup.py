@@ -9,8 +9,11 @@
 4. Pairs are confirmed on the full shingle sets, and links are joined into components.
 
 Groups are not paired out. In a band bucket only a few hubs meet all members at first, and each class
-has its likeliest partner confirmed first. What then still lies in different components of one bucket
-is paired in full, so no link is lost; what lies in one component needs no further pair.
+has its likeliest partner confirmed first. Classes whose bucket then still holds several components are
+finished exactly: their shingles are put in one order, rarest first, and a pair of different components
+is confirmed only if it shares a shingle so early that the rest can still reach the threshold. Two sets
+as similar as the threshold always do, so no link is lost, and sets that merely come near pair with
+nothing. What lies in one component needs no further pair.
 
 Nulls and ties: a text that is null or has no words has an empty set and is linked with nothing. A
 component is named by its smallest id, a null id counting only where there is no other. Rows with the
@@ -24,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import cut
 from .components import components
@@ -138,40 +141,81 @@ class _Links:
 
     def __init__(self, docs: DataFrame, known: DataFrame, width: int, percent: int):
         self.docs, self.known, self.width, self.percent = docs, known, width, percent
-        self.done = self.links = self.labels = None
+        self.done = self.labels = None
+
+    def component(self, df: DataFrame, node: str = "class", name: str = "component") -> DataFrame:
+        """`df` with the component of a class; a class without links is one by itself."""
+        if self.labels is None:
+            return df.withColumn(name, F.col(node))
+        label = self.labels.select(F.col("node").alias(node), F.col("component").alias(name))
+        return df.join(label, node, "left").withColumn(name, F.coalesce(name, node))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs not looked at yet whose ends lie in different components."""
         if self.done is None:
             return pairs
         pairs = pairs.join(self.done, ["a", "b"], "left_anti")
-        if self.labels is None:
-            return pairs
-        for side in ("a", "b"):
-            label = self.labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-            pairs = pairs.join(label, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-        return pairs.filter("_a <> _b").drop("_a", "_b")
+        return self.component(self.component(pairs, "a", "_a"), "b", "_b").filter("_a <> _b").drop("_a", "_b")
+
+    def texts(self, classes: DataFrame) -> DataFrame:
+        """(class, text) for the classes of a table, each from one of its documents."""
+        wanted = classes.join(self.known, "class")
+        docs = self.docs.select("_id", "_text", F.xxhash64("_text").alias("_hash"))
+        same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
+        return docs.join(wanted, same).select("class", "_text").dropDuplicates(["class"])
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Compare the full sets of pairs; False if there were none."""
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare the full sets of pairs and join what they link."""
         pairs = cut(pairs.select("a", "b"))
         if pairs.isEmpty():
-            return False
-        ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = ends.join(self.known, "class")
-        texts = self.docs.select(F.col("_id"), F.col("_text"), F.xxhash64("_text").alias("_hash")).join(
-            wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
-        ).select("class", "_text").dropDuplicates(["class"])
-        texts = cut(texts)
+            return
+        texts = cut(self.texts(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
         both = pairs.join(texts.toDF("a", "_text_a"), "a").join(texts.toDF("b", "_text_b"), "b")
         looked = cut(both.select("a", "b", "_text_a", "_text_b").mapInArrow(
             _confirmer(self.width, self.percent), "a long, b long, linked boolean"))
-        links = looked.filter("linked").select("a", "b")
         self.done = looked.select("a", "b") if self.done is None else self.done.union(looked.select("a", "b"))
-        if not links.isEmpty():
-            self.links = links if self.links is None else self.links.union(links)
-            self.labels = components(self.links)
-        return True
+        links = looked.filter("linked").select("a", "b")
+        if links.isEmpty():
+            return
+        if self.labels is None:
+            self.labels = components(links)
+            return
+        # Only components and classes without one are joined anew.
+        ends = self.component(self.component(links, "a", "_a"), "b", "_b")
+        merged = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).toDF("component", "_into")
+        before = self.labels.join(merged, "component", "left").select("node", F.coalesce("_into", "component").alias("component"))
+        fresh = merged.join(self.labels, F.col("node") == merged["component"], "left_anti").toDF("node", "component")
+        self.labels = cut(before.union(fresh))
+
+    def sharing_early(self, classes: DataFrame) -> DataFrame:
+        """Pairs (a, b, estimate) of (class, n, component, planes) in different components that may be linked.
+
+        With shingles in one order, rarest first, two sets of the threshold's similarity share one among
+        the first `n - least overlap + 1` of each, and the first they share leaves room for that overlap.
+        """
+        fields = T.StructType([T.StructField("class", T.LongType()), T.StructField("shingle", T.LongType())])
+        shingles = cut(self.texts(classes.select("class")).mapInArrow(_shingler(self.width), fields))
+        often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+        order = Window.partitionBy("class").orderBy("often", "shingle")
+        ranked = shingles.join(often, "shingle").withColumn("at", F.row_number().over(order) - 1)
+        early = ranked.join(classes, "class").filter(
+            (F.col("often") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - self.percent))).drop("often")
+        early = cut(early.withColumnRenamed("shingle", "key"))
+        room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        reach = room * (100 + self.percent) >= (F.col("x.n") + F.col("y.n")) * self.percent
+        return _likely(early, early, self.percent, (F.col("x.component") < F.col("y.component")) & reach)
+
+
+def _shingler(width: int):
+    def explode(batches):
+        for batch in batches:
+            for first, sets in shingle_sets(batch.column(1), width):
+                classes = batch.column(0).slice(first, len(sets)).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(classes, [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))],
+                    names=["class", "shingle"])
+
+    return explode
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
@@ -205,25 +249,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _Links(docs, classes.select("class", "id", "hash"), width, percent)
     once = ~(F.col("y.hub") & (F.col("y.class") < F.col("x.class")))
     stars = cut(_likely(members.filter("hub"), members, percent, once))
-    if found.confirm(_likeliest(stars)):
-        found.confirm(found.apart(stars))
-    labelled = members.filter(f"m > {HUBS}")
-    if found.labels is not None:
-        labelled = labelled.join(found.labels.withColumnRenamed("node", "class"), "class", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "class"))
-    else:
-        labelled = labelled.withColumn("component", F.col("class"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
-    rest = cut(labelled.join(open_keys.filter("_least < _most").select("key"), "key", "left_semi"))
-    pairs = cut(found.apart(_likely(rest, rest, percent, F.col("x.component") < F.col("y.component"))))
-    if found.confirm(_likeliest(pairs)):
-        found.confirm(found.apart(pairs))
-    own = rows.join(classes.select(*set_key, "class"), set_key, "left")
-    if found.labels is None:
-        own = own.withColumn("component", F.col("class"))
-    else:
-        own = own.join(found.labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
-            "component", F.coalesce("component", "class"))
+    found.confirm(_likeliest(stars))
+    found.confirm(found.apart(stars))
+    large = found.component(members.filter(f"m > {HUBS}"))
+    several = large.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+    still = cut(large.join(several.filter("_least < _most").select("key"), "key", "left_semi").select(
+        "class", "n", "component", *PLANES).dropDuplicates(["class"]))
+    if not still.isEmpty():
+        found.confirm(found.apart(found.sharing_early(still)))
+    own = found.component(rows.join(classes.select(*set_key, "class"), set_key, "left"))
     own = own.withColumn("component", F.coalesce("component", "row"))
     names = own.groupBy("component").agg(F.min("_id").alias("component_id"))
     return own.join(names, "component").select(
