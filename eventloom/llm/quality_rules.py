@@ -112,17 +112,16 @@ def cutoffs(measured: DataFrame, good: DataFrame, risk: float = RISK, level: flo
     held = measured.filter(~base_failed()).join(good.distinct(), "_id")
     # One counter for each measure and cutoff, so that labelled rows combine before the shuffle.
     tried = [(m, k, c) for m, cs in CUTOFFS.items() for k, c in enumerate(cs)]
-    counts = held.groupBy("_stratum").agg(
+    counts = cut(held.groupBy("_stratum").agg(
         F.count(F.lit(1)).alias("n"),
-        *(F.count_if(shares[m] > c).alias(f"{m}_{k}") for m, k, c in tried))
+        *(F.count_if(shares[m] > c).alias(f"{m}_{k}") for m, k, c in tried)))
     tests = counts.select("_stratum", "n", F.explode(F.array(*(
         F.struct(F.lit(m).alias("measure"), F.lit(k).alias("k"), F.lit(c).alias("cutoff"), F.col(f"{m}_{k}").alias("rejected"))
         for m, k, c in tried))).alias("t")).select("_stratum", "n", "t.*")
     tests = tests.withColumn("p", binomial_tail("rejected", "n", risk / len(CUTOFFS)))
-    strata = counts.agg(F.count(F.lit(1)).alias("_strata"))
-    passed = F.col("p") * F.col("_strata") * len(CUTOFFS) <= level
+    passed = F.col("p") * counts.count() * len(CUTOFFS) <= level
     upto = Window.partitionBy("_stratum", "measure").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    tests = tests.join(F.broadcast(strata)).withColumn("_usable", F.min(passed.cast("int")).over(upto) == 1)
+    tests = tests.withColumn("_usable", F.min(passed.cast("int")).over(upto) == 1)
     return tests.groupBy("_stratum").agg(
         *(F.min(F.when(F.col("_usable") & (F.col("measure") == m), F.col("cutoff"))).alias(f"max_{m}") for m in CUTOFFS))
 
