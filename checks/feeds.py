@@ -521,18 +521,23 @@ WITH bare AS (
     '(?is)<(script|style|noscript|svg|iframe|head)\\b[^>]*>.*?</(script|style|noscript|svg|iframe|head)\\s*>', '', 'g'),
     '(?is)^.*?(<body)', '\\1') AS body FROM pages
 )
-SELECT page_id, CASE WHEN length(body) > 2000 THEN substr(body, 1, 2000) || chr(10) || '<!-- truncated -->' ELSE body END AS html
-FROM (SELECT page_id, regexp_replace(body, '</html>$', '') AS body FROM bare)
+SELECT page_id, regexp_replace(body, '</html>$', '') AS html FROM bare
 """)
 def clean_html(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    return html_feeds.clean_html(pages, "html", "html", 2000)
+    return html_feeds.clean_html(pages, "html")
 
 
-@query()
-def clean_markdown(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    return html_feeds.clean_html(pages, "html", "markdown", 20_000)
+@query("""
+SELECT page_id, '<body><p>' || page_id || '</p>' || CASE WHEN page_id % 2 = 0 THEN '<p>left' ELSE '' END || '</body>' AS html FROM pages
+""")
+def clean_html_unclosed(spark, sf_dir):
+    page = F.expr(
+        "concat('<html><head><title>x</title>', if(page_id % 3 = 0, '</head>', ''), '<body><svg><p>', page_id, '</p>', "
+        "if(page_id % 2 = 0, '<noscript><p>left', ''), '</body></html>')"
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", page.alias("html"))
+    return html_feeds.clean_html(pages, "html")
 
 
 @query("""

@@ -54,7 +54,7 @@ def group_event_feed(spark, sf_dir):
     return _counts(feeds.group_event_feed(_cards_with_order(social(spark, sf_dir))))
 
 
-def _post_inputs(spark, sf_dir):
+def _post_inputs(spark, sf_dir, limit=3):
     wall = table(spark, sf_dir, "conversations").select(
         lit("vk-posts").alias("source"), lit("perm").alias("city"),
         F.concat(lit("https://wall.example/group"), c("conv_id").cast("string")).alias("group_url"),
@@ -63,7 +63,7 @@ def _post_inputs(spark, sf_dir):
         F.unix_timestamp(lit("2024-01-19 00:00:00")).cast("double").alias("date_unix"),
         arrival(lit(0), "turn"),
     )
-    taken, documents = feeds.post_documents(wall, now(), size=2, limit=3, staging=scratch(spark))
+    taken, documents = feeds.post_documents(wall, now(), size=2, limit=limit, staging=scratch(spark))
     links = F.regexp_extract_all("document", F.lit(r"=== POST (\S+) ==="), F.lit(1))
     answers = documents.filter("chunk = 0 OR posts = 2").select(
         "doc_hash",
@@ -101,7 +101,19 @@ def post_feed_archive(spark, sf_dir):
     return feeds.post_feed(taken, documents, answers, day()).archive.select("url", "hash")
 
 
-def _listing_run(spark, sf_dir):
+_POSTS_ALL = _POSTS.replace(" QUALIFY place <= 3", "")
+
+
+@query(_POSTS_ALL + """
+SELECT 'Event of ' || url AS title, url AS source_url, CASE WHEN turn = 1 THEN 'past' ELSE 'extracted' END AS outcome
+FROM d WHERE chunk = 0 OR size = 2
+""")
+def post_feed_all(spark, sf_dir):
+    taken, documents, answers = _post_inputs(spark, sf_dir, None)
+    return feeds.post_feed(taken, documents, answers, day()).settled.select("title", "source_url", "outcome")
+
+
+def _listing_run(spark, sf_dir, garbage=None):
     pages = _jsonld_pages(spark, sf_dir).withColumns({
         "event_type": expr("if(page % 2 = 0, 'quiz', null)"), "rendered": c("page") % 4 == 0,
     })
@@ -112,6 +124,8 @@ def _listing_run(spark, sf_dir):
             "'price_max', 0, 'price_text', 'x', 'address', 'Street', 'venue_name', 'Hall')) AS events"
         ).alias("content"),
     )
+    if garbage:
+        answers = answers.withColumn("content", F.when(F.expr(garbage), "sorry, no json").otherwise(c("content")))
     stored = pages.filter("page % 10 = 1").select("url", F.sha2("content", 256).alias("hash"))
     return feeds.listing_feed(pages, answers, day(), stored, scratch(spark))
 
@@ -143,6 +157,32 @@ def listing_feed_counters(spark, sf_dir):
     return _counts(_listing_run(spark, sf_dir))
 
 
+_UNREADABLE = _LISTED.replace("SELECT k FROM pages_in WHERE k % 3 = 0", "SELECT k FROM pages_in WHERE k % 3 = 0 AND k % 9 <> 0")
+
+
+@query(_UNREADABLE + """
+SELECT counter, n FROM (SELECT (SELECT count(*) FROM ld) + (SELECT count(*) FROM model) AS discovered,
+  (SELECT count(*) FROM ld) + (SELECT count(*) FROM model) AS extracted, (SELECT count(*) FROM ld) + (SELECT count(*) FROM model) AS new,
+  (SELECT count(*) FROM pages_in WHERE (k % 3 <> 0 OR k % 9 = 0) AND k NOT IN (SELECT p_partkey FROM ld)) AS failed)
+UNPIVOT (n FOR counter IN (discovered, extracted, new, failed))
+""")
+def unreadable_answers(spark, sf_dir):
+    return _counts(_listing_run(spark, sf_dir, "cast(substring_index(url, '/p', -1) AS int) % 9 = 0"))
+
+
+@query("""
+SELECT 'failed' AS counter, count(*) AS n FROM pages WHERE page_id % 3 = 0
+""")
+def unreadable_pages(spark, sf_dir):
+    raw = table(spark, sf_dir, "pages").select(
+        lit("quiz").alias("source"), lit("perm").alias("city"), "url", c("page_id").alias("page"),
+        F.when(c("page_id") % 3 == 0, c("html")).otherwise(lit('{"data": {"data": []}}')).alias("content"),
+    )
+    from eventloom.sources import json_feeds
+
+    return _counts(feeds.direct_feed(json_feeds.quiz_games(raw, "https://site.example"), raw))
+
+
 @query("""
 SELECT counter, n FROM (SELECT count(*) AS discovered, count(*) FILTER (WHERE page_id % 4 <> 0) AS new,
   count(*) FILTER (WHERE page_id % 4 <> 0 AND page_id % 3 = 0) AS extracted,
@@ -172,6 +212,20 @@ SELECT 'generic:d' || k || '.example' AS source, CASE WHEN k % 4 = 0 THEN 'Data
 FROM t WHERE k % 5 <> 0 AND (k % 4 = 0 OR turn <= 5)
 """)
 def generic_feed(spark, sf_dir):
+    run, _ = _generic_run(spark, sf_dir, 20, 5)
+    return run.settled.filter("outcome = 'extracted'").select("source", "title")
+
+
+@query("""
+SELECT 'generic:d' || c_custkey || '.example' AS source, CASE WHEN c_custkey % 4 = 0 THEN 'Data ' ELSE 'Model ' END || c_custkey AS title
+FROM customer WHERE c_custkey % 5 <> 0
+""")
+def generic_feed_all(spark, sf_dir):
+    run, _ = _generic_run(spark, sf_dir)
+    return run.settled.filter("outcome = 'extracted'").select("source", "title")
+
+
+def _generic_run(spark, sf_dir, domains=None, asked=None):
     rows = table(spark, sf_dir, "customer")
     domain = F.concat(lit("d"), c("c_custkey").cast("string"), lit(".example"))
     url = F.concat(lit("https://"), domain, lit("/afisha"))
@@ -203,11 +257,10 @@ def generic_feed(spark, sf_dir):
     probes = pages.select(
         lit("none").alias("domain"), lit(0).alias("probe_order"), "url", lit(200).alias("status"), "content"
     )
-    run, _ = feeds.generic_feed(stored, probes, pages, answers, hashes, now(), 20, 5, scratch(spark))
-    return run.settled.filter("outcome = 'extracted'").select("source", "title")
+    return feeds.generic_feed(stored, probes, pages, answers, hashes, now(), domains, asked, scratch(spark))
 
 
-def _city_run(spark, sf_dir):
+def _city_run(spark, sf_dir, times=1):
     """A run for one city: five feeds by event type, over a table that already holds rows."""
     rows = cards(spark, sf_dir)
     tables = city_plan.Tables(spark, scratch(spark))
@@ -226,7 +279,8 @@ def _city_run(spark, sf_dir):
         raise ValueError("HTTP 403")
 
     configured.append(city_plan.Feed("broken", broken))
-    run = city_plan.run_city(tables, "perm", configured, PRIORITIES, AS_OF_DAY, MOMENT, "run")
+    for _ in range(times):
+        run = city_plan.run_city(tables, "perm", configured, PRIORITIES, AS_OF_DAY, MOMENT, "run")
     return tables, run
 
 
@@ -268,6 +322,47 @@ def run_city(spark, sf_dir):
     return tables.events.read().select("id", "source", "time_start", "description", "price_max")
 
 
+_AFTER = _CITY + """
+SELECT id, source, time_start, description, price_max FROM (
+  SELECT * FROM merged UNION ALL
+  SELECT id, source, city, date, time_start, description, price_max FROM kept WHERE id NOT IN (SELECT id FROM merged))
+WHERE city <> 'perm' OR date >= '2024-01-19'
+"""
+
+
+@query(f"SELECT *, 6 AS health_rows FROM ({_AFTER})")
+def run_city_repeated(spark, sf_dir):
+    """The same run twice: the same table, and health rows once."""
+    tables, run = _city_run(spark, sf_dir, times=2)
+    run.close()
+    written = spark.read.schema(ddl(HEALTH)).parquet(tables.path("health")).count()
+    return tables.events.read().select(
+        "id", "source", "time_start", "description", "price_max", lit(written).alias("health_rows"))
+
+
+@query(f"""
+WITH {CARDS} SELECT city, count(DISTINCT id) AS n, count(DISTINCT city) AS cities FROM cards
+WHERE NOT stored AND date >= '2024-01-19' GROUP BY city
+""")
+def run_two_cities(spark, sf_dir):
+    """Two cities at once under one run id: each table holds its own city."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    tables = city_plan.Tables(spark, scratch(spark))
+    incoming = _cards_with_order(cards(spark, sf_dir).filter("NOT stored"))
+
+    def run(city):
+        mine = [city_plan.Feed("all", lambda: feeds.direct_feed(incoming.filter(c("city") == city)))]
+        city_plan.run_city(tables, city, mine, PRIORITIES, AS_OF_DAY, MOMENT, "run").close()
+        rows = tables.events.of(city).read()
+        return rows.groupBy(lit(city).alias("city")).agg(
+            F.count_distinct("id").alias("n"), F.count_distinct("city").alias("cities"))
+
+    with ThreadPoolExecutor(2) as pool:
+        perm, sochi = pool.map(run, ("perm", "sochi"))
+    return perm.unionByName(sochi)
+
+
 @query(_CITY + """
 SELECT source, count(*) AS discovered, count(*) AS extracted, 0 AS failed, NULL AS last_error FROM incoming GROUP BY source
 UNION ALL SELECT 'broken', 0, 0, 1, 'broken: HTTP 403'

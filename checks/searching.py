@@ -79,15 +79,13 @@ def score_candidates(spark, sf_dir):
     return _scored(spark, sf_dir).select("city", "domain", "has_jsonld_event", "score")
 
 
-@query(f"WITH {_SCORED} SELECT domain, score, row_number() OVER (ORDER BY score DESC, first_seq, domain) AS place FROM scored QUALIFY place <= 30")
+@query(f"WITH {_SCORED} SELECT domain, score, row_number() OVER (ORDER BY score DESC, first_seq, domain) AS place FROM scored")
 def candidates_by_score(spark, sf_dir):
-    from eventloom.operators.listing import sample
-
-    best = discovery.by_score(_scored(spark, sf_dir)).limit(30)
-    from pyspark.sql import Window
+    from eventloom.operators.ranking import number_rows
 
-    order = Window.orderBy(F.desc("score"), "first_seq", "domain")  # thirty rows
-    return best.select("domain", "score", F.row_number().over(order).alias("place"))
+    best = discovery.by_score(_scored(spark, sf_dir)).select(
+        "domain", "score", lit(0).alias("all"), F.struct(-c("score"), "first_seq", "domain").alias("o"))
+    return number_rows(best, ["all"], "o", "place", -c("score")).select("domain", "score", "place")
 
 
 @query("""
@@ -173,6 +171,11 @@ def discovery_health(spark, sf_dir):
     return discovery.discovery_health(_stored(spark, sf_dir), "perm", lit("2024-01-13").cast("timestamp"))
 
 
+@query("SELECT 'total' AS kind, 'all' AS value, 0 AS n, NULL::DOUBLE AS avg_score, false AS healthy")
+def discovery_health_empty(spark, sf_dir):
+    return discovery.discovery_health(_stored(spark, sf_dir), "perm", lit("2025-01-01").cast("timestamp"))
+
+
 @query(f"WITH {_STORED} SELECT first_provider, count(*) AS n FROM stored GROUP BY 1")
 def provider_contribution(spark, sf_dir):
     return discovery.provider_contribution(_stored(spark, sf_dir))
@@ -301,3 +304,34 @@ def discover_sources(spark, sf_dir):
     none = shape(_stored(spark, sf_dir).filter("false"), CANDIDATE)
     scored, _ = search_plan.discover_sources(rows, known, none, _pages(spark, sf_dir), now())
     return scored.select("city", "domain", "score")
+
+
+@query(f"""
+WITH {HITS},
+best AS (SELECT *, list_position(['serper', 'brave', 'duckduckgo'], provider) AS r FROM hits),
+answered AS (SELECT * FROM best QUALIFY r = min(r) OVER (PARTITION BY query)),
+kept AS (SELECT * FROM answered WHERE domain NOT IN (SELECT domain FROM hits WHERE seq % 7 = 0))
+SELECT domain, min(city) AS city, array_to_string(list_sort(list(DISTINCT query)), '|') AS queries FROM kept GROUP BY domain
+""")
+def discover_sources_table(spark, sf_dir):
+    rows = hits(spark, sf_dir)
+    known = rows.filter("seq % 7 = 0").select("url")
+    none = shape(_stored(spark, sf_dir).filter("false"), CANDIDATE)
+    _, stored = search_plan.discover_sources(rows, known, none, _pages(spark, sf_dir), now())
+    return stored.select("domain", "city", F.array_join("queries", "|").alias("queries"))
+
+
+@query("""
+SELECT 'd' || c_custkey // 2 || '.example' AS domain, min(CASE WHEN c_custkey % 2 = 0 THEN 'perm' ELSE 'sochi' END) AS city,
+  array_to_string(list_sort(list(DISTINCT 'q' || c_custkey % 5)), '|') AS queries FROM customer GROUP BY c_custkey // 2
+""")
+def candidates_of_two_cities(spark, sf_dir):
+    found = table(spark, sf_dir, "customer").select(
+        expr("concat('d', c_custkey DIV 2, '.example')").alias("domain"),
+        expr("if(c_custkey % 2 = 0, 'perm', 'sochi')").alias("city"),
+        expr("array(concat('q', c_custkey % 5))").alias("queries"), expr("array('https://x.example/')").alias("sample_urls"),
+        lit(1).cast("long").alias("score"), lit(False).alias("has_jsonld_event"), lit("brave").alias("first_provider"),
+        lit("q").alias("first_query"),
+    )
+    merged = discovery.merge_candidates(found, shape(_stored(spark, sf_dir).filter("false"), CANDIDATE), now())
+    return merged.select("domain", "city", F.array_join("queries", "|").alias("queries"))

@@ -47,9 +47,17 @@ def upsert_counts(spark, sf_dir):
     store = tb.KeyedTable(spark, scratch(spark), EVENT)
     tb.upsert_events(store, rows.filter("seq % 3 <> 2"))
     counts = tb.upsert_events(store, rows.filter("seq % 3 <> 0"))
-    return rows.limit(1).select(
-        lit(counts.inserted).cast("long").alias("inserted"), lit(counts.updated).cast("long").alias("updated")
-    )
+    return spark.createDataFrame([(counts.inserted, counts.updated)], "inserted long, updated long")
+
+
+@query("SELECT event_id AS seq, 'b' AS title FROM events")
+def upsert_duplicate_keys(spark, sf_dir):
+    rows = _event_rows(spark, sf_dir)
+    twice = rows.withColumn("title", lit("a")).unionByName(rows.withColumn("title", lit("b")))
+    store = tb.KeyedTable(spark, scratch(spark), EVENT)
+    tb.upsert_events(store, twice)
+    tb.upsert_events(store, twice)
+    return store.read().join(rows.select("id", "seq"), "id").select("seq", "title")
 
 
 @query(f"""
@@ -175,9 +183,7 @@ def export_venues(spark, sf_dir):
 
 
 @query("""
-SELECT city, array_to_string(list(substr(w, 1, 200) ORDER BY event_id), '|') AS warnings
-FROM (SELECT event_id, 'city ' || (event_id // 20) AS city, repeat('token ', 30 + event_id % 5) || event_id AS w
-  FROM events) GROUP BY city
+SELECT 'city ' || (event_id // 20) AS city, event_id AS seq, repeat('token ', 30 + event_id % 5) || event_id AS warning FROM events
 """)
 def write_warnings(spark, sf_dir):
     rows = table(spark, sf_dir, "events").selectExpr(
@@ -186,8 +192,7 @@ def write_warnings(spark, sf_dir):
     )
     path = scratch(spark)
     tb.write_warnings(rows, path)
-    back = spark.read.schema("city string, warnings array<string>").json(path)
-    return back.select("city", F.array_join("warnings", "|").alias("warnings"))
+    return spark.read.schema("city string, seq bigint, warning string").json(path).select("city", "seq", "warning")
 
 
 @query(f"WITH {CARDS}, {SOCIAL} SELECT id, title FROM social WHERE seq % 5 = 0 AND seq % 10 <> 0")

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import vocab
 from ..functions import predicates, urls
 from ..schemas import CANDIDATE, shape
-from ..session import checked_broadcast
 from .cards import drop_known_domains
 from .ranking import first_n
 
@@ -107,8 +106,14 @@ def merge_candidates(found: DataFrame, stored: DataFrame, now: Column) -> DataFr
 
     A moderator's decision, the finding time and the first provider and query of a known
     domain stay; its queries grow; a `new` one that now has every sign becomes `approved`.
-    Domains not found this time stay as they are.
+    Domains not found this time stay as they are. A domain found in several cities is one row:
+    the first city by name, with the queries of all.
     """
+    rest = [c for c in found.columns if c not in ("domain", "queries")]
+    found = found.groupBy("domain").agg(
+        F.min_by(F.struct(*rest), F.struct("city", F.to_json(F.struct(*rest)))).alias("_row"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("queries")))).alias("queries"),
+    ).select("domain", "queries", "_row.*")
     f = found.select(
         "domain",
         F.struct(*[c for c in found.columns if c != "domain"]).alias("f"),
@@ -155,7 +160,7 @@ def merge_candidates(found: DataFrame, stored: DataFrame, now: Column) -> DataFr
 def update_listing_cache(candidates: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Candidates with the listing url found for their domain and the time of the check."""
     fresh = found.select("domain", F.col("listing_url").alias("_url"))
-    joined = candidates.join(checked_broadcast(fresh), "domain", "left")
+    joined = candidates.join(fresh, "domain", "left")
     return joined.withColumns({
         "listing_url": F.coalesce("_url", "listing_url"),
         "last_verified": F.when(F.col("_url").isNotNull(), now).otherwise(F.col("last_verified")),
@@ -182,7 +187,7 @@ def discovery_summary(candidates: DataFrame) -> DataFrame:
 
 
 def discovery_health(candidates: DataFrame, city: str, since: Column) -> DataFrame:
-    """New candidates since a time: in all, by provider and by status, in one pass.
+    """New candidates since a time: in all, by provider and by status.
 
     `kind` is total, provider or status; `healthy` is false when there are none at all.
     """
@@ -192,10 +197,16 @@ def discovery_health(candidates: DataFrame, city: str, since: Column) -> DataFra
         F.coalesce("score", F.lit(0)).alias("score"),
     )
     p, s = F.col("provider"), F.col("status")
-    sets = rows.groupingSets([[p], [s], []], p, s).agg(
+    sets = rows.groupingSets([[p], [s]], p, s).agg(
         F.grouping("provider").alias("_p"), F.grouping("status").alias("_s"),
         F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 1).alias("avg_score"),
     )
+    # The total is an aggregate without groups, which has a row even where there is nothing.
+    sets = sets.unionByName(rows.agg(
+        F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("status"),
+        F.lit(1).alias("_p"), F.lit(1).alias("_s"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 1).alias("avg_score"),
+    ))
     total = (F.col("_p") == 1) & (F.col("_s") == 1)
     kind = F.when(total, "total").when(F.col("_p") == 0, "provider").otherwise("status")
     return sets.select(
@@ -208,21 +219,29 @@ def provider_contribution(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("first_provider").agg(F.count(F.lit(1)).alias("n"))
 
 
-def approved_domains(candidates: DataFrame, limit: int, by: str = "city") -> DataFrame:
-    """The best approved domains of each city, with their rank `place`."""
+def approved_domains(candidates: DataFrame, limit: int | None = None, by: str = "city") -> DataFrame:
+    """The approved domains of each city; with `limit` the best ones, with their rank `place`.
+
+    Without a limit no rank is needed and `place` is 0, so that no city is sorted as a whole.
+    """
     approved = candidates.filter(F.col("status") == "approved")
+    if limit is None:
+        return approved.withColumn("place", F.lit(0))
     order = Window.partitionBy(by).orderBy(F.desc("score"), "domain")
     return approved.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
 def budgeted_domains(
-    domains: DataFrame, changed: str, structured: str, model_budget: int, by: str = "city"
+    domains: DataFrame, changed: str, structured: str, model_budget: int | None = None, by: str = "city"
 ) -> DataFrame:
     """Which domains are read, and which of them may use the model.
 
     Unchanged domains are skipped; those without structured data share the model budget in
-    rank order. `domains` is already cut to the domain budget, so the window is small.
+    rank order, if there is one.
     """
+    if model_budget is None:
+        kind = F.when(~F.col(changed), "unchanged").when(F.col(structured), "structured")
+        return domains.withColumn("reading", kind.otherwise("model"))
     needs = F.col(changed) & ~F.col(structured)
     turn = F.sum(needs.cast("int")).over(
         Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)

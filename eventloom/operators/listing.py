@@ -40,12 +40,16 @@ def apply_filters(
     as_of: Column,
     types_chosen: list[str] | None = None,
     when: str = "any",
-    price_min: int = 0,
-    price_max: int = 5000,
+    price_min: int | None = None,
+    price_max: int | None = None,
 ) -> DataFrame:
     """Reader's choice: types, day, and prices whose range meets the chosen one."""
     day = dates.event_date(F.col("date"))
-    kept = events.filter((F.col("price_max") >= price_min) & (F.col("price_min") <= price_max))
+    kept = events
+    if price_min is not None:
+        kept = kept.filter(F.col("price_max") >= price_min)
+    if price_max is not None:
+        kept = kept.filter(F.col("price_min") <= price_max)
     if types_chosen is not None:
         kept = kept.filter(F.col("type").isin(types_chosen))
     if when == "today":

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import dates
-from ..session import checked_broadcast
 from .cards import event_rows_to_venues
 
 
@@ -43,7 +42,7 @@ def sync_snapshot(
     reporting = current.select("source", "city").distinct().withColumn("_reports", F.lit(True))
     reported = current.select("source", "city", "id").distinct().withColumn("_again", F.lit(True))
     keys = ["source", "city"]
-    flagged = events.join(checked_broadcast(reporting), keys, "left").join(
+    flagged = events.join(reporting, keys, "left").join(
         reported, [*keys, "id"], "left"
     )
     doomed = (
@@ -88,7 +87,7 @@ def venues_from_events(
 
 def bootstrap_venues(venues: DataFrame, events: DataFrame, updated_at: Column) -> DataFrame:
     """Venue rows for cities that have none yet, to be inserted only."""
-    filled = checked_broadcast(venues.select("city").distinct())
+    filled = venues.select("city").distinct()
     fresh = venues_from_events(events, updated_at).join(filled, "city", "left_anti")
     return fresh.select(*venues.columns)
 

@@ -13,7 +13,6 @@ from .. import vocab
 from ..functions.text import normalize_text, present
 from ..functions.types import filter_tags, literal_map
 from ..schemas import FILLABLE
-from ..session import checked_broadcast
 
 PRICE = ["price_min", "price_max", "price_text", "price_note"]
 
@@ -31,7 +30,7 @@ def with_priority(
         found = literal_map(priorities)[key] if priorities else F.lit(None)
         return rows.withColumn("pri", F.coalesce(found.cast("int"), F.lit(0)))
     listed = priorities.groupBy(F.col("source").alias("_source")).agg(F.max("priority").alias("pri"))
-    joined = rows.join(checked_broadcast(listed), key == F.col("_source"), "left")
+    joined = rows.join(listed, key == F.col("_source"), "left")
     return joined.drop("_source").withColumn("pri", F.coalesce("pri", F.lit(0)))
 
 

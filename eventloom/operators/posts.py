@@ -18,9 +18,9 @@ def candidate_posts(
     source_type: Column | str = predicates.SOCIAL,
     group: list[str] = ("source", "city", "group_url"),
     days: int = 14,
-    limit: int = 20,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Fresh announcements not processed before, the first `limit` of each group in feed order.
+    """Fresh announcements not processed before; with `limit` the first ones of each group in feed order.
 
     The cheap tests run in the scan; only what passes them is compared with the archive.
     """

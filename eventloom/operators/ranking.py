@@ -26,27 +26,30 @@ def drop_repeats(df: DataFrame, keys: list[str], order: str, blank: str | None =
     return df.groupBy(*named).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")
 
 
-def first_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first `n` rows of each group. Spark limits each group before the shuffle too."""
+def first_n(df: DataFrame, group: list[str], order: list[Column], n: int | None) -> DataFrame:
+    """The first `n` rows of each group (None: all). Spark limits each group before the shuffle too."""
+    if n is None:
+        return df
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.filter(F.col("_n") <= n).drop("_n")
 
 
-def last_n(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
-    """The last `n` rows of each group."""
+def last_n(df: DataFrame, group: list[str], order: list[str], n: int | None) -> DataFrame:
+    """The last `n` rows of each group (None: all)."""
     return first_n(df, group, [F.col(c).desc() for c in order], n)
 
 
 def number_rows(
-    df: DataFrame, group: list[str], order: str, name: str = "row_no", block: int = 100_000
+    df: DataFrame, group: list[str], order: str, name: str = "row_no", block: int | Column = 100_000
 ) -> DataFrame:
-    """Number the rows of each group from 1 in the order of a whole-number column.
+    """Number the rows of each group from 1 in the order of a column.
 
-    `order` is cut into blocks of `block` values. Counts per block give each block its
-    offset, and rows are numbered inside their block only, so no task sorts more than
-    one block however large the group. `order` is unique within a group.
+    A whole-number `order` is cut into blocks of `block` values; for any other, `block` is a
+    column that rises with it. Counts per block give each block its offset, and rows are
+    numbered inside their block only, so no task sorts more than one block however large
+    the group. `order` is unique within a group.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block) if isinstance(block, int) else block)
     keys = [*group, "_block"]
     offsets = (
         blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import vocab
 from ..operators import cards as card_ops, maintenance, merge, reports
 from ..schemas import CANDIDATE, EVENT, VENUE
-from ..session import checked_broadcast, staged
+from ..session import staged
 from ..tables import CityTables, KeyedTable, RawArchive, append_health, snapshot_upsert, upsert_venues
 from .feeds import FeedRun
 
@@ -58,25 +58,33 @@ class CityRun:
     near_misses: DataFrame
     inserted: int
     updated: int
+    spark: SparkSession
+    staging: str
+
+    def close(self) -> None:
+        """Remove what the run staged; its frames can't be read after."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.staging)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 FEEDS_AT_A_TIME = 8
 
 
-def stage(feeds: list[Feed], city: str, path: str, fetched_at, raw: RawArchive) -> list[tuple]:
-    """Write every feed's settled cards and counters; a feed that fails leaves the others alone.
+def stage(feeds: list[Feed], city: str, path: str) -> list[tuple]:
+    """Write every feed's settled cards, counters and documents to archive.
 
-    Feeds are small next to a cluster, so several are written at a time, each to folders of
-    its own. Returns (order, feed, city, error) with the error text of a failed feed.
+    A feed that fails leaves the others alone. Feeds are small next to a cluster, so several are
+    written at a time, each to folders of its own. Returns (order, feed, city, error, whether
+    there are documents) with the error text of a failed feed.
     """
 
     def attempt(feed: Feed, work) -> str | None:
         try:
             work()
         except Exception as problem:  # one source must not take the run down
-            return f"{feed.name}: {str(problem).splitlines()[0]}"[: vocab.WARNING_LENGTH]
+            return f"{feed.name}: {problem}"
 
-    archives = {}
+    archives = set()
 
     def write(order: int, feed: Feed) -> None:
         run = feed.read()
@@ -84,16 +92,18 @@ def stage(feeds: list[Feed], city: str, path: str, fetched_at, raw: RawArchive)
         settled = staged(numbered, f"{path}/settled/feed={order}")
         tally = run.tally(settled).withColumn("feed_order", F.lit(order))
         tally.write.mode("overwrite").parquet(f"{path}/tally/feed={order}")
-        archives[order] = run.archive
+        if run.archive is not None:
+            run.archive.write.mode("overwrite").parquet(f"{path}/archive/feed={order}")
+            archives.add(order)
 
     with ThreadPoolExecutor(FEEDS_AT_A_TIME) as pool:
         errors = list(
             pool.map(lambda item: attempt(item[1], lambda: write(*item)), enumerate(feeds))
         )
-    for order, feed in enumerate(feeds):
-        if errors[order] is None and archives[order] is not None:
-            errors[order] = attempt(feed, lambda: raw.append(archives[order], fetched_at, city))
-    return [(order, feed.name, city, errors[order]) for order, feed in enumerate(feeds)]
+    return [
+        (order, feed.name, city, errors[order], order in archives and errors[order] is None)
+        for order, feed in enumerate(feeds)
+    ]
 
 
 _TALLY = "source string, city string, counter string, n bigint, feed_order int"
@@ -108,15 +118,21 @@ def run_city(
     as_of: datetime.date,
     now: datetime.datetime,
     run_id: str,
+    duration: float | None = None,
 ) -> CityRun:
     """Read all feeds, merge with what is stored, write, purge and record.
 
-    Each feed is staged once, so the later steps read files instead of reading feeds again.
+    Each feed is staged once, in a folder of the city and run, so the later steps read files.
+    Documents are archived only after the event table is written: a run that fails before meets
+    the same pages again. A repeated run replaces its health rows. `CityRun.close` removes the
+    staging folder once the frames of the result are read.
     """
     spark = tables.spark
+    events = tables.events.of(city)
+    base = events.version()
     day, moment = F.lit(as_of), F.lit(now).cast("timestamp")
-    folder = tables.path(f"staging/{run_id}")
-    outcomes = stage(feeds, city, folder, moment, tables.raw)
+    folder = tables.path(f"staging/city={city}/run={run_id}")
+    outcomes = stage(feeds, city, folder)
     good = [o[0] for o in outcomes if o[3] is None]
     if not good:
         raise RuntimeError("every feed failed: " + "; ".join(o[3] for o in outcomes))
@@ -124,14 +140,15 @@ def run_city(
     settled = spark.read.parquet(*[f"{folder}/settled/feed={i}" for i in good])
     tally = spark.read.schema(_TALLY).parquet(*[f"{folder}/tally/feed={i}" for i in good])
 
-    venues = card_ops.to_venues(settled.filter(F.col("outcome") == "venue"), F.lit("twogis"), moment)
+    # Of two feeds that report a venue the later one counts, and of one feed the first report.
+    found = settled.filter(F.col("outcome") == "venue").withColumn("seq", F.struct(-F.col("feed_order"), "seq"))
+    venues = card_ops.to_venues(found, F.lit("twogis"), moment)
     upsert_venues(tables.venues.of(city), venues)
 
     extracted = settled.filter(F.col("outcome") == "extracted").withColumn(
         "seq", F.struct("feed_order", "seq")
     )
     rows = staged(card_ops.to_event_rows(extracted, moment), f"{folder}/rows")
-    events = tables.events.of(city)
     stored = events.read()
     full = [f.name for f in feeds if f.full_snapshot]
     current = rows.filter(F.col("source").isin(full)).select("source", "city", "id")
@@ -147,7 +164,11 @@ def run_city(
     total = merged.count()
     others = kept.join(merged.select("id"), "id", "left_anti")
     result = merged.select(*EVENT).unionByName(others.select(*EVENT))
-    events.replace(maintenance.purge_past(result, day, city)[0])
+    events.replace(maintenance.purge_past(result, day, city)[0], after=base)
+    for order, _, _, _, documents in outcomes:
+        if documents:
+            archive = spark.read.parquet(f"{folder}/archive/feed={order}")
+            tables.raw.append(archive, moment, city)
     events.expire(keep=3)
     tables.raw.purge(as_of)
 
@@ -157,11 +178,11 @@ def run_city(
     quality = reports.source_quality(reports.extracted_by_source(rows), pairs, city, snapshot)
     snapshot_upsert(spark, tables.path("quality"), quality, ["source"], tables.path("checkpoint"))
 
-    parts = run_parts(spark, tally, outcomes)
-    append_health(tables.path("health"), health_rows(parts, moment), city)
+    parts = run_parts(spark, tally, [o[:4] for o in outcomes])
+    append_health(tables.path("health"), health_rows(parts, moment, duration), city, run_id)
     return CityRun(
         parts, reports.run_summary(parts, ["city"]), merged, pairs,
-        merge.near_misses(rows, peers), total - known, known,
+        merge.near_misses(rows, peers), total - known, known, spark, folder,
     )
 
 
@@ -190,10 +211,10 @@ def run_parts(spark: SparkSession, tally: DataFrame, outcomes: list[tuple]) -> D
     )
 
 
-def health_rows(parts: DataFrame, run_at) -> DataFrame:
+def health_rows(parts: DataFrame, run_at, duration: float | None = None) -> DataFrame:
     return parts.select(
         "source", "city", run_at.alias("run_at"), F.col("extracted").alias("events_found"),
-        F.col("failed").alias("errors"), F.lit(None).cast("decimal(12,3)").alias("duration_sec"),
+        F.col("failed").alias("errors"), F.lit(duration).cast("decimal(12,3)").alias("duration_sec"),
         reports.health_error_text(F.col("warnings"), F.col("skipped_always")).alias("last_error"),
     )
 
@@ -212,9 +233,9 @@ def refresh_venues(
 ) -> dict:
     """Venues from the catalog, or from rendered pages for cities where the catalog gave none."""
     moment = F.lit(now).cast("timestamp")
-    folder = tables.path(f"staging/venues-{now:%Y%m%dT%H%M%S}")
+    folder = tables.path(f"staging/venues/run={now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}")
     catalog = staged(catalog, f"{folder}/catalog")
-    filled = checked_broadcast(catalog.select("city").distinct())
+    filled = catalog.select("city").distinct()
     fallback = rendered.join(filled, "city", "left_anti")
     venues = card_ops.to_venues(catalog, F.lit("twogis"), moment).unionByName(
         card_ops.to_venues(fallback, F.lit("playwright"), moment)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates, predicates, text, urls
 from ..operators import cards as card_ops, discovery, posts as post_ops
-from ..sources.json_feeds import model_responses
+from ..operators.ranking import number_rows
+from ..sources.json_feeds import is_readable_answer, model_responses, unreadable
 from ..sources.structured import jsonld_events, structured_or_model
 from ..schemas import CARD
 from ..session import staged
@@ -79,29 +80,37 @@ def count_settled(settled: DataFrame, discovered: bool, new: bool) -> DataFrame:
     return wide.unpivot(["source", "city"], list(named), "counter", "n")
 
 
-def direct_feed(cards: DataFrame) -> FeedRun:
-    """A feed that gives cards itself: undated ones become venues, the rest events."""
-    return FeedRun(settle(cards, direct=True))
+def _failed_pages(raw: DataFrame | None) -> list[DataFrame]:
+    return [] if raw is None else [count_as(unreadable(raw), "failed")]
 
 
-def group_event_feed(cards: DataFrame) -> FeedRun:
+def direct_feed(cards: DataFrame, raw: DataFrame | None = None) -> FeedRun:
+    """A feed that gives cards itself: undated ones become venues, the rest events.
+
+    Landed JSON pages given as `raw` that can't be read count as failed.
+    """
+    return FeedRun(settle(cards, direct=True), _failed_pages(raw))
+
+
+def group_event_feed(cards: DataFrame, raw: DataFrame | None = None) -> FeedRun:
     """Communities that are events."""
-    return FeedRun(settle(cards))
+    return FeedRun(settle(cards), _failed_pages(raw))
 
 
 def post_documents(
     posts: DataFrame, now: Column, hashes: DataFrame | None = None,
-    source_type: Column | str = predicates.SOCIAL, size: int = 5, limit: int = 20,
+    source_type: Column | str = predicates.SOCIAL, size: int = 5, limit: int | None = None,
     staging: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(posts taken, documents to ask about). Documents are keyed by `doc_hash`.
 
-    With `staging` the posts taken are written there once and read from there after.
+    Posts are numbered page by page, so no group is sorted as a whole. With `staging` the
+    posts taken are written there once and read from there after.
     """
     group = ["source", "city", "group_url"]
     taken = post_ops.candidate_posts(posts, now, hashes, source_type, group, limit=limit)
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("seq"))
-    placed = taken.withColumn("place", place).withColumn("chunk", F.floor((F.col("place") - 1) / size))
+    placed = number_rows(taken, group, "seq", "place", F.col("seq.page"))
+    placed = placed.withColumn("chunk", F.floor((F.col("place") - 1) / size))
     placed = staged(placed, staging and f"{staging}/posts")
     documents = post_ops.assemble_posts(placed.drop("chunk"), group, "place", size)
     documents = documents.withColumn("doc_hash", F.sha2("document", 256))
@@ -113,10 +122,11 @@ def post_feed(
 ) -> FeedRun:
     """Posts with the answers to their documents (doc_hash, content).
 
-    A document without an answer counts as failed and its posts are not archived, so they
-    are tried again in the next run.
+    A document without a readable answer counts as failed and its posts are not archived, so
+    they are tried again in the next run.
     """
-    asked = documents.join(answers.select("doc_hash", "content"), "doc_hash", "left")
+    usable = answers.filter(is_readable_answer(F.col("content"))).select("doc_hash", "content")
+    asked = documents.join(usable, "doc_hash", "left")
     answered = asked.filter(F.col("content").isNotNull())
     raw = answered.select(
         "source", "city", F.col("group_url").alias("url"), "content", F.col("chunk").alias("page")
@@ -154,9 +164,8 @@ def listing_feed(
         changed.filter(F.col("event_type").isNotNull()), F.col("event_type")
     )
     structured = staged(structured, staging and f"{staging}/structured")
-    asked = changed.select("source", "city", "url", "page").join(
-        answers.select("url", "content"), "url"
-    )
+    usable = answers.filter(is_readable_answer(F.col("content"))).select("url", "content")
+    asked = changed.select("source", "city", "url", "page").join(usable, "url")
     both = structured_or_model(structured, model_responses(asked))
     settled = settle(
         both.withColumn("source_url", urls.resolve_url(F.col("event_url"), F.col("source_url"))),
@@ -181,13 +190,14 @@ def per_url_feed(
     are landed by url. A url without a usable answer counts as failed.
     """
     fresh = card_ops.new_urls(found, events)
-    asked = fresh.join(answers.select("url", "content"), "url", "left")
+    usable = answers.filter(is_readable_answer(F.col("content"), batch=False)).select("url", "content")
+    asked = fresh.join(usable, "url", "left")
     raw = asked.filter(F.col("content").isNotNull()).select(
         "source", "city", "url", "content", F.col("seq.page").alias("page")
     )
     settled = settle(model_responses(raw, batch=False))
     ok = settled.filter(F.col("outcome").isin("extracted", "skipped_always"))
-    usable = ok.select(F.col("source_url").alias("url")).distinct()
+    good = ok.select(F.col("source_url").alias("url")).distinct()
     done = settled.filter(F.col("outcome") == "extracted").select(
         F.col("source_url").alias("url")
     ).distinct()
@@ -197,7 +207,7 @@ def per_url_feed(
     extra = [
         count_as(found, "discovered"),
         count_as(fresh, "new"),
-        count_as(fresh.join(usable, "url", "left_anti"), "failed"),
+        count_as(fresh.join(good, "url", "left_anti"), "failed"),
     ]
     return FeedRun(settled, extra, archive, discovered=False, new=False)
 
@@ -209,12 +219,13 @@ def generic_feed(
     answers: DataFrame,
     hashes: DataFrame,
     now: Column,
-    domain_budget: int = 20,
-    model_budget: int = 10,
+    domain_budget: int | None = None,
+    model_budget: int | None = None,
     staging: str | None = None,
 ) -> tuple[FeedRun, DataFrame]:
-    """The long tail: one page of each approved domain, best domains first.
+    """The long tail: one page of each approved domain, with budgets of the best domains only.
 
+    Pages beyond a model budget are counted as `over_budget`; they are read in a later run.
     Returns the feed and the domains with the page chosen for each, for the listing cache.
     Each domain is a source of its own, `generic:{domain}`.
     """
@@ -222,9 +233,10 @@ def generic_feed(
     chosen = discovery.pick_listing_url(best, probes, now)
     # The source names the cards too, so each domain has its own health.
     source = F.concat(F.lit("generic:"), F.col("domain"))
-    landed = pages.select(F.col("url").alias("listing_url"), "content").withColumn(
-        "hash", F.sha2("content", 256)
-    )
+    # Only the chosen pages move and are hashed.
+    landed = pages.select(F.col("url").alias("listing_url"), "content").join(
+        chosen.select("listing_url").distinct(), "listing_url", "left_semi"
+    ).withColumn("hash", F.sha2("content", 256))
     reading = chosen.withColumn("source", source).join(landed, "listing_url", "left")
     same = hashes.select(F.col("url").alias("listing_url"), "hash", F.lit(True).alias("_same"))
     reading = reading.join(same, ["listing_url", "hash"], "left").withColumn(
@@ -246,18 +258,22 @@ def generic_feed(
     turns = planned.filter(F.col("reading") == "model").select(
         "source", "city", F.col("listing_url").alias("url"), F.col("place").alias("page"), "content", "hash"
     )
-    asked = turns.drop("content").join(answers.select("url", "content"), "url")
+    usable = answers.filter(is_readable_answer(F.col("content"))).select("url", "content")
+    asked = turns.drop("content").join(usable, "url")
     cards = structured.unionByName(model_responses(asked.drop("hash")))
     settled = settle(
         cards.withColumn("source_url", urls.resolve_url(F.col("event_url"), F.col("source_url")))
     )
-    unreadable = planned.filter(F.col("content").isNull())
+    unread = planned.filter(F.col("content").isNull())
     unanswered = turns.join(asked.select("url"), "url", "left_anti")
     done = planned.filter(F.col("reading") == "structured").select(
         "source", F.col("listing_url").alias("url"), "content", "hash"
     ).unionByName(
         turns.join(asked.select("url"), "url", "left_semi").select("source", "url", "content", "hash")
     )
-    extra = [count_as(unreadable, "failed"), count_as(unanswered, "failed")]
+    extra = [
+        count_as(unread, "failed"), count_as(unanswered, "failed"),
+        count_as(planned.filter(F.col("reading") == "over_budget"), "over_budget"),
+    ]
     archive = done.withColumn("content_type", F.lit("html"))
     return FeedRun(settled, extra, archive), chosen

@@ -6,8 +6,6 @@ on other columns belong before these calls, since Spark does not move them insid
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -92,8 +90,8 @@ def playbill_cards(
     )
 
 
-def channel_posts(raw: DataFrame, count: int = 100, classes: dict = vocab.CHANNEL_CLASSES) -> DataFrame:
-    """Channel pages to posts, the last `count` of each page; posts without text or link go."""
+def channel_posts(raw: DataFrame, count: int | None = None, classes: dict = vocab.CHANNEL_CLASSES) -> DataFrame:
+    """Channel pages to posts, with `count` the last ones of each channel; posts without text or link go."""
 
     def read(html):
         for message in htmltree.parse(html).all(cls=classes["message"]):
@@ -203,27 +201,25 @@ def listing_links(raw: DataFrame, pattern: str) -> DataFrame:
 
 
 def clean_html(
-    pages: DataFrame, column: str, mode: str = "markdown", max_chars: int = 20_000
+    pages: DataFrame, column: str, dropped: list[str] = vocab.HTML_DROPPED_TAGS, max_chars: int | None = None
 ) -> DataFrame:
-    """Replace page source by what matters for extraction, as HTML or Markdown.
+    """Replace page source by what matters for extraction: its body without some elements.
 
-    Text beyond `max_chars` is cut and marked as cut, which is what the reader of such
-    documents expects; the uncut page stays in the raw archive.
+    An element that is opened and never closed costs its tag only. With `max_chars` text beyond
+    is cut and marked as cut; the uncut page stays in the raw archive.
     """
-    dropped = vocab.HTML_DROPPED_TAGS if mode == "html" else vocab.MARKDOWN_DROPPED_TAGS
-    names = pages.columns
-
-    def squeeze(html):
-        body = htmltree.strip_tags(html, dropped)
-        if mode == "html":
-            return body
-        return re.sub(r"\n{3,}", "\n\n", htmltree.to_markdown(htmltree.parse(body))).strip()
-
-    def run(batches):
-        for batch in batches:
-            yield batch.assign(**{column: [squeeze(html) for html in batch[column]]})[names]
-
-    cleaned = pages.mapInPandas(run, pages.schema)
-    marker = vocab.HTML_TRUNCATED if mode == "html" else vocab.MARKDOWN_TRUNCATED
-    cut = F.concat(F.substring(column, 1, max_chars), F.lit(marker))
-    return cleaned.withColumn(column, F.when(F.length(column) > max_chars, cut).otherwise(F.col(column)))
+    names = "|".join(dropped)
+    # An element goes with its content up to its first end tag; what is left of nested ones are stray tags.
+    element = rf"(?is)<({names})\b[^>]*>.*?</\1\s*>"
+    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), element, "")
+    bare = F.regexp_replace(bare, rf"(?is)</?(?:{names})\b[^>]*>", "")
+    body = F.greatest(F.regexp_instr("_text", F.lit(r"(?i)<body\b")), F.lit(1))
+    cleaned = pages.withColumn("_text", bare).withColumn("_at", body)
+    cleaned = cleaned.withColumn("_text", F.expr("substring(_text, _at)"))
+    end = F.length("_text") - F.locate(">ydob/<", F.lower(F.reverse("_text"))) + 1
+    whole = F.when(F.lower("_text").contains("</body>"), F.expr("substring(_text, 1, _end)")).otherwise(F.col("_text"))
+    cleaned = cleaned.withColumn("_end", end).withColumn("_text", whole)
+    if max_chars is not None:
+        marked = F.concat(F.substring("_text", 1, max_chars), F.lit(vocab.HTML_TRUNCATED))
+        cleaned = cleaned.withColumn("_text", F.when(F.length("_text") > max_chars, marked).otherwise(F.col("_text")))
+    return cleaned.withColumn(column, F.col("_text")).select(*pages.columns)

@@ -5,7 +5,6 @@ Used inside `mapInPandas` only, for pages whose cards nest too freely for patter
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 VOID = {
@@ -18,11 +17,20 @@ class Element:
     def __init__(self, tag, attrs=(), parent=None):
         self.tag, self.attrs, self.parent, self.children = tag, dict(attrs), parent, []
 
-    def walk(self):
-        for child in self.children:
+    def _inside(self):
+        """All nodes and texts below, in page order; a stack instead of calls, for pages of any depth."""
+        todo = [iter(self.children)]
+        while todo:
+            child = next(todo[-1], None)
+            if child is None:
+                todo.pop()
+                continue
+            yield child
             if isinstance(child, Element):
-                yield child
-                yield from child.walk()
+                todo.append(iter(child.children))
+
+    def walk(self):
+        return (child for child in self._inside() if isinstance(child, Element))
 
     def all(self, tag=None, cls=None, **attrs):
         """Descendants by tag, class (any of several) and attributes, in page order."""
@@ -39,11 +47,7 @@ class Element:
         return next(self.all(*args, **kwargs), None)
 
     def strings(self):
-        for child in self.children:
-            if isinstance(child, Element):
-                yield from child.strings()
-            else:
-                yield child
+        return (child for child in self._inside() if not isinstance(child, Element))
 
     def text(self, separator="", strip=False):
         parts = self.strings()
@@ -84,104 +88,3 @@ def parse(html):
     builder.feed(html or "")
     builder.close()
     return builder.root
-
-
-class _Stripper(HTMLParser):
-    """Source text without some elements, everything else as written."""
-
-    def __init__(self, dropped):
-        super().__init__(convert_charrefs=False)
-        self.dropped, self.depth, self.out, self.body = set(dropped), 0, [], None
-        self.end_at = 0
-
-    def _raw(self, text):
-        if not self.depth:
-            self.out.append(text)
-
-    def parse_endtag(self, i):
-        self.end_at = i
-        return super().parse_endtag(i)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.dropped:
-            self.depth += tag not in VOID
-            return
-        if tag == "body" and self.body is None and not self.depth:
-            self.body = len(self.out)
-        self._raw(self.get_starttag_text())
-
-    def handle_startendtag(self, tag, attrs):
-        if tag not in self.dropped:
-            self._raw(self.get_starttag_text())
-
-    def handle_endtag(self, tag):
-        if tag in self.dropped:
-            self.depth = max(0, self.depth - 1)
-        else:
-            self._raw(self.rawdata[self.end_at : self.rawdata.find(">", self.end_at) + 1])
-
-    def handle_data(self, data):
-        self._raw(data)
-
-    def handle_comment(self, data):
-        self._raw(f"<!--{data}-->")
-
-
-def strip_tags(html, dropped):
-    """The body of a page as source text without the dropped elements."""
-    html = html or ""
-    # Entities pass through untouched: their mark is swapped for an unused private character.
-    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in html)
-    stripper = _Stripper(dropped)
-    stripper.feed(html.replace("&", mark))
-    stripper.close()
-    text = "".join(stripper.out[stripper.body or 0:]).replace(mark, "&")
-    end = text.lower().rfind("</body>")
-    return text[: end + 7] if end >= 0 else text
-
-
-_BLOCK = {"p", "div", "section", "article", "main", "ul", "ol", "table", "blockquote", "form", "body"}
-
-
-def to_markdown(node):
-    """Headings, paragraphs, links, lists, emphasis, quotes, code and table rows as Markdown."""
-    out = []
-    for child in node.children:
-        if not isinstance(child, Element):
-            out.append(child if node.tag == "pre" else re.sub(r"\s+", " ", child))
-            continue
-        inner = to_markdown(child)
-        tag = child.tag
-        if re.fullmatch("h[1-6]", tag):
-            out.append(f"\n\n{'#' * int(tag[1])} {inner.strip()}\n\n")
-        elif tag == "a":
-            href, label = child.attrs.get("href"), inner.strip()
-            out.append(f"[{label}]({href})" if href and label else inner)
-        elif tag in ("b", "strong") and inner.strip():
-            out.append(f"**{inner.strip()}**")
-        elif tag in ("i", "em") and inner.strip():
-            out.append(f"*{inner.strip()}*")
-        elif tag == "br":
-            out.append("  \n")
-        elif tag == "hr":
-            out.append("\n\n---\n\n")
-        elif tag == "li":
-            place = [c for c in child.parent.children if isinstance(c, Element) and c.tag == "li"]
-            mark = f"{place.index(child) + 1}." if child.parent.tag == "ol" else "*"
-            out.append(f"\n{mark} {inner.strip()}")
-        elif tag == "code" and node.tag != "pre":
-            out.append(f"`{inner}`")
-        elif tag == "pre":
-            out.append(f"\n\n```\n{inner}\n```\n\n")
-        elif tag == "blockquote":
-            out.append("\n\n" + "\n".join("> " + l for l in inner.strip().splitlines()) + "\n\n")
-        elif tag == "tr":
-            cells = [to_markdown(c).strip() for c in child.children if isinstance(c, Element)]
-            out.append("\n| " + " | ".join(cells) + " |")
-        elif tag in ("img", "script", "style"):
-            continue
-        elif tag in _BLOCK:
-            out.append(f"\n\n{inner.strip()}\n\n")
-        else:
-            out.append(inner)
-    return "".join(out)

@@ -38,6 +38,20 @@ def parse_items(texts: DataFrame, layout: str, column: str = "item_text") -> Dat
     return texts.select(*texts.columns, parsed)
 
 
+def unreadable(raw: DataFrame) -> DataFrame:
+    """Landed pages that are no JSON: a reader gives no item for them, so their feed counts them as failed."""
+    return raw.filter(F.try_parse_json("content").isNull()).select(*KEPT)
+
+
+def is_readable_answer(content: Column, batch: bool = True) -> Column:
+    """Whether an answer is a list of cards or an object with `events`; without `batch`, an object."""
+    kind = F.schema_of_variant(F.try_parse_json(content))
+    if not batch:
+        return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    events = F.schema_of_variant(F.try_variant_get(F.try_parse_json(content), "$.events", "variant"))
+    return F.coalesce(kind.startswith("ARRAY"), F.lit(False)) | F.coalesce(events.startswith("ARRAY"), F.lit(False))
+
+
 def to_cards(items: DataFrame, values: dict[str, Column], source_url: Column) -> DataFrame:
     return items.select(
         *card_columns(values), "source", "city", source_url.alias("source_url"), "seq"

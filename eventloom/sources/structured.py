@@ -13,8 +13,11 @@ from ..functions.text import clean, clean_description, present
 from ..schemas import arrival, card_columns
 
 _SCRIPTS = (
-    r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
+    r"""(?is)<script\b[^>]*\btype\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))"""
+    r"""[^>]*>(.*?)</script\s*>"""
 )
+# Comments go, but not what only looks like one inside a script.
+_COMMENTS = r"(?is)(<script\b[^>]*>.*?</script\s*>)|<!--.*?-->"
 _LEVELS = 3
 
 
@@ -56,7 +59,8 @@ def jsonld_objects(raw: DataFrame, kept: list[str]) -> DataFrame:
 
     `_path` holds the position of an object in its page.
     """
-    blocks = F.regexp_extract_all("content", F.lit(_SCRIPTS), F.lit(1))
+    live = F.regexp_replace("content", _COMMENTS, "$1")
+    blocks = F.regexp_extract_all(live, F.lit(_SCRIPTS), F.lit(1))
     rows = raw.select(*kept, F.posexplode(blocks).alias("_at", "_text"))
     rows = rows.select(
         *kept, F.array("_at").alias("_path"), F.try_parse_json("_text").alias("obj")
@@ -68,11 +72,13 @@ def jsonld_objects(raw: DataFrame, kept: list[str]) -> DataFrame:
             *kept, "_path", F.posexplode(F.coalesce(inner(), F.array("obj"))).alias("_at", "obj")
         ).withColumn("_path", F.concat("_path", F.array("_at"))).drop("_at")
     deep = F.when(inner().isNotNull(), F.to_json("obj"))
-    rows = rows.withColumn("_deep", _flatten_deep(deep))
-    rest = F.transform("_deep", lambda t: F.try_parse_json(t))
-    return rows.select(
-        *kept, "_path", F.posexplode(F.coalesce(rest, F.array("obj"))).alias("_at", "obj")
-    ).withColumn("_path", F.concat("_path", F.array("_at"))).drop("_at")
+    # Only rows nested deeper still go through Python.
+    rows = rows.withColumn("_deep", deep)
+    flat = rows.filter("_deep IS NULL").select(*kept, F.concat("_path", F.array(F.lit(0))).alias("_path"), "obj")
+    rest = F.transform(_flatten_deep(F.col("_deep")), lambda t: F.try_parse_json(t))
+    nested = rows.filter("_deep IS NOT NULL").select(*kept, "_path", F.posexplode(rest).alias("_at", "obj"))
+    nested = nested.withColumn("_path", F.concat("_path", F.array("_at"))).drop("_at")
+    return flat.unionByName(nested.select(*flat.columns))
 
 
 def _is(value: Column, kind: str) -> Column:

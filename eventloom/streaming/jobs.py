@@ -6,12 +6,13 @@ comes twice: keyed upserts, or folders named by batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import predicates
 from ..operators import cards as card_ops, merge, reports
 from ..schemas import HEALTH, RAW, ddl
-from ..tables import KeyedTable, RawArchive, finished, upsert_events
+from ..tables import KeyedTable, RawArchive, finished, latest_documents, upsert_events
 
 
 def landed_stream(spark: SparkSession, path: str, layout: str, glob: str | None = None) -> DataFrame:
@@ -21,12 +22,17 @@ def landed_stream(spark: SparkSession, path: str, layout: str, glob: str | None
     return reader.load(path)
 
 
-def new_posts(posts: DataFrame, time: str = "posted_at", days: int = 14) -> DataFrame:
+def new_posts(
+    posts: DataFrame, now: Column | None = None, time: str = "posted_at", days: int = 14
+) -> DataFrame:
     """Posts whose text was not seen under their url within the freshness window.
 
-    State is bounded by the watermark: the cut follows the newest post instead of the
-    clock, and a post edited back to an earlier text within the window is not repeated.
+    Posts older than `days` before `now` are cut exactly; without `now` none is cut. State is
+    bounded by the watermark: a post edited back to an earlier text within the window is not
+    repeated.
     """
+    if now is not None:
+        posts = posts.filter(predicates.within_days(F.col(time).cast("double"), days, now))
     hashed = posts.withColumn("hash", F.sha2("text", 256))
     return hashed.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark(["url", "hash"])
 
@@ -88,23 +94,20 @@ HEALTH_STATE = {
 def stream_changed_docs(
     docs: DataFrame, archive: RawArchive, out_path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Pass on documents whose content differs from the last stored one, and archive them.
+    """Pass on documents whose content differs from the last stored one.
 
     A document that returns to an earlier content passes again: the comparison is with the
-    last stored hash, not with all hashes seen.
+    last stored hash, not with all hashes seen. Nothing is archived here: a hash is stored by the
+    job that extracts, once it has succeeded.
     """
 
     def compare(batch: DataFrame, batch_id: int) -> None:
         folder = f"{out_path}/batch={batch_id}"
-        # A batch that comes again is archived from what it passed on the first time.
-        if not finished(batch.sparkSession, folder):
-            newest = F.max_by(F.struct(*batch.columns), F.struct("fetched_at", "content"))
-            latest = batch.groupBy("url").agg(newest.alias("r")).select("r.*")
-            hashed = latest.withColumn("hash", F.sha2("content", 256))
-            changed = card_ops.changed_docs(hashed, archive.hashes(hashed))
-            changed.select(*RAW).write.mode("overwrite").parquet(folder)
-        written = batch.sparkSession.read.schema(ddl(RAW)).parquet(folder)
-        archive.append(written, F.col("fetched_at"), "stream")
+        if finished(batch.sparkSession, folder):
+            return  # a batch that comes again stays as it was passed on
+        latest = latest_documents(batch.withColumn("hash", F.sha2("content", 256)))
+        changed = card_ops.changed_docs(latest, archive.hashes(latest))
+        changed.select(*RAW).write.mode("overwrite").parquet(folder)
 
     return docs.writeStream.foreachBatch(compare).option(
         "checkpointLocation", checkpoint

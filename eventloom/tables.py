@@ -12,11 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from . import vocab
 from .operators.cards import failed_rules, manual_guard
 from .operators.ranking import drop_repeats
 from .schemas import EVENT, HEALTH, RAW, VENUE, ddl, shape
-from .session import checked_broadcast, cut_lineage
+from .session import cut_lineage
 
 
 def _children(spark: SparkSession, path: str) -> list:
@@ -67,8 +66,18 @@ class KeyedTable:
             return self.spark.createDataFrame([], ddl(self.layout))
         return shape(self.spark.read.schema(ddl(self.layout)).parquet(folder), self.layout)
 
-    def replace(self, rows: DataFrame) -> None:
-        """Write the next version. Rows may be read from the current one."""
+    def version(self) -> int:
+        """The last complete version, 0 if there is none."""
+        return max(self._versions(), default=0)
+
+    def replace(self, rows: DataFrame, after: int | None = None) -> None:
+        """Write the next version. Rows may be read from the current one.
+
+        With `after`, the version the rows were made from, it fails if another writer has been
+        there since.
+        """
+        if after is not None and self.version() != after:
+            raise RuntimeError(f"{self.path} was written by another job since version {after}")
         number = max(self._versions(complete_only=False), default=0) + 1
         writer = shape(rows, self.layout).write.mode("errorifexists")
         if self.partition_by:
@@ -78,12 +87,13 @@ class KeyedTable:
     def upsert(self, rows: DataFrame, insert_only: bool = False) -> WriteCounts:
         """Insert rows, replacing those of the same key, or only those of new keys.
 
-        `rows` has one row per key. One full outer join reads rows and table once each, and
-        the counts come from the write itself.
+        Of several rows of one key the greatest by their values counts. One full outer join
+        reads rows and table once each, and the counts come from the write itself.
         """
         values = [name for name in self.layout if name != self.key]
+        base = self.version()
         stored = self.read().select(self.key, F.struct(*values).alias("stored"))
-        given = shape(rows, self.layout).select(self.key, F.struct(*values).alias("given"))
+        given = shape(rows, self.layout).groupBy(self.key).agg(F.max(F.struct(*values)).alias("given"))
         known, new = F.col("stored").isNotNull(), F.col("given").isNotNull()
         seen = Observation()
         joined = stored.join(given, self.key, "full_outer").observe(
@@ -91,7 +101,7 @@ class KeyedTable:
         )
         taken = new & ~known if insert_only else new
         row = F.when(taken, F.col("given")).otherwise(F.col("stored")).alias("row")
-        self.replace(joined.select(self.key, row).select(self.key, "row.*"))
+        self.replace(joined.select(self.key, row).select(self.key, "row.*"), after=base)
         counts = seen.get
         return WriteCounts(counts["inserted"], 0 if insert_only else counts["updated"])
 
@@ -221,15 +231,23 @@ def archive_rows(docs: DataFrame, fetched_at: Column, content_type: str = "html"
 
 
 def latest_documents(log: DataFrame) -> DataFrame:
-    """The newest row per url."""
-    newest = F.max_by(F.struct(*log.columns), F.struct("fetched_at", "hash"))
-    return log.groupBy("url").agg(newest.alias("_row")).select("_row.*")
+    """The newest row per url. Times and hashes are compared first; contents then move for these only."""
+    newest = log.groupBy("url").agg(F.max(F.struct("fetched_at", "hash")).alias("_n")).select(
+        "url", F.col("_n.fetched_at").alias("fetched_at"), F.col("_n.hash").alias("hash")
+    )
+    return log.join(newest, ["url", "fetched_at", "hash"], "left_semi").dropDuplicates(["url"])
 
 
-def append_health(path: str, runs: DataFrame, writer: str = "shared") -> None:
-    """Append run rows to the log, durations to the millisecond; writers have folders of their own."""
-    rows = runs.withColumn("duration_sec", F.round("duration_sec", 3))
-    shape(rows, HEALTH).write.mode("append").parquet(f"{path}/writer={writer}")
+def append_health(path: str, runs: DataFrame, writer: str = "shared", run_id: str | None = None) -> None:
+    """Add run rows to the log, durations to the millisecond; writers have folders of their own.
+
+    With `run_id` the rows have a folder of their own too, so that a repeated run replaces them.
+    """
+    rows = shape(runs.withColumn("duration_sec", F.round("duration_sec", 3)), HEALTH)
+    if run_id is None:
+        rows.write.mode("append").parquet(f"{path}/writer={writer}/run=shared")
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/writer={writer}/run={run_id}")
 
 
 DAILY = ("city", "snapshot_date")
@@ -237,7 +255,7 @@ DAILY = ("city", "snapshot_date")
 
 def snapshot_rows(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The days of cities touched by `rows`: new rows, and stored ones of other keys of those days."""
-    touched = checked_broadcast(rows.select(*DAILY).distinct())
+    touched = rows.select(*DAILY).distinct()
     same_days = stored.join(touched, list(DAILY), "left_semi")
     kept = same_days.join(rows.select(*keys, *DAILY), [*keys, *DAILY], "left_anti")
     return rows.unionByName(kept.select(*rows.columns))
@@ -281,12 +299,6 @@ def export_venues(venues: DataFrame, path: str, city: str | None = None) -> None
     venue_statements(rows).select("statement").write.mode("overwrite").text(path)
 
 
-def warning_rows(warnings: DataFrame) -> DataFrame:
-    """Per city the list of its warnings in order, each cut to a length a message can carry."""
-    cut = F.substring("warning", 1, vocab.WARNING_LENGTH)
-    listed = F.array_sort(F.collect_list(F.struct("seq", cut.alias("w"))))
-    return warnings.groupBy("city").agg(F.transform(listed, lambda r: r["w"]).alias("warnings"))
-
-
 def write_warnings(warnings: DataFrame, path: str) -> None:
-    warning_rows(warnings).write.mode("overwrite").json(path)
+    """Warnings (city, seq, warning) as JSON lines, one each, in a folder per city."""
+    warnings.select("city", "seq", "warning").write.mode("overwrite").partitionBy("city").json(path)

@@ -231,11 +231,8 @@ SOCIAL_OFFSET = "+03:00"
 # Limits.
 DESCRIPTION_LENGTH = 500
 TITLE_LENGTH = 300
-WARNING_LENGTH = 200
 PRICE_TEXT_LENGTH = 80
 MAP_SEARCH = "https://2gis.ru/search/"
 POST_MARKER = "=== POST %s ===\n"
 HTML_DROPPED_TAGS = ["script", "style", "noscript", "svg", "iframe", "head"]
-MARKDOWN_DROPPED_TAGS = HTML_DROPPED_TAGS + ["header", "footer", "nav", "aside"]
 HTML_TRUNCATED = "\n<!-- truncated -->"
-MARKDOWN_TRUNCATED = "\n\n<!-- truncated -->"

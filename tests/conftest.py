@@ -11,7 +11,7 @@ from eventloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        master="local[4]",
+        master="local[3]",
         **{
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "4",

@@ -94,14 +94,31 @@ def test_listing_links(spark):
     ]
 
 
-def test_markdown(spark):
-    html = "<head><title>t</title></head><body><nav>menu</nav><h2>Афиша</h2><p>Одно <b>важное</b>, <a href='/e'>тут</a></p><ul><li>раз</li><li>два</li></ul></body>"
-    raw = landed(spark, html, None)
+def test_cleaned_pages(spark):
+    pages = [
+        "<html><head><title>t</title></head><body><svg><path/></svg><p>a &amp b</P ><script>x</script></body></html>",
+        "<html><head><title>t</title><body><noscript><p>kept", None, "plain",
+        "<body><svg><svg>in</svg>left</svg><p>last</p></BODY> rest",
+    ]
+    raw = landed(spark, *pages)
     made = [r.content for r in html_feeds.clean_html(raw, "content").orderBy("page").collect()]
-    assert made == ["## Афиша\n\nОдно **важное**, [тут](/e)\n\n* раз\n* два", ""]
-    cut = html_feeds.clean_html(raw, "content", max_chars=8).orderBy("page").collect()[0].content
-    assert cut == "## Афиша\n\n<!-- truncated -->"
-    assert htmltree.strip_tags("<body><p>a &amp b</P ><script>x</script></body>", ["script"]) == "<body><p>a &amp b</P ></body>"
+    assert made == ["<body><p>a &amp b</P ></body>", "<body><p>kept", "", "plain", "<body>left<p>last</p></BODY>"]
+    cut = html_feeds.clean_html(raw, "content", max_chars=8).orderBy("page").collect()
+    assert cut[0].content == "<body><p\n<!-- truncated -->" and cut[3].content == "plain"
+
+
+def test_deep_pages_cost_nothing(spark):
+    message = '<div class="tgme_widget_message">' + "<span>" * 5000 + '<div class="tgme_widget_message_text">deep</div>'
+    root = htmltree.parse(message)
+    assert [n.text() for n in root.all(cls="tgme_widget_message_text")] == ["deep"]
+    assert sum(1 for _ in root.walk()) == 5002
+
+
+def test_comments_hold_no_structured_data(spark):
+    block = '<script type="application/ld+json">{"@type": "Event", "name": "%s"}</script>'
+    page = "<!-- " + block % "hidden" + " -->" + block % "shown <!-- x -->" + (block % "no").replace("ld+json", "ld+jsonx")
+    found = structured.jsonld_objects(landed(spark, page), ["page"])
+    assert [r.name for r in found.select(F.try_variant_get("obj", "$.name", "string").alias("name")).collect()] == ["shown <!-- x -->"]
 
 
 def test_answers(spark):

@@ -6,7 +6,6 @@ from eventloom import tables as tb
 from eventloom.operators import discovery, maintenance
 from eventloom.plans import city as city_plan, feeds
 from eventloom.schemas import CANDIDATE, VENUE, arrival, ddl, shape
-from eventloom.session import checked_broadcast
 
 from test_merge import card, rows
 
@@ -135,9 +134,3 @@ def test_one_failing_feed_leaves_the_others_alone(spark, tmp_path):
     health = spark.read.parquet(tables.path("health"))
     assert health.count() == 4 and health.filter("last_error = 'broken: HTTP 403'").count() == 2
     assert spark.read.parquet(tables.path("coverage")).count() == 2
-
-
-def test_large_sides_are_not_broadcast(spark):
-    df = spark.range(1000)
-    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
-    assert hinted(checked_broadcast(df)) and not hinted(checked_broadcast(df, 999))
