@@ -340,6 +340,27 @@ def run_city_repeated(spark, sf_dir):
         "id", "source", "time_start", "description", "price_max", lit(written).alias("health_rows"))
 
 
+@query(f"""
+WITH {CARDS} SELECT source, count(*) AS extracted, 0 AS failed FROM cards WHERE NOT stored AND city = 'perm' AND source <> 'error' GROUP BY source
+""")
+def run_from_sources(spark, sf_dir):
+    """A run from a source list: order, modes and priorities come from it; a disabled source is left out."""
+    from eventloom.sources.structured import sources_dim
+
+    tables = city_plan.Tables(spark, scratch(spark))
+    entries = F.array(*[F.struct(
+        lit(name).alias("name"), lit("direct_api").alias("extraction_mode"), lit(PRIORITIES.get(name, 0)).alias("priority"),
+        lit(name != "error").alias("enabled")) for name in FEEDS])
+    listed = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(lit("perm").alias("city"), entries.alias("sources"))
+    listed.write.json(tables.path("sources"))
+    incoming = _cards_with_order(cards(spark, sf_dir).filter("NOT stored AND city = 'perm'"))
+    readers = {"direct_api": lambda name: feeds.direct_feed(incoming.filter(c("source") == name))}
+    mine, priorities = city_plan.configured_feeds(sources_dim(spark, tables.path("sources")), "perm", readers)
+    city_plan.run_city(tables, "perm", mine, priorities, AS_OF_DAY, MOMENT, "dry", dry_run=True).close()
+    run = city_plan.run_city(tables, "perm", mine, priorities, AS_OF_DAY, MOMENT, "run", duration=1.5)
+    return run.parts.select("source", "extracted", "failed")
+
+
 @query(f"""
 WITH {CARDS} SELECT city, count(DISTINCT id) AS n, count(DISTINCT city) AS cities FROM cards
 WHERE NOT stored AND date >= '2024-01-19' GROUP BY city
@@ -432,6 +453,23 @@ def stream_posts(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("url", "hash")
 
 
+@query("""
+SELECT DISTINCT 'u' || user_id AS url, sha256(event_type) AS hash FROM events WHERE ts >= TIMESTAMP '2024-01-06 12:00:00'
+""")
+def stream_posts_fresh(spark, sf_dir):
+    """Posts older than the window before a given time are cut."""
+    landed_posts = streams.landed_stream(
+        spark, sf_dir, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string", "events.parquet"
+    )
+    rows = landed_posts.select(
+        F.concat(lit("u"), c("user_id").cast("string")).alias("url"), c("event_type").alias("text"),
+        c("ts").cast("timestamp").alias("posted_at"),
+    )
+    folder = scratch(spark)
+    streams.write_posts(streams.new_posts(rows, now()), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("url", "hash")
+
+
 @query(f"""
 WITH {CARDS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pri DESC, seq) AS place,
   row_number() OVER (PARTITION BY id ORDER BY seq) AS arrived FROM cards),

@@ -7,12 +7,14 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import cards as card_ops, maintenance, merge, reports
 from ..schemas import CANDIDATE, EVENT, VENUE
 from ..session import staged
+from ..sources.structured import enabled_sources
 from ..tables import CityTables, KeyedTable, RawArchive, append_health, snapshot_upsert, upsert_venues
 from .feeds import FeedRun
 
@@ -47,6 +49,23 @@ class Feed:
     full_snapshot: bool = False
 
 
+def configured_feeds(
+    sources: DataFrame, city: str, readers: dict[str, Callable[[str], FeedRun]], only: str | None = None,
+    mode_override: str | None = None,
+) -> tuple[list[Feed], dict[str, int]]:
+    """The feeds of a city in the order of the source list, and the priorities of its sources.
+
+    `readers` gives for each extraction mode the function from a source's name to its feed.
+    """
+    chosen = enabled_sources(sources.filter(F.col("city") == city), only, mode_override)
+    rows = chosen.orderBy("feed_order").collect()  # a configuration, as long as the file it is read from
+    unknown = sorted({r.extraction_mode for r in rows} - set(readers))
+    if unknown:
+        raise ValueError(f"no reader for extraction modes {unknown}")
+    feeds = [Feed(r.name, partial(readers[r.extraction_mode], r.name), r.full_snapshot) for r in rows]
+    return feeds, {r.name: r.priority for r in rows}
+
+
 @dataclass
 class CityRun:
     """What a run did: frames over what it staged, and the counts of its writes."""
@@ -119,13 +138,14 @@ def run_city(
     now: datetime.datetime,
     run_id: str,
     duration: float | None = None,
+    dry_run: bool = False,
 ) -> CityRun:
     """Read all feeds, merge with what is stored, write, purge and record.
 
     Each feed is staged once, in a folder of the city and run, so the later steps read files.
     Documents are archived only after the event table is written: a run that fails before meets
     the same pages again. A repeated run replaces its health rows. `CityRun.close` removes the
-    staging folder once the frames of the result are read.
+    staging folder once the frames of the result are read. A dry run stages and merges only.
     """
     spark = tables.spark
     events = tables.events.of(city)
@@ -143,7 +163,8 @@ def run_city(
     # Of two feeds that report a venue the later one counts, and of one feed the first report.
     found = settled.filter(F.col("outcome") == "venue").withColumn("seq", F.struct(-F.col("feed_order"), "seq"))
     venues = card_ops.to_venues(found, F.lit("twogis"), moment)
-    upsert_venues(tables.venues.of(city), venues)
+    if not dry_run:
+        upsert_venues(tables.venues.of(city), venues)
 
     extracted = settled.filter(F.col("outcome") == "extracted").withColumn(
         "seq", F.struct("feed_order", "seq")
@@ -162,6 +183,13 @@ def run_city(
     # One new version of the table: what the snapshot sync left, the merged cards, nothing past.
     known = merged.join(stored.select("id"), "id", "left_semi").count()
     total = merged.count()
+    parts = run_parts(spark, tally, [o[:4] for o in outcomes])
+    done = CityRun(
+        parts, reports.run_summary(parts, ["city"]), merged, pairs,
+        merge.near_misses(rows, peers), total - known, known, spark, folder,
+    )
+    if dry_run:
+        return done
     others = kept.join(merged.select("id"), "id", "left_anti")
     result = merged.select(*EVENT).unionByName(others.select(*EVENT))
     events.replace(maintenance.purge_past(result, day, city)[0], after=base)
@@ -178,12 +206,8 @@ def run_city(
     quality = reports.source_quality(reports.extracted_by_source(rows), pairs, city, snapshot)
     snapshot_upsert(spark, tables.path("quality"), quality, ["source"], tables.path("checkpoint"))
 
-    parts = run_parts(spark, tally, [o[:4] for o in outcomes])
     append_health(tables.path("health"), health_rows(parts, moment, duration), city, run_id)
-    return CityRun(
-        parts, reports.run_summary(parts, ["city"]), merged, pairs,
-        merge.near_misses(rows, peers), total - known, known, spark, folder,
-    )
+    return done
 
 
 def run_parts(spark: SparkSession, tally: DataFrame, outcomes: list[tuple]) -> DataFrame:

@@ -364,11 +364,12 @@ def event_groups(
         "place struct<title:string,address:string>, photo_200 string, activity string, "
         "description string"
     )
-    modern = open_items(
-        raw, "response struct<groups:array<string>>", F.col("_page.response.groups"), layout
-    )
-    plain = open_items(raw, "response array<string>", F.col("_page.response"), layout)
-    groups = modern.unionByName(plain)
+    # The response is a list of groups, or an object that holds one.
+    response = F.col("_page.response")
+    listed = F.when(
+        F.ltrim(response).startswith("{"), F.from_json(response, "groups array<string>")["groups"]
+    ).otherwise(F.from_json(response, "array<string>"))
+    groups = open_items(raw, "response string", listed, layout)
     city_name = F.coalesce(types.literal_map(city_names)[F.col("city")], F.col("city"))
     groups = (
         groups.withColumn("_name", strip(F.col("item.name")))
