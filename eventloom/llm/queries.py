@@ -11,7 +11,7 @@ from .exact_dedup import duplicate_groups
 from .language_id import held_out, identify, train
 from .mixing import plan_mix
 from .near_dedup import near_duplicates
-from .quality_rules import judge_quality
+from .quality_rules import CUTOFFS, LEVEL, RISK, judge_quality
 from .secrets_scan import find_secrets
 from .sharding import interleave
 from .token_counts import count_tokens
@@ -74,7 +74,25 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kept").alias("doc_id"), held_out("kept").alias("held_out"), "lang_pred", "score")
 
 
-@query()
+@query("""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+digits AS (SELECT doc_id, source, string_split(hex(encode(coalesce(text, ''))), '') AS d FROM documents),
+bytes AS (
+  SELECT doc_id, source, CASE WHEN len(d) < 2 THEN [] ELSE list_transform(range(1, len(d), 2), lambda i:
+    ((strpos('0123456789ABCDEF', d[i]) - 1) * 16 + strpos('0123456789ABCDEF', d[i + 1]) - 1)::BIGINT) END AS b FROM digits),
+docs AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS source_key, (len(b) + 1)::BIGINT AS size, md5('17:' || coalesce(doc_id::text, 'null')) AS h,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32
+  FROM bytes, crc),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source_key ORDER BY h, doc_id, text_crc32, size) - 1)::DOUBLE
+    / (2 * count(*) OVER (PARTITION BY source_key)) AS fraction FROM docs),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source_key) - 1 AS position, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (position * 16 // n)::INT AS shard,
+  position - ((position * 16 // n) * n + 15) // 16 AS slot, NULL::INT AS grown_shard, source_key, fraction FROM placed
+""")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -143,7 +161,48 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
-@query()
+_TRIED = ", ".join(f"('{m}', {k}, {c}::DOUBLE)" for m, cs in CUTOFFS.items() for k, c in enumerate(cs))
+_PART = RISK / len(CUTOFFS)
+
+
+@query(rf"""
+WITH texts AS (SELECT doc_id, coalesce('s' || lang, 't') AS stratum, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT doc_id, stratum, t, regexp_extract_all(t, '[^ 	-]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM texts),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (doc_id)),
+measured AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share,
+    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share,
+    CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars FROM counted),
+long AS (
+  UNPIVOT (SELECT doc_id, stratum, base_failed, symbol_share::DOUBLE AS symbol_share, dup_line_share::DOUBLE AS dup_line_share,
+    repeat_share::DOUBLE AS repeat_share, mean_word_chars::DOUBLE AS mean_word_chars FROM measured)
+  ON symbol_share, dup_line_share, repeat_share, mean_word_chars INTO NAME measure VALUE value),
+held AS (SELECT * FROM long WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+tests AS (
+  SELECT stratum, measure, k, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS rejected
+  FROM held JOIN (VALUES {_TRIED}) AS c(measure, k, cutoff) USING (measure) GROUP BY ALL),
+chances AS (
+  SELECT *, list_sum(list_transform(range(rejected + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+    + j * ln({_PART}::DOUBLE) + (n - j) * ln(1 - {_PART}::DOUBLE)))) AS p, (SELECT count(DISTINCT stratum) FROM held) AS strata FROM tests),
+usable AS (
+  SELECT *, bool_and(p * strata * {len(CUTOFFS)} <= {LEVEL}) OVER (PARTITION BY stratum, measure ORDER BY k) AS ok FROM chances),
+limits AS (SELECT stratum, measure, min(cutoff) AS cutoff FROM usable WHERE ok GROUP BY ALL),
+above AS (SELECT DISTINCT doc_id FROM long JOIN limits USING (stratum, measure) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM above) AS kept FROM measured
+""")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
