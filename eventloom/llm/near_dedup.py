@@ -201,9 +201,15 @@ class _Links:
         early = ranked.join(classes, "class").filter(
             (F.col("often") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - self.percent))).drop("often")
         early = cut(early.withColumnRenamed("shingle", "key"))
+        # What lies outside a shingle's main component meets all; the main one doesn't meet itself.
+        main = early.groupBy("key").agg(
+            F.mode("component").alias("main"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+        early = early.join(main.filter("_least < _most").select("key", "main"), "key")
         room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
         reach = room * (100 + self.percent) >= (F.col("x.n") + F.col("y.n")) * self.percent
-        return _likely(early, early, self.percent, (F.col("x.component") < F.col("y.component")) & reach)
+        once = (F.col("y.component") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))
+        apart = (F.col("x.component") != F.col("y.component")) & once & reach
+        return _likely(early.filter("component <> main"), early, self.percent, apart)
 
 
 def _shingler(width: int):
