@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 The tokens of a pre-token form a linked list. For every merge rank there is a bucket of list positions
-where that merge could be made, and a bitmap with one bit per bucket that isn't empty; above it stand
-bitmaps of bitmaps, so the least rank is found by one find-first-set at each level. Entries are never
+where that merge could be made, and a bitmap with one bit per bucket that isn't empty; above it stands a
+bitmap of its words, so the least rank is found by one find-first-set on each of the two. Entries are never
 removed: one whose pair has changed meanwhile is skipped when its turn comes. A pre-token of n bytes
 takes n merges at most, with logarithmic work for each, however long it is.
 

@@ -26,7 +26,7 @@ PROBES = 6
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host with A-Z lower-cased and the path as written; both empty without `://`."""
     at = F.instr(url, "://")
-    rest = F.expr("substring(_url, instr(_url, '://') + 3)")
+    rest = F.substr(url, at + 3)
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
