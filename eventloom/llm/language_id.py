@@ -163,6 +163,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), seeded_hash(seed, id_col).alias("_hash"))
     rows = rows.filter("lang is not null and text is not null").withColumn("_bytes", F.octet_length("text"))
     rows = rows.filter(F.col("_bytes").between(1, SAMPLE_ROW_BYTES))
+    # Rows late in the order are left out before anything moves: of each language a share of hashes
+    # that holds three samples on average. The counts are one row for each language.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * sample_rows / n))])
+    early = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / 2**32
+    rows = rows.filter(early <= shares[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("_hash", "_bytes", F.xxhash64("text"))
     rows = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample_rows)
     upto = Window.partitionBy("lang").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
