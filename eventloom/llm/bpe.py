@@ -19,14 +19,15 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import once_per_worker
+from .common import by_bytes, once_per_worker
 
 #: Pre-tokens in each of a worker's two generations of known ones, and the length up to which they are kept.
-KEPT, KEPT_CHARS = 400_000, 64
+KEPT, KEPT_CHARS = 250_000, 64
 
 
 def _for_ascii(pattern: str) -> re.Pattern | None:
@@ -150,16 +151,19 @@ def _sha256(data: bytes) -> str:
 def _coder(path: str, pattern: str, with_ids: bool):
     def code(batches):
         encoder = _encoder(path, pattern)
-        for batch in batches:
-            rows = []
+        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
+            counts, hashes, decoded, lists = [], [], [], [np.zeros(0, np.int32)]
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text or "")
-                rows.append((ids.count(",") + 1 if ids else 0, _sha256(ids.encode()), _sha256(encoder.decode(ids)),
-                             list(map(int, ids.split(","))) if with_ids and ids else []))
-            counts, hashes, decoded, lists = zip(*rows) if rows else ((),) * 4
+                counts.append(ids.count(",") + 1 if ids else 0)
+                hashes.append(_sha256(ids.encode()))
+                decoded.append(_sha256(encoder.decode(ids)))
+                if with_ids and ids:
+                    lists.append(np.fromstring(ids, np.int32, sep=","))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                ends = pa.array(np.cumsum([0, *counts]).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))))
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
     return code

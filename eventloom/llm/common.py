@@ -5,8 +5,11 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: One word is a run of characters other than space and the five ASCII control spaces.
@@ -79,11 +82,25 @@ def running(df: DataFrame, groups: list[str], block: Column, order: list[Column]
 def once_per_worker(key: str, make: Callable):
     """What `make` gives, made once in a Python worker and kept for its later tasks.
 
-    Functions travel to workers by value, so their modules' variables don't outlive a task. One value
-    is kept for each kind, the part of `key` before the colon.
+    Functions travel to workers by value, so their modules' variables don't outlive a task. A worker
+    keeps one such value, the last, so that the stages of a long job don't add up.
     """
-    kept = sys.modules.setdefault("eventloom_worker_state", types.ModuleType("eventloom_worker_state")).__dict__
-    kind = key.partition(":")[0]
-    if kept.get(kind, ("",))[0] != key:
-        kept[kind] = key, make()
-    return kept[kind][1]
+    state = sys.modules.setdefault("eventloom_worker_state", types.ModuleType("eventloom_worker_state"))
+    if getattr(state, "key", None) != key:
+        state.key = state.value = None
+        state.value = make()
+        state.key = key
+    return state.value
+
+
+def by_bytes(batch: pa.RecordBatch, *texts: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about `most` bytes in some text columns, so that memory doesn't grow with batches."""
+    sizes = sum(pc.binary_length(batch.column(i)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in texts)
+    ends = np.concatenate([[0], np.cumsum(sizes + 64)])
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+    if not batch.num_rows:
+        yield batch

@@ -31,6 +31,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import by_bytes
+
 KINDS = ("assign", "access", "hex")
 MAX_EXPANDED = 1 << 26
 
@@ -218,7 +220,7 @@ def _joined(spans) -> str:
 
 
 def _scanner(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 1)):
         rows = []
         for text in batch.column(1).to_pylist():
             base, every, layers, closed = scan(text or "")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import once_per_worker
+from .common import by_bytes, once_per_worker
 
 #: Characters that are scanned at once, and characters in a chunk of the scan.
 BATCH_CHARS, CHUNK = 1_000_000, 256
@@ -309,7 +309,7 @@ class Counter:
 def _counting(path: str, limit: int):
     def count(batches):
         counter = once_per_worker(f"token_counts:{path}", lambda: Counter(path))
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 2)):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             tokens = np.array(counter.count(texts), np.int64)
             yield pa.RecordBatch.from_arrays(
