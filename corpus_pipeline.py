@@ -51,7 +51,13 @@ STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table; a stage's table is removed once the next one is written."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         master = spark.sparkContext.master
@@ -59,8 +65,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="eventloom-pipeline-")
     folder = f"{folder}/{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            _remove(spark, read)
+        read = f"{folder}/{name}"
+        docs = spark.read.parquet(read)
     return docs
