@@ -360,7 +360,7 @@ def candidate_posts(spark, sf_dir):
         ).alias("text"),
     )
     stored = rows.filter("event_id % 4 = 0").select("url", F.sha2("text", 256).alias("hash"))
-    picked = post_ops.candidate_posts(rows, now(), stored, group=["event_type"])
+    picked = post_ops.candidate_posts(rows, now(), stored, group=["event_type"], limit=20)
     return picked.select("event_type", "event_id")
 
 
