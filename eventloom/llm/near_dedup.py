@@ -9,8 +9,8 @@
 4. Pairs are confirmed on the full shingle sets, and links are joined into components.
 
 Groups are not paired out. In a band bucket only a few hubs meet all members at first, and each class
-has its likeliest partner confirmed first. Classes whose bucket then still holds several components are
-finished exactly: their shingles are put in one order, rarest first, and a pair of different components
+has its likeliest partner confirmed first. Small buckets are paired in full. Classes whose large bucket
+then still holds several components are finished exactly: their shingles are put in one order, rarest first, and a pair of different components
 is confirmed only if it shares a shingle so early that the rest can still reach the threshold. Two sets
 as similar as the threshold always do, so no link is lost, and sets that merely come near pair with
 nothing. What lies in one component needs no further pair.
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import cut
+from .common import by_bytes, cut
 from .components import components
 from .shingles import mix64, random64, shingle_sets
 
@@ -88,7 +88,7 @@ def _signer(width: int, schema: pa.Schema):
 
 def _confirmer(width: int, percent: int):
     def confirm(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 2, 3)):
             left = [s for _, sets in shingle_sets(batch.column(2), width) for s in sets]
             right = [s for _, sets in shingle_sets(batch.column(3), width) for s in sets]
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
@@ -127,13 +127,13 @@ def similarity(agree: Column) -> Column:
 
 
 def _likely(members: DataFrame, others: DataFrame, percent: int, more: Column) -> DataFrame:
-    """Pairs (a, b, estimate) of one bucket that may reach the threshold."""
+    """Pairs (a, b, estimate) of one bucket that may reach the threshold; `paired` if one bucket pairs all its members."""
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     agree = agreeing("x", "y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & sized & more & (agree >= least_agreeing(percent))
     pairs = members.alias("x").join(others.alias("y"), on)
     return pairs.groupBy(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).agg(
-        F.max(similarity(agree)).alias("estimate"))
+        F.max(similarity(agree)).alias("estimate"), F.max("y.paired").alias("paired"))
 
 
 class _Links:
@@ -200,7 +200,7 @@ class _Links:
         ranked = shingles.join(often, "shingle").withColumn("at", F.row_number().over(order) - 1)
         early = ranked.join(classes, "class").filter(
             (F.col("often") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - self.percent))).drop("often")
-        early = cut(early.withColumnRenamed("shingle", "key"))
+        early = cut(early.withColumnRenamed("shingle", "key").withColumn("paired", F.lit(False)))
         # What lies outside a shingle's main component meets all; the main one doesn't meet itself.
         main = early.groupBy("key").agg(
             F.mode("component").alias("main"), F.min("component").alias("_least"), F.max("component").alias("_most"))
@@ -251,12 +251,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(keys.join(shared, "key").join(classes.select("class", "n", *PLANES), "class"))
     # A share HUBS / m of a bucket, by one hash for all buckets, so that bands agree on their hubs.
     hub = (F.col("m") <= HUBS) | (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) * F.col("m") < HUBS * (1 << 30))
-    members = members.withColumn("hub", hub)
+    members = members.withColumn("hub", hub).withColumn("paired", F.col("m") <= HUBS)
     found = _Links(docs, classes.select("class", "id", "hash"), width, percent)
     once = ~(F.col("y.hub") & (F.col("y.class") < F.col("x.class")))
     stars = cut(_likely(members.filter("hub"), members, percent, once))
     found.confirm(_likeliest(stars))
-    found.confirm(found.apart(stars))
+    # Pairs of small buckets are all looked at; what hubs of large ones leave open is finished below.
+    found.confirm(found.apart(stars.filter("paired")))
     large = found.component(members.filter(f"m > {HUBS}"))
     several = large.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
     still = cut(large.join(several.filter("_least < _most").select("key"), "key", "left_semi").select(
