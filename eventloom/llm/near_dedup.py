@@ -263,7 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     still = cut(large.join(several.filter("_least < _most").select("key"), "key", "left_semi").select(
         "class", "n", "component", *PLANES).dropDuplicates(["class"]))
     if not still.isEmpty():
-        found.confirm(found.apart(found.sharing_early(still)))
+        early = cut(found.sharing_early(still))
+        found.confirm(_likeliest(found.apart(early)))
+        found.confirm(found.apart(early))
     own = found.component(rows.join(classes.select(*set_key, "class"), set_key, "left"))
     own = own.withColumn("component", F.coalesce("component", "row"))
     names = own.groupBy("component").agg(F.min("_id").alias("component_id"))
