@@ -7,9 +7,12 @@ place has already given the same content is not taken again, so that the work en
 Spans found in a layer are mapped back to the original text: exactly through escapes and base64 of
 ASCII, else to the whole run they came from.
 
-Layers of one text are opened up to `MAX_EXPANDED` characters in all, which takes compressed layers or
-escapes nested thousands deep; what stays closed is counted in `n_unopened`. The text itself is always
-scanned whole.
+Every layer is opened. The layers are walked depth first, and each is cut at characters that no secret
+and no run, in this layer or one decoded from it, can cross: an escape's layer is the part between two
+such places, and an unpacked stream is read in windows of about `WINDOW` bytes that end there. Memory
+thus follows the depth and the longest stretch without such a place, not the size of what is unpacked; a
+packed stream inside another waits in a temporary file once it is larger than a window. Only a caller
+sets a limit on unpacked bytes; streams it stops, and those that break off, count in `n_unopened`.
 
 Nulls and ties: a null text counts as empty and has no spans. The same span found twice counts once.
 Rows that repeat each other get equal results. An empty table gives an empty table.
@@ -20,12 +23,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import io
+import itertools
 import lzma
 import re
+import tempfile
 import zlib
 from bisect import bisect_right
-from collections import deque
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +40,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import by_bytes
 
 KINDS = ("assign", "access", "hex")
-MAX_EXPANDED = 1 << 26
+WINDOW = 1 << 22
+_READ = 1 << 16
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(
@@ -45,7 +52,15 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# What no secret and no run crosses, however it is decoded: characters that stand in none of the patterns, and
+# the space between a word without escapes and a letter or digit.
+_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=\-"':%\\&#;{}\t\n\r\x20]|(?<=[\t\n\r\x20])[A-Za-z0-9.]+\x20(?=[A-Za-z0-9])""")
+# The same in bytes: outside of ASCII only before a byte that can begin a character, and zeros, which stand
+# between the letters of UTF-16, only in pairs.
+_BYTE_BREAK = re.compile(
+    rb"""[\x01-\x08\x0b\x0c\x0e-\x1f!$()*,<>?@\[\]^`|~\x7f]|\x00\x00|(?=[\xc0-\xff])|(?<=[\t\n\r\x20])[A-Za-z0-9.]+\x20(?=[A-Za-z0-9])""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -109,51 +124,116 @@ def _escape(run: str) -> str | None:
         return None
 
 
-def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
-    """The layer with every run of a pattern decoded; None if no run can be."""
-    parts, pieces, at, here = [], [], 0, 0
+def _replaced(layer: _Layer, pattern: re.Pattern, decode):
+    """Layers with every run of a pattern decoded, each the part of the text around runs that no break parts."""
     text = layer.content
+    parts, pieces, at, here = [], [], 0, 0
+
+    def add(part: str, end: int, alike: bool) -> None:
+        nonlocal at, here
+        if part:
+            parts.append(part)
+            pieces.append((here, at, end, alike))
+            here += len(part)
+        at = end
+
     for m in pattern.finditer(text):
         plain = decode(m[0])
         if not plain or plain == m[0]:
             continue
-        if m.start() > at:
-            parts.append(text[at:m.start()])
-            pieces.append((here, at, m.start(), True))
-            here += m.start() - at
-        parts.append(plain)
-        pieces.append((here, m.start(), m.end(), False))
-        here += len(plain)
-        at = m.end()
-    if not pieces:
-        return None
-    if at < len(text):
-        parts.append(text[at:])
-        pieces.append((here, at, len(text), True))
-    return _Layer("".join(parts), layer, pieces)
-
-
-def _unpacked(data: bytes, most: int) -> tuple[bytes | None, bool]:
-    """Decompressed bytes, None if they are no compressed stream; and whether there was more than `most`."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            opener = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-            opener = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            opener = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            opener = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                out = stream.read(most + 1)
-            return (None, True) if len(out) > most else (out, False)
+        breaks = _BREAK.finditer(text, at, m.start())
+        if first := next(breaks, None):
+            if pieces:
+                add(text[at:first.end()], first.end(), True)
+                yield _Layer("".join(parts), layer, pieces)
+            parts, pieces, at, here = [], [], first.end(), 0
+            for last in breaks:
+                at = last.end()
+        add(text[at:m.start()], m.start(), True)
+        add(plain, m.end(), False)
+    if pieces:
+        last = _BREAK.search(text, at)
+        end = last.end() if last else len(text)
+        add(text[at:end], end, True)
+        yield _Layer("".join(parts), layer, pieces)
+
+
+def _opener(head: bytes):
+    """Makes a decompressor for a stream with these first bytes; None if they begin none."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if len(head) > 2 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError)
+
+
+class _Unpacked:
+    """The bytes that a packed file unpacks to, in chunks; `broken` if it can't be read to its end."""
+
+    def __init__(self, packed):
+        self.packed, self.broken, self.size = packed, False, 0
+
+    def _through(self, opener, data: bytes):
+        """Chunks of what some bytes of the file unpack to."""
+        if hasattr(opener, "needs_input"):
+            yield opener.decompress(data, _READ)
+            while not opener.eof and not opener.needs_input:
+                yield opener.decompress(b"", _READ)
+        elif type(opener).__module__ != "zlib":
+            # No bound can be given here; few bytes at a time keep what they unpack to small.
+            for first in range(0, len(data), 256):
+                if not opener.eof:
+                    yield opener.decompress(data[first:first + 256])
         else:
-            return None, False
-        out = opener.decompress(data, most + 1)
-        return (None, True) if len(out) > most else (out, False)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None, False
+            while data and not opener.eof:
+                yield opener.decompress(data, _READ)
+                data = opener.unconsumed_tail
+            while not opener.eof and (more := opener.decompress(b"", _READ)):
+                yield more
+
+    def __iter__(self):
+        self.packed.seek(0)
+        data = self.packed.read(_READ)
+        opener = _opener(data)()
+        try:
+            while data and not opener.eof:
+                for chunk in self._through(opener, data):
+                    self.size += len(chunk)
+                    if chunk:
+                        yield chunk
+                data = self.packed.read(_READ)
+            self.broken = not opener.eof
+        except _BROKEN:
+            self.broken = True
+
+
+def _windows(chunks):
+    """Bytes in windows of about `WINDOW` bytes that end at breaks; a stretch without one stays whole."""
+    held, looked = bytearray(), 0
+    for chunk in chunks:
+        held += chunk
+        if len(held) < WINDOW or len(held) - looked < WINDOW // 4:
+            continue
+        # The last of all breaks; only what came since the last look, and a word before it, is read.
+        end = 0
+        for m in _BYTE_BREAK.finditer(held, max(0, looked - 4096)):
+            end = m.end()
+        looked = len(held)
+        if end:
+            yield bytes(held[:end])
+            del held[:end]
+            looked = len(held)
+    if held:
+        yield bytes(held)
 
 
 def _as_text(data: bytes) -> str | None:
@@ -162,54 +242,114 @@ def _as_text(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
-
-
-def scan(text: str, max_expanded: int = MAX_EXPANDED) -> tuple[list, list, int, int]:
-    """Base spans and all spans as sorted (start, kind number, end), the number of layers below the text, and of layers left closed."""
-    base = base_spans(text)
-    every, root = set(base), _Layer(text)
-    todo, seen, layers, closed, spent = deque([root]), set(), 0, 0, 0
-    while todo:
-        layer = todo.popleft()
-        if layer is not root:
-            layers += 1
-            every.update((s, kind, e) for a, kind, b in base_spans(layer.content) for s, e in [layer.origin(a, b)])
+    return None if _CONTROL.search(text) else text
+
+
+def _starts_text(data: bytes) -> bool:
+    """Whether bytes are the beginning of such a text; a zlib header can be letters."""
+    try:
+        return not _CONTROL.search(codecs.getincrementaldecoder("utf-8")().decode(data))
+    except UnicodeDecodeError:
+        return False
+
+
+class _Scan:
+    """The layers of one text, the secrets in them, and what could not be opened."""
+
+    def __init__(self, text: str, max_expanded: int | None):
+        self.root, self.left = _Layer(text), max_expanded
+        self.base = base_spans(text)
+        self.every, self.seen, self.layers, self.closed = set(self.base), set(), 0, 0
+
+    def run(self) -> None:
+        todo = [self.below(self.root)]
+        while todo:
+            layer = next(todo[-1], None)
+            if layer is None:
+                todo.pop()
+            elif self.fresh(layer.content.encode("utf-8", "surrogatepass"), layer.origin(0, len(layer.content))):
+                self.layers += 1
+                self.every.update((s, kind, e) for a, kind, b in base_spans(layer.content) for s, e in [layer.origin(a, b)])
+                todo.append(self.below(layer))
+
+    def fresh(self, content: bytes | str, where: tuple[int, int]) -> bool:
+        """Whether a place gives a content for the first time."""
+        place = content if isinstance(content, str) else hashlib.sha256(content).hexdigest(), where
+        if place in self.seen:
+            return False
+        self.seen.add(place)
+        return True
+
+    def below(self, layer: _Layer):
+        """The layers that a layer hides."""
         content = layer.content
-        below = []
         if "%" in content:
-            below.append(_replaced(layer, _PERCENT, _percent))
+            yield from _replaced(layer, _PERCENT, _percent)
         if "\\" in content or "&#" in content:
-            below.append(_replaced(layer, _ESCAPES, _escape))
+            yield from _replaced(layer, _ESCAPES, _escape)
         for m in _BASE64.finditer(content):
-            run = m[0].rstrip("=")
-            if len(run) % 4 == 1:
-                continue
-            data = base64.b64decode(run.translate(_STANDARD) + "=" * (-len(run) % 4))
-            plain, packed = _as_text(data), False
-            while plain is None:
-                data, over = _unpacked(data, max_expanded - spent)
-                closed += over
-                if data is None or (place := ("packed", hashlib.sha256(data).digest(), layer.origin(*m.span()))) in seen:
-                    break
-                seen.add(place)
-                spent += len(data)
-                plain, packed = _as_text(data), True
-            if plain:
-                below.append(_Layer(plain, layer, run=m.span(), exact=not packed and plain.isascii()))
-        for child in below:
-            if child is None:
-                continue
-            place = hashlib.sha256(child.content.encode("utf-8", "surrogatepass")).digest(), child.origin(0, len(child.content))
-            if place in seen:
-                continue
-            seen.add(place)
-            if spent + len(child.content) > max_expanded + len(text):
-                closed += 1
-                continue
-            spent += len(child.content)
-            todo.append(child)
-    return sorted(base), sorted(every), layers, closed
+            yield from self.decoded(layer, m.span())
+        layer.content = None
+
+    def decoded(self, layer: _Layer, span: tuple[int, int]):
+        """The layers in a base64 run."""
+        run = layer.content[slice(*span)].rstrip("=")
+        if len(run) % 4 == 1:
+            return
+        data = base64.b64decode(run.translate(_STANDARD) + "=" * (-len(run) % 4))
+        text = _as_text(data)
+        if text is not None:
+            if text:
+                yield _Layer(text, layer, run=span, exact=text.isascii())
+        elif _opener(data):
+            yield from self.unpacked(layer, span, io.BytesIO(data))
+
+    def unpacked(self, layer: _Layer, span: tuple[int, int], packed):
+        """The layers in a packed stream, and in streams it packs."""
+        while packed is not None:
+            stream = _Unpacked(packed)
+            chunks = self.limited(stream)
+            first = b""
+            while len(first) < 64 and (more := next(chunks, None)):
+                first += more
+            chunks, inner = itertools.chain([first] if first else [], chunks), None
+            if _opener(first) and not _starts_text(first):
+                digest = hashlib.sha256()
+                inner = tempfile.SpooledTemporaryFile(WINDOW)
+                for chunk in chunks:
+                    digest.update(chunk)
+                    inner.write(chunk)
+                if not self.fresh(f"packed {digest.hexdigest()}", layer.origin(*span)):
+                    inner.close()
+                    inner = None
+            else:
+                for window in _windows(chunks):
+                    text = _as_text(window)
+                    if text:
+                        yield _Layer(text, layer, run=span)
+            # Bytes that only look like a stream give nothing and are none.
+            self.closed += stream.broken and stream.size > 0
+            packed.close()
+            packed = inner
+
+    def limited(self, stream: _Unpacked):
+        for chunk in stream:
+            if self.left is not None:
+                self.left -= len(chunk)
+                if self.left < 0:
+                    self.closed += 1
+                    return
+            yield chunk
+
+
+def scan(text: str, max_expanded: int | None = None) -> tuple[list, list, int, int]:
+    """Base spans and all spans as sorted (start, kind number, end), the number of layers below the text, and of streams not read to their end.
+
+    `max_expanded` is the most bytes to unpack from compressed streams; without it all are read.
+    """
+    found = _Scan(text, max_expanded)
+    found.run()
+    return sorted(found.base), sorted(found.every), found.layers, found.closed
 
 
 _STANDARD = str.maketrans("-_", "+/")

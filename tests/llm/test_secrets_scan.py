@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings, strategies as st
 
-from eventloom.llm.secrets_scan import KINDS, base_spans, find_secrets, scan
+from eventloom.llm.secrets_scan import KINDS, _windows, base_spans, find_secrets, scan
 
 KEY = "AKIA" + "Z" * 16
 SECRET = f"password={'s3cr3t' * 3}"
@@ -101,3 +101,28 @@ def test_rows(spark):
 def test_long_text():
     text = "word " * 400_000 + SECRET
     assert scan(text)[0] == [(2_000_000, 0, 2_000_000 + len(SECRET))]
+
+
+def test_layers_of_long_texts_stay_open(monkeypatch):
+    hidden = SECRET
+    for _ in range(4):
+        hidden = urllib.parse.quote("".join(f"\\u{ord(c):04x}" for c in hidden))
+    text = "plain words, " * 800_000 + hidden + " and more"
+    base, every, layers, closed = scan(text)
+    assert not base and closed == 0 and ("assign", hidden) in {(KINDS[k], text[s:e]) for s, k, e in every}
+    monkeypatch.setattr("eventloom.llm.secrets_scan.WINDOW", 10_000)
+    for words in ("word ", "words, ", "\0", "é", "a"):
+        run = b64(gzip.compress(gzip.compress((words * 100_000 + f" {SECRET} " + words * 20_000).encode())))
+        if words != "\0":
+            assert ("assign", run) in spans(f"<{run}>")
+        assert scan(run)[3] == 0
+
+
+def test_windows_end_at_breaks(monkeypatch):
+    monkeypatch.setattr("eventloom.llm.secrets_scan.WINDOW", 500)
+    plain = " ".join(f"w{i} password%3D%20abcdefgh{i:03}" for i in range(300))
+    run = b64(zlib.compress(plain.encode()))
+    windows = list(_windows([plain[i:i + 70].encode() for i in range(0, len(plain), 70)]))
+    assert b"".join(windows).decode() == plain and len(windows) > 10
+    assert sum(len(re.findall(r"password%3D%20abcdefgh\d{3}", w.decode())) for w in windows) == 300
+    assert scan(run)[3] == 0 and ("assign", run) in spans(run)
