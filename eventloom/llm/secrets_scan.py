@@ -2,7 +2,7 @@
 
 A worklist holds layers of a text, the text itself first. Each layer is scanned for secrets, and what
 it hides is unwrapped into further layers: percent escapes, Unicode and character-reference escapes,
-base64 runs, and compressed bytes (gzip, zlib, bzip2, xz, zstd) inside these. A layer of which the same
+base64 runs, also wrapped over lines, and compressed bytes (gzip, zlib, bzip2, xz, zstd) inside these. A layer of which the same
 place has already given the same content is not taken again, so that the work ends at a fixpoint.
 Spans found in a layer are mapped back to the original text: exactly through escapes and base64 of
 ASCII, else to the whole run they came from.
@@ -54,6 +54,8 @@ _ESCAPES = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# A line of base64 after another; only the last of a run can be short.
+_NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 # What no secret and no run crosses, however it is decoded: characters that stand in none of the patterns, and
 # the space between a word without escapes and a letter or digit.
 _BREAK = re.compile(r"""[^A-Za-z0-9+/_.=\-"':%\\&#;{}\t\n\r\x20]|(?<=[\t\n\r\x20])[A-Za-z0-9.]+\x20(?=[A-Za-z0-9])""")
@@ -158,6 +160,49 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode):
         yield _Layer("".join(parts), layer, pieces)
 
 
+def _wrapped(text: str, runs: list[tuple[int, int]]):
+    """Lists of consecutive lines of base64 that may be one run.
+
+    Lines of one width and a shorter one after them are taken together, also with the line before them,
+    which may begin within a line; and all lines that follow each other, with and without the first,
+    which may be a heading.
+    """
+    i = 0
+    while i < len(runs):
+        block = [runs[i]]
+        i += 1
+        while text[block[-1][1] - 1] != "=" and (m := _NEXT_LINE.match(text, block[-1][1])):
+            if i < len(runs) and runs[i][0] == m.start(1):
+                block.append(runs[i])
+                i += 1
+            else:
+                block.append(m.span(1))
+                break
+        if len(block) == 1:
+            continue
+        found = {(0, len(block)), (1, len(block))}
+        width = [e - s for s, e in block]
+        first = 0
+        while first < len(block):
+            last = first + 1
+            while last < len(block) and width[last] == width[first]:
+                last += 1
+            end = last + 1 if last < len(block) and width[last] < width[first] else last
+            found |= {(first, end), (max(0, first - 1), end)}
+            first = last
+        yield from (block[a:b] for a, b in sorted(found) if b - a > 1)
+
+
+def _joined_lines(layer: _Layer, lines: list[tuple[int, int]]) -> _Layer:
+    """Lines of a layer as one run."""
+    parts, pieces, here = [], [], 0
+    for start, end in lines:
+        parts.append(layer.content[start:end])
+        pieces.append((here, start, end, True))
+        here += end - start
+    return _Layer("".join(parts), layer, pieces)
+
+
 def _opener(head: bytes):
     """Makes a decompressor for a stream with these first bytes; None if they begin none."""
     if head[:2] == b"\x1f\x8b":
@@ -287,11 +332,18 @@ class _Scan:
             yield from _replaced(layer, _PERCENT, _percent)
         if "\\" in content or "&#" in content:
             yield from _replaced(layer, _ESCAPES, _escape)
-        for m in _BASE64.finditer(content):
-            yield from self.decoded(layer, m.span())
+        runs = [m.span() for m in _BASE64.finditer(content)]
+        # Where streams begin, the fewest that broke off: one that its first line cuts off may be whole with the next ones.
+        broken: dict[int, int] = {}
+        for span in runs:
+            yield from self.decoded(layer, span, span[0], broken)
+        for lines in _wrapped(content, runs):
+            joined = _joined_lines(layer, lines)
+            yield from self.decoded(joined, (0, len(joined.content)), lines[0][0], broken)
+        self.closed += sum(broken.values())
         layer.content = None
 
-    def decoded(self, layer: _Layer, span: tuple[int, int]):
+    def decoded(self, layer: _Layer, span: tuple[int, int], place: int, broken: dict[int, int]):
         """The layers in a base64 run."""
         run = layer.content[slice(*span)].rstrip("=")
         if len(run) % 4 == 1:
@@ -302,10 +354,11 @@ class _Scan:
             if text:
                 yield _Layer(text, layer, run=span, exact=text.isascii())
         elif _opener(data):
-            yield from self.unpacked(layer, span, io.BytesIO(data))
+            yield from self.unpacked(layer, span, io.BytesIO(data), place, broken)
 
-    def unpacked(self, layer: _Layer, span: tuple[int, int], packed):
-        """The layers in a packed stream, and in streams it packs."""
+    def unpacked(self, layer: _Layer, span: tuple[int, int], packed, place: int, broken: dict[int, int]):
+        """The layers in a packed stream, and in streams it packs; enters the streams that broke off."""
+        n = 0
         while packed is not None:
             stream = _Unpacked(packed)
             chunks = self.limited(stream)
@@ -328,16 +381,17 @@ class _Scan:
                     if text:
                         yield _Layer(text, layer, run=span)
             # Bytes that only look like a stream give nothing and are none.
-            self.closed += stream.broken and stream.size > 0
+            n += stream.broken and stream.size > 0
             packed.close()
             packed = inner
+        broken[place] = min(n, broken.get(place, n))
 
     def limited(self, stream: _Unpacked):
         for chunk in stream:
             if self.left is not None:
                 self.left -= len(chunk)
                 if self.left < 0:
-                    self.closed += 1
+                    stream.broken = True
                     return
             yield chunk
 

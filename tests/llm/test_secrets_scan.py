@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -126,3 +127,26 @@ def test_windows_end_at_breaks(monkeypatch):
     assert b"".join(windows).decode() == plain and len(windows) > 10
     assert sum(len(re.findall(r"password%3D%20abcdefgh\d{3}", w.decode())) for w in windows) == 300
     assert scan(run)[3] == 0 and ("assign", run) in spans(run)
+
+
+@pytest.mark.parametrize("width", [16, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\r\n\t"])
+def test_wrapped_base64(width, end):
+    def wrapped(data):
+        run = b64(data)
+        return end.join(run[i:i + width] for i in range(0, len(run), width))
+
+    rnd = random.Random(width)
+    junk = "".join(rnd.choice("bcdfg ") for _ in range(200))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        run = wrapped(pack(f"{junk} {SECRET} {junk}".encode()))
+        for text in (f"see:\n{run}\n\nend", f"data: {run}", f"BEGINCERTIFICATEHEADING{end}{run}"):
+            assert ("assign", run) in spans(text) and scan(text)[3] == 0, text
+    for lead in range(60):
+        text = f"<{wrapped('x' * lead + f' {KEY}; é{lead * chr(233)} and more words here')}>"
+        assert any(k == "access" and len(w.replace(end, "")) >= 27 for k, w in spans(text)), lead
+        text = f"<{wrapped('x' * lead + f' {KEY}; and more words here')}>"
+        (start, stop), = [(s, e) for s, k, e in scan(text)[1] if len(text[s:e].replace(end, "")) >= 27]
+        assert len(text[start:stop].replace(end, "")) <= 28
+    lines = "\n".join(b64(f"{i:03} password=abcdefgh{i:03} of line") for i in range(5))
+    assert len({w for k, w in spans(lines)}) >= 5
