@@ -5,7 +5,8 @@ it hides is unwrapped into further layers: percent escapes, Unicode and characte
 base64 runs, also wrapped over lines, and compressed bytes (gzip, zlib, bzip2, xz, zstd) inside these. A layer of which the same
 place has already given the same content is not taken again, so that the work ends at a fixpoint.
 Spans found in a layer are mapped back to the original text: exactly through escapes and base64 of
-ASCII, else to the whole run they came from.
+ASCII, else to the whole run they came from. Bytes that are no text are scanned as Latin-1 and as
+UTF-16; such a layer counts in `n_layers` if it holds a secret.
 
 Every layer is opened. The layers are walked depth first, and each is cut at characters that no secret
 and no run, in this layer or one decoded from it, can cross: an escape's layer is the part between two
@@ -52,6 +53,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_NO_UTF8 = re.compile("[\udc80-\udcff]")
+# ASCII in UTF-16 of either order.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}[\t\n\r\x20-\x7e]?|(?:\x00[\t\n\r\x20-\x7e]){8,}")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # A line of base64 after another; only the last of a run can be short.
@@ -80,8 +84,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class _Layer:
     """A decoded text and where its parts come from in its parent."""
 
-    def __init__(self, content: str | bytes, parent: _Layer | None = None, pieces=(), run=None, exact=False):
-        self.content, self.parent, self.run, self.exact = content, parent, run, exact
+    def __init__(self, content: str, parent: _Layer | None = None, pieces=(), run=None, exact=False, raw=False):
+        self.content, self.parent, self.run, self.exact, self.raw = content, parent, run, exact, raw
         # (start here, start in parent, end in parent, whether offsets inside move alike)
         self.pieces = pieces
         self.starts = [p[0] for p in pieces]
@@ -104,11 +108,13 @@ class _Layer:
         return start, end
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return binascii.unhexlify(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _decoded(data: bytes) -> str:
+    """Bytes as UTF-8, and as Latin-1 where they are none."""
+    return _NO_UTF8.sub(lambda m: chr(ord(m[0]) - 0xDC00), data.decode("utf-8", "surrogateescape"))
+
+
+def _percent(run: str) -> str:
+    return _decoded(binascii.unhexlify(run.replace("%", "")))
 
 
 def _escape(run: str) -> str | None:
@@ -116,11 +122,11 @@ def _escape(run: str) -> str | None:
         if run.startswith("\\u{"):
             return chr(int(run[3:-1], 16))
         if run.startswith("\\u"):
-            return b"".join(bytes.fromhex(h) for h in run.split("\\u")[1:]).decode("utf-16-be")
+            return b"".join(bytes.fromhex(h) for h in run.split("\\u")[1:]).decode("utf-16-be", "surrogatepass")
         if run.startswith("\\U"):
             return chr(int(run[2:], 16))
         if run.startswith("\\x"):
-            return bytes.fromhex(run.replace("\\x", "")).decode()
+            return _decoded(bytes.fromhex(run.replace("\\x", "")))
         return chr(int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1]))
     except (ValueError, OverflowError):
         return None
@@ -207,7 +213,7 @@ def _opener(head: bytes):
     """Makes a decompressor for a stream with these first bytes; None if they begin none."""
     if head[:2] == b"\x1f\x8b":
         return lambda: zlib.decompressobj(31)
-    if len(head) > 2 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0:
+    if len(head) > 2 and head[0] & 0x8F == 8 and (head[0] << 8 | head[1]) % 31 == 0:
         return zlib.decompressobj
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor
@@ -218,6 +224,8 @@ def _opener(head: bytes):
     return None
 
 
+_MARKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18.{4}", re.DOTALL)
 _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError)
 
 
@@ -225,7 +233,7 @@ class _Unpacked:
     """The bytes that a packed file unpacks to, in chunks; `broken` if it can't be read to its end."""
 
     def __init__(self, packed):
-        self.packed, self.broken, self.size = packed, False, 0
+        self.packed, self.broken, self.size, self.rest = packed, False, 0, b""
 
     def _through(self, opener, data: bytes):
         """Chunks of what some bytes of the file unpack to."""
@@ -250,16 +258,38 @@ class _Unpacked:
         data = self.packed.read(_READ)
         opener = _opener(data)()
         try:
-            while data and not opener.eof:
+            while data:
                 for chunk in self._through(opener, data):
                     self.size += len(chunk)
                     if chunk:
                         yield chunk
-                data = self.packed.read(_READ)
+                if opener.eof:
+                    # Further members follow at once or after zeros; zstd also has frames to skip.
+                    data = opener.unused_data.lstrip(b"\0")
+                    while len(data) < 8 and (more := self.packed.read(_READ)):
+                        data = (data + more).lstrip(b"\0")
+                    if _SKIPPED.match(data):
+                        self.packed.seek(int.from_bytes(data[4:8], "little") + 8 - len(data), 1)
+                        data = self.packed.read(_READ)
+                    if not data:
+                        return
+                    following = _opener(data)
+                    if following is None:
+                        self.rest = data
+                        return
+                    opener = following()
+                else:
+                    data = self.packed.read(_READ)
             self.broken = not opener.eof
         except _BROKEN:
             self.broken = True
 
+    def trailing(self):
+        """What follows the last stream in the file, in chunks."""
+        while self.rest:
+            yield self.rest
+            self.rest = self.packed.read(_READ)
+
 
 def _windows(chunks):
     """Bytes in windows of about `WINDOW` bytes that end at breaks; a stretch without one stays whole."""
@@ -313,8 +343,9 @@ class _Scan:
             if layer is None:
                 todo.pop()
             elif self.fresh(layer.content.encode("utf-8", "surrogatepass"), layer.origin(0, len(layer.content))):
-                self.layers += 1
-                self.every.update((s, kind, e) for a, kind, b in base_spans(layer.content) for s, e in [layer.origin(a, b)])
+                found = base_spans(layer.content)
+                self.layers += not layer.raw or bool(found)
+                self.every.update((s, kind, e) for a, kind, b in found for s, e in [layer.origin(a, b)])
                 todo.append(self.below(layer))
 
     def fresh(self, content: bytes | str, where: tuple[int, int]) -> bool:
@@ -346,19 +377,32 @@ class _Scan:
     def decoded(self, layer: _Layer, span: tuple[int, int], place: int, broken: dict[int, int]):
         """The layers in a base64 run."""
         run = layer.content[slice(*span)].rstrip("=")
-        if len(run) % 4 == 1:
-            return
+        run = run[:len(run) - (len(run) % 4 == 1)]
         data = base64.b64decode(run.translate(_STANDARD) + "=" * (-len(run) % 4))
         text = _as_text(data)
         if text is not None:
             if text:
                 yield _Layer(text, layer, run=span, exact=text.isascii())
-        elif _opener(data):
+            return
+        if _opener(data):
             yield from self.unpacked(layer, span, io.BytesIO(data), place, broken)
+        yield from self.raw(layer, span, data, True)
+
+    def raw(self, layer: _Layer, span: tuple[int, int], data: bytes, exact: bool):
+        """Bytes that are no text as Latin-1, which shows all ASCII in them, and what may be UTF-16 among them."""
+        whole = _Layer(data.decode("latin-1"), layer, run=span, exact=exact, raw=True)
+        for m in _WIDE.finditer(data):
+            plain = m[0].replace(b"\0", b"").decode()
+            if exact:
+                pieces = [(i, m.start() + 2 * i, m.start() + 2 * i + 2, False) for i in range(len(plain))]
+                yield _Layer(plain, whole, pieces)
+            else:
+                yield _Layer(plain, layer, run=span)
+        yield whole
 
     def unpacked(self, layer: _Layer, span: tuple[int, int], packed, place: int, broken: dict[int, int]):
         """The layers in a packed stream, and in streams it packs; enters the streams that broke off."""
-        n = 0
+        n, nested = 0, False
         while packed is not None:
             stream = _Unpacked(packed)
             chunks = self.limited(stream)
@@ -376,16 +420,30 @@ class _Scan:
                     inner.close()
                     inner = None
             else:
-                for window in _windows(chunks):
-                    text = _as_text(window)
-                    if text:
-                        yield _Layer(text, layer, run=span)
-            # Bytes that only look like a stream give nothing and are none.
-            n += stream.broken and stream.size > 0
+                yield from self.read(layer, span, chunks)
+            if nested and stream.broken:
+                # Whatever it is, its bytes can be looked at.
+                packed.seek(0)
+                yield from self.read(layer, span, iter(lambda: packed.read(_READ), b""))
+            elif nested:
+                yield from self.read(layer, span, stream.trailing())
+            nested = True
+            # A zlib header is also found by chance; such bytes give nothing and are no stream.
+            packed.seek(0)
+            n += stream.broken and (stream.size > 0 or _MARKED.match(packed.read(10)) is not None)
             packed.close()
             packed = inner
         broken[place] = min(n, broken.get(place, n))
 
+    def read(self, layer: _Layer, span: tuple[int, int], chunks):
+        """The layers in unpacked bytes."""
+        for window in _windows(chunks):
+            text = _as_text(window)
+            if text is None:
+                yield from self.raw(layer, span, window, False)
+            else:
+                yield _Layer(text, layer, run=span)
+
     def limited(self, stream: _Unpacked):
         for chunk in stream:
             if self.left is not None:

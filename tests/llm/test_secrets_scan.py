@@ -150,3 +150,37 @@ def test_wrapped_base64(width, end):
         assert len(text[start:stop].replace(end, "")) <= 28
     lines = "\n".join(b64(f"{i:03} password=abcdefgh{i:03} of line") for i in range(5))
     assert len({w for k, w in spans(lines)}) >= 5
+
+
+@pytest.mark.parametrize("data", [
+    f"see {SECRET} now".encode("utf-16-le"), f"see {SECRET} now".encode("utf-16"), f"see {SECRET} now".encode("utf-16-be"),
+    f"ո{SECRET}".encode("utf-16-be"), f"é {SECRET} ü".encode("latin-1"), b"\0\1\2\xff" + f" {SECRET} ".encode() + b"\xfe\0" * 9])
+def test_bytes_that_are_no_text(data):
+    for text in (f"<{b64(data)}>", f"<{b64(gzip.compress(data))}>", f"<{b64(lzma.compress(bz2.compress(data)))}>"):
+        found = scan(text)
+        assert any(kind == 0 for _, kind, _ in found[1]) and found[3] == 0
+    (start, kind, end), = scan(f"<{b64(data)}>")[1]
+    wide = 2 if b"\0d" in data or b"d\0" in data else 1
+    assert end - start <= -(-len(SECRET) * wide * 4 // 3) + 4
+
+
+def test_runs_that_are_valid_in_part():
+    latin = "".join(f"%{b:02X}" for b in f"clé {SECRET}".encode("latin-1"))
+    assert ("assign", latin) in spans(f"<{latin}>")
+    hexes = latin.replace("%", "\\x")
+    assert ("assign", hexes) in spans(f"<{hexes}>")
+    units = "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in f" {SECRET}")
+    assert ("assign", units) in spans(f"<{units}>")
+
+
+@pytest.mark.parametrize("pack", [
+    gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress,
+    lambda data: (c := zlib.compressobj(9, zlib.DEFLATED, 9)).compress(data) + c.flush()])
+def test_later_members(pack):
+    skipped = b"\x52\x2a\x4d\x18\x05\0\0\0hello" if pack(b"x").startswith(b"\x28\xb5") else b"\0" * 8
+    for data in (pack(b"first") + pack(SECRET.encode()), pack(b"first") + skipped + pack(b"") + pack(SECRET.encode()),
+                 pack(b"first") + f"rest {SECRET}".encode(), pack(SECRET.encode())):
+        run = b64(data)
+        assert any(k == "assign" for k, w in spans(f"<{run}>")) and scan(run)[3] == 0
+    noise = random.Random(1).randbytes(5000)
+    assert scan(b64(pack(noise)[:3000]))[3] == 1
