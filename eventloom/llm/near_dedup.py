@@ -203,8 +203,9 @@ class _Links:
         early = cut(early.withColumnRenamed("shingle", "key").withColumn("paired", F.lit(False)))
         # What lies outside a shingle's main component meets all; the main one doesn't meet itself.
         main = early.groupBy("key").agg(
-            F.mode("component").alias("main"), F.min("component").alias("_least"), F.max("component").alias("_most"))
-        early = early.join(main.filter("_least < _most").select("key", "main"), "key")
+            F.mode("component", deterministic=True).alias("main"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+        # Cut, so that both sides of the join below read one choice of the main component.
+        early = early.join(cut(main.filter("_least < _most").select("key", "main")), "key")
         room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
         reach = room * (100 + self.percent) >= (F.col("x.n") + F.col("y.n")) * self.percent
         once = (F.col("y.component") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))

@@ -3,9 +3,10 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.llm.components import components
-from eventloom.llm.near_dedup import HUBS, drop_near_duplicates, near_duplicates
+from eventloom.llm.near_dedup import HUBS, PLANES, _Links, drop_near_duplicates, near_duplicates
 from eventloom.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, hash string, component int, _doc string"
@@ -105,3 +106,14 @@ def test_components_of_random_links(spark):
     loops = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
     assert {r.node: r.component for r in got} == {k: v for k, v in label.items() if k not in loops}
     assert len(got) == len({r.node for r in got})
+
+
+def test_both_sides_read_one_main_component(spark):
+    docs = frame(spark, [(i, f"a b c d e f g h x{i} y") for i in range(4)]).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    classes = docs.select(
+        F.col("_id").alias("class"), F.lit(6).cast("long").alias("n"), F.col("_id").alias("component"), *(F.lit(0).cast("long").alias(p) for p in PLANES))
+    known = docs.select(F.col("_id").alias("class"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"))
+    early = _Links(docs, known, 5, 50).sharing_early(classes)
+    # A side that chose for itself would hold the aggregate; components are tied here.
+    assert "mode(" not in early._jdf.queryExecution().toString()
+    assert {(r.a, r.b) for r in early.collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
