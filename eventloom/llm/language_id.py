@@ -8,10 +8,12 @@ length under the frozen counts, and the language with the shortest code is the p
 
 Trees are fitted on a bounded sample: of each language, the rows first in a seeded order, at most
 `SAMPLE_ROWS` of them and `SAMPLE_BYTES` bytes together, from rows of at most `SAMPLE_ROW_BYTES`
-bytes. Counting runs in Spark; the sample's bound is the bound of what is broadcast. Texts are scored whole.
+bytes. A language whose rows are all longer is learned from its shortest, at least one, so that none is
+left out. Counting runs in Spark; the sample's bound, or one row a language where that is longer, is the
+bound of what is broadcast. Texts are scored whole.
 
 Nulls and ties: a text that is null or has no letter is `und` with score 0, as is every text if there
-is nothing to learn from. Equal code lengths go to the first language in code point order. Rows that
+is nothing to learn from; `keep_identified` then keeps all that have a letter. Equal code lengths go to the first language in code point order. Rows that
 repeat each other get equal results. An empty table gives an empty table.
 """
 
@@ -113,19 +115,32 @@ class Model:
 
 def _counter(batches):
     """Counts of the byte strings of each length that end at each byte of a text."""
-    for batch in batches:
-        found: dict[tuple[str, int], list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = np.concatenate([_BEFORE, np.frombuffer(text.encode(), np.uint8)]).astype(np.uint64)
-            key = np.zeros(len(data) - ORDER, np.uint64)
-            for m in range(1, ORDER + 2):
-                key = key | data[ORDER + 1 - m:len(data) + 1 - m] << np.uint64(8 * (m - 1))
-                found.setdefault((lang, m), []).append(key)
+    found: dict[tuple[str, int], list[np.ndarray]] = {}
+    held = 0
+
+    def counted():
         for (lang, m), keys in found.items():
             strings, counts = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(strings)), pa.array(np.full(len(strings), m, np.int32)),
                  pa.array(strings.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "m", "string", "n"])
+        found.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            whole = np.concatenate([_BEFORE, np.frombuffer(text.encode(), np.uint8)])
+            # A long text by pieces, each with the bytes before it as context.
+            for begin in range(0, len(whole) - ORDER, CHUNK_BYTES):
+                data = whole[begin:begin + CHUNK_BYTES + ORDER].astype(np.uint64)
+                key = np.zeros(len(data) - ORDER, np.uint64)
+                for m in range(1, ORDER + 2):
+                    key = key | data[ORDER + 1 - m:len(data) + 1 - m] << np.uint64(8 * (m - 1))
+                    found.setdefault((lang, m), []).append(key)
+                held += len(key)
+                if held >= 4 * CHUNK_BYTES:
+                    yield from counted()
+                    held = 0
+    yield from counted()
 
 
 def _compile(languages: list[str], counts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -159,20 +174,30 @@ def _compile(languages: list[str], counts: dict[tuple[str, int], tuple[np.ndarra
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> Model | None:
     """Context trees of the languages in `lang_col`; None if no row has a text and a language."""
-    rows = labelled.select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), seeded_hash(seed, id_col).alias("_hash"))
-    rows = rows.filter("lang is not null and text is not null").withColumn("_bytes", F.octet_length("text"))
-    rows = rows.filter(F.col("_bytes").between(1, SAMPLE_ROW_BYTES))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"))
+    rows = rows.filter("lang is not null and text is not null").withColumn("_bytes", F.octet_length("text")).filter("_bytes > 0")
+    rows = rows.withColumn("_text_hash", F.xxhash64("text")).withColumn("_hash", seeded_hash(seed, "_id", "_text_hash"))
     # Rows late in the order are left out before anything moves: of each language a share of hashes
     # that holds three samples on average. The counts are one row for each language.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # The row with the least hash always stays, should few hashes stand for many rows.
+    short = F.col("_bytes") <= SAMPLE_ROW_BYTES
+    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(
+        F.count(F.when(short, 1)).alias("n"), F.min(F.when(short, F.col("_hash"))).alias("least")).collect()}
     if not counts:
         return None
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * sample_rows / n))])
+    shares = F.create_map(*[F.lit(x) for lang, (n, _) in counts.items() for x in (lang, min(1.0, 3 * sample_rows / max(1, n)))])
+    least = F.create_map(*[F.lit(x) for lang, (_, first) in counts.items() for x in (lang, first or "")])
     early = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / 2**32
-    rows = rows.filter(early <= shares[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("_hash", "_bytes", F.xxhash64("text"))
-    rows = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample_rows)
+    order = Window.partitionBy("lang").orderBy("_hash", "_bytes", "_text_hash")
+    chosen = rows.filter(short).filter((early <= shares[F.col("lang")]) | (F.col("_hash") == least[F.col("lang")]))
+    chosen = chosen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample_rows)
+    if long := [lang for lang, (n, _) in counts.items() if not n]:
+        # So many long rows fill the sample's bytes.
+        most = min(sample_rows, sample_bytes // SAMPLE_ROW_BYTES + 1)
+        shortest = Window.partitionBy("lang").orderBy("_bytes", "_hash", "_text_hash")
+        chosen = chosen.union(rows.filter(F.col("lang").isin(long)).withColumn(
+            "_rank", F.row_number().over(shortest)).filter(F.col("_rank") <= most))
+    rows = chosen
     upto = Window.partitionBy("lang").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("_bytes").over(upto)).filter((F.col("_sum") <= sample_bytes) | (F.col("_rank") == 1))
     counted = rows.select("lang", "text").mapInArrow(_counter, "lang string, m int, string long, n long")
@@ -232,11 +257,14 @@ def _scorer(shared, name: str):
     return score
 
 
+def _has_letter(text_col: str) -> F.Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model | None, keep, text_col: str = "text") -> DataFrame:
     """`kept` (the column `keep` of each row), `lang_pred`, `score` (its share among all languages) and `bits_per_byte`."""
     shared = docs.sparkSession.sparkContext.broadcast(model.plain() if model else None)
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    df = docs.select(keep.alias("kept"), letter.alias("_letter"), F.col(text_col).alias("_text"))
+    df = docs.select(keep.alias("kept"), _has_letter(text_col).alias("_letter"), F.col(text_col).alias("_text"))
     schema = T.StructType([
         df.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("bits_per_byte", T.DoubleType())])
@@ -249,5 +277,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that have a language, with all their columns."""
+    """The rows of `docs` that have a language, with all their columns; those with a letter if there is no model."""
+    if model is None:
+        return docs.filter(_has_letter(text_col))
     return identify(docs, model, F.struct("*"), text_col).filter("lang_pred <> 'und'").select("kept.*")

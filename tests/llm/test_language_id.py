@@ -87,3 +87,25 @@ def test_nothing_to_learn_from(spark):
     assert identify(docs, None, F.col("doc_id")).first().lang_pred == "und"
     empty = frame(spark, [])
     assert train(empty) is None and keep_identified(empty, None).count() == 0
+
+
+def test_languages_of_long_rows_only_are_learned(spark):
+    long = "der hund und die katze am see " * 3_000
+    rows = [(1, "the cat and the dog ran to the sea ", "en"), (2, long, "de"), (3, long * 20, "de"), (4, "x" * 70_000, "xx")]
+    model = train(frame(spark, rows))
+    assert model.languages == ["de", "en", "xx"]
+    text = "die katze am see"
+    got = model.code_lengths(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert got[0, 0] == pytest.approx(plain_bits([long], text), rel=1e-3)
+    assert train(frame(spark, [(2, long * 20, "de")])).languages == ["de"]
+
+
+def test_ids_that_repeat_lose_no_language(spark):
+    rows = [(i, f"die katze {k}", f"de{k}") for k, i in enumerate([None, *range(12)]) for _ in range(40)]
+    rows += [(i, "the same text", f"en{i}") for i in range(12) for _ in range(40)]
+    assert len(train(frame(spark, rows), sample_rows=1).languages) == 25
+
+
+def test_without_a_model_texts_with_a_letter_stay(spark):
+    docs = frame(spark, [(1, "words", None), (2, "12 34", None), (3, None, None), (4, "é1", None)])
+    assert [r.doc_id for r in keep_identified(docs, train(docs)).collect()] == [1, 4]
