@@ -21,7 +21,7 @@ from eventloom.llm.near_dedup import drop_near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
+    """Documents with a letter. Each of these has a likeliest language, so the model rejects none."""
     return keep_identified(docs, train(docs.filter(~held_out())))
 
 
