@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import encode_documents
 from .common import table
 from .exact_dedup import duplicate_groups
+from .html_content import extract_text, labelled_pages, train as train_content
+from .importance import resample
 from .language_id import held_out, identify, train
 from .mixing import plan_mix
 from .near_dedup import near_duplicates
+from .prefix_trie import prefix_trie
 from .quality_rules import CUTOFFS, LEVEL, RISK, judge_quality
 from .secrets_scan import find_secrets
 from .sharding import interleave
@@ -168,8 +171,10 @@ _PART = RISK / len(CUTOFFS)
 @query(rf"""
 WITH texts AS (SELECT doc_id, coalesce('s' || lang, 't') AS stratum, coalesce(text, '') AS t FROM documents),
 split AS (
-  SELECT doc_id, stratum, t, regexp_extract_all(t, '[^ 	-]+') AS w,
-    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM texts),
+  SELECT doc_id, stratum, t, regexp_extract_all(t, '[^ 	-
+]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM texts),
 windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM split)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
@@ -217,3 +222,100 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_CRC32 = """list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"""
+
+
+def _crc32_of(text: str) -> str:
+    """SQL for the CRC-32 of a text, with the table `crc` in reach."""
+    digits = f"string_split(hex(encode({text})), '')"
+    each = f"""CASE WHEN {text} = '' THEN [] ELSE list_transform(range(1, len({digits}), 2), lambda i:
+      ((strpos('0123456789ABCDEF', {digits}[i]) - 1) * 16 + strpos('0123456789ABCDEF', {digits}[i + 1]) - 1)::BIGINT) END"""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))"
+
+
+@query(f"""
+WITH crc AS (SELECT {_CRC32} AS t),
+own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place,
+    length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS turn, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, count(*) AS n FROM own GROUP BY c),
+convs AS (
+  SELECT s.c, s.c - s.c % 5 AS b, s.n, h, least(h, coalesce(f.n, 0)) AS taken
+  FROM (SELECT c, n, {_crc32_of("c::VARCHAR")} % 9 AS h FROM sizes, crc) s LEFT JOIN sizes f ON f.c = s.c - s.c % 5),
+turns AS (
+  SELECT v.c, o.place AS d, o.turn, o.bytes FROM convs v JOIN own o ON o.c = v.b AND o.place <= v.taken
+  UNION ALL SELECT v.c, v.taken + o.place - v.h, o.turn, o.bytes FROM convs v JOIN own o ON o.c = v.c AND o.place > v.h),
+paths AS (
+  SELECT c, d, bytes, string_agg(sha256(turn), '') OVER (PARTITION BY c ORDER BY d) AS path FROM turns
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+ends AS (SELECT c, max(d) AS d FROM paths GROUP BY c),
+nodes AS (
+  SELECT p.d, p.path, min(p.c) AS conv_id, count(*) AS n_convs, max(p.bytes) AS bytes,
+    sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (WHERE e.d = p.d), '')) AS ends_sha256
+  FROM paths p JOIN ends e ON e.c = p.c GROUP BY p.d, p.path),
+up AS (SELECT x.*, y.conv_id AS parent_conv_id FROM nodes x LEFT JOIN nodes y ON y.d = x.d - 1 AND y.path = left(x.path, 64 * (x.d - 1)::INT)),
+kids AS (SELECT d - 1 AS d, left(path, 64 * (d - 1)::INT) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT x.d, x.path, sum((y.n_convs - 1) * y.bytes)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves
+  FROM nodes x JOIN nodes y ON y.d >= x.d AND starts_with(y.path, x.path) LEFT JOIN kids k ON k.d = y.d AND k.path = y.path GROUP BY x.d, x.path)
+SELECT u.conv_id, u.d AS depth, u.parent_conv_id, u.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, b.saved_tokens, u.ends_sha256
+FROM up u JOIN below b USING (d, path) LEFT JOIN kids k USING (d, path)
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _lower_words(column: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+@query(f"""
+WITH crc AS (SELECT {_CRC32} AS t),
+docs AS (SELECT doc_id, row_number() OVER () AS r, {_lower_words("text")} AS w FROM documents),
+wanted AS (SELECT {_lower_words("text")} AS w FROM benchmark),
+mine AS (SELECT r, unnest(w) AS word FROM docs),
+theirs AS (SELECT unnest(w) AS word FROM wanted),
+hashed AS (SELECT word, {_crc32_of("word")} % 10000 AS bucket FROM (SELECT word FROM mine UNION SELECT word FROM theirs), crc),
+counted AS (
+  SELECT bucket, sum(s) AS s, sum(t) AS t FROM (
+    SELECT bucket, count(*) AS s, 0 AS t FROM mine JOIN hashed USING (word) GROUP BY bucket
+    UNION ALL SELECT bucket, 0, count(*) FROM theirs JOIN hashed USING (word) GROUP BY bucket) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counted) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counted) + 10000)::DOUBLE))) AS gain FROM counted),
+weighed AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM mine JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, r, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weighed USING (r)),
+placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, 10 * count(*) OVER () // 100 AS drawn
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+""")
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The tables' pages hold their main text in an article of headings and paragraphs, with few character references.
+@query(r"""
+WITH inner_html AS (SELECT page_id, url, row_number() OVER () AS r, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+blocks AS (SELECT r, unnest(regexp_split_to_array(a, '</?(?:p|h1)>')) AS b, generate_subscripts(regexp_split_to_array(a, '</?(?:p|h1)>'), 1) AS i FROM inner_html),
+plain AS (
+  SELECT r, i, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'),
+    chr(160), ' '), '\s+', ' ', 'g')) AS t FROM blocks),
+joined AS (SELECT r, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM plain WHERE t <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM inner_html LEFT JOIN joined USING (r)
+""")
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = train_content(labelled_pages(pages, table(spark, sf_dir, "documents")))
+    return extract_text(pages, model)
