@@ -8,12 +8,17 @@
    Only pairs within six standard deviations of the threshold go on, so that none is lost to chance.
 4. Pairs are confirmed on the full shingle sets, and links are joined into components.
 
-Groups are not paired out. In a band bucket only a few hubs meet all members at first, and each class
-has its likeliest partner confirmed first. Small buckets are paired in full. Classes whose large bucket
-then still holds several components are finished exactly: their shingles are put in one order, rarest first, and a pair of different components
-is confirmed only if it shares a shingle so early that the rest can still reach the threshold. Two sets
-as similar as the threshold always do, so no link is lost, and sets that merely come near pair with
-nothing. What lies in one component needs no further pair.
+Groups are not paired out. Buckets of `SMALL` members or fewer are paired in full. In a larger bucket,
+cut into ranges of similar set sizes, all members meet one hub, the member that stands in the most and largest
+buckets, so that buckets agree on their hubs. From then on a member x is what it lacks and adds against
+its hub, D(x). As |x sym y| = |D(x)| + |D(y)| - 2 |D(x) and D(y)|, two members that are linked, one of them
+not with the hub, share a known number of elements of their differences. These are put in one order, the
+frequent ones last, and two members of different components are looked at only if they share one so early
+that the rest can still reach that number. What copies have in common never comes up, and members that
+merely come near the threshold share nothing early. No candidate is capped. What lies in one component needs
+no further pair.
+
+The sets of members are written once, and every comparison reads these, never texts.
 
 Nulls and ties: a text that is null or has no words has an empty set and is linked with nothing. A
 component is named by its smallest id, a null id counting only where there is no other. Rows with the
@@ -29,16 +34,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import by_bytes, cut
+from .common import cut
 from .components import components
 from .shingles import mix64, random64, shingle_sets
 
 MINIMA, BAND_MINIMA, BITS = 128, 4, 4
 BANDS = MINIMA // BAND_MINIMA
 PLANES = [f"s{i}" for i in range(BITS * MINIMA // 64)]
-#: Members of a bucket that meet all others at first; a bucket of as many or fewer is paired in full.
-HUBS = 8
+#: Members of a bucket that are paired in full.
+SMALL = 8
 DEVIATIONS = 6
+#: Members of a hub from which on the frequent elements of differences are looked for, among as many members.
+SAMPLE = 64
+#: Frequent elements that are kept for a hub; all others count as rare, which costs time only.
+FREQUENT = 256
+#: Keys for which a table of bits, `BITS_PER_KEY` for each, is broadcast; with more keys all rows are joined.
+BIT_TABLE_KEYS, BITS_PER_KEY = 500_000, 16
 
 _FLIP = random64(MINIMA, 11)
 _TIMES = random64(MINIMA, 12) | np.uint64(1)
@@ -66,7 +77,7 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _signer(width: int, schema: pa.Schema):
     def sign(batches):
         for batch in batches:
-            for first, sets in shingle_sets(batch.column(2), width):
+            for first, sets in shingle_sets(batch.column(3), width):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 digests = np.zeros((len(sets), 2), np.uint64)
@@ -76,7 +87,7 @@ def _signer(width: int, schema: pa.Schema):
                     digests[full], bands, planes[full] = _signatures([sets[i] for i in full])
                 ends = np.cumsum(np.concatenate([[0], np.where(sizes > 0, BANDS, 0)])).astype(np.int32)
                 arrays = [
-                    batch.column(0).slice(first, len(sets)), batch.column(1).slice(first, len(sets)), pa.array(sizes),
+                    *(batch.column(i).slice(first, len(sets)) for i in range(3)), pa.array(sizes),
                     *(pa.array(np.ascontiguousarray(digests[:, i]).view(np.int64)) for i in range(2)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1).view(np.int64))),
                     *(pa.array(np.ascontiguousarray(planes[:, i]).view(np.int64)) for i in range(len(PLANES))),
@@ -86,19 +97,6 @@ def _signer(width: int, schema: pa.Schema):
     return sign
 
 
-def _confirmer(width: int, percent: int):
-    def confirm(batches):
-        for batch in (part for whole in batches for part in by_bytes(whole, 2, 3)):
-            left = [s for _, sets in shingle_sets(batch.column(2), width) for s in sets]
-            right = [s for _, sets in shingle_sets(batch.column(3), width) for s in sets]
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - common
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(100 * common >= percent * union)], names=["a", "b", "linked"])
-
-    return confirm
-
-
 def agreeing(left: str, right: str) -> Column:
     """How many of the minima agree in all low bits, by bit counts over the packed planes."""
     words = MINIMA // 64
@@ -126,21 +124,38 @@ def similarity(agree: Column) -> Column:
     return (agree / MINIMA - chance) / (1 - chance)
 
 
-def _likely(members: DataFrame, others: DataFrame, percent: int, more: Column) -> DataFrame:
-    """Pairs (a, b, estimate) of one bucket that may reach the threshold; `paired` if one bucket pairs all its members."""
-    sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+def _sized(percent: int) -> Column:
+    return F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+
+
+def _small_pairs(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, estimate) of small buckets that may reach the threshold."""
+    members = cut(members.join(planes, "class"))
     agree = agreeing("x", "y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & sized & more & (agree >= least_agreeing(percent))
-    pairs = members.alias("x").join(others.alias("y"), on)
-    return pairs.groupBy(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).agg(
-        F.max(similarity(agree)).alias("estimate"), F.max("y.paired").alias("paired"))
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & _sized(percent) & (agree >= least_agreeing(percent))
+    pairs = members.alias("x").join(members.alias("y"), on)
+    return pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.max(similarity(agree)).alias("estimate"))
+
+
+def _hubs(members: DataFrame, percent: int) -> DataFrame:
+    """(class, hub): the hubs of the large buckets that a class stands in.
+
+    Ranges of set sizes overlap, so that two sets of similar sizes are in one; within a range sizes differ
+    by a bounded factor, so a set is never compared with one that is much larger.
+    """
+    weight = F.sum("m").over(Window.partitionBy("class"))
+    step = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * 1.001)) if percent < 100 else F.col("n")
+    ranged = members.withColumn("weight", weight).withColumn("size", F.explode(F.array(step - 1, step)))
+    hub = F.max(F.struct("weight", (-F.col("class")).alias("class"))).alias("hub")
+    hubs = ranged.groupBy("key", "size").agg(hub).select("key", "size", (-F.col("hub.class")).alias("hub"))
+    return ranged.join(hubs, ["key", "size"]).filter("class <> hub").select("class", "hub").distinct()
 
 
 class _Links:
-    """Confirmed links so far, the pairs already looked at, and the components they make."""
+    """Sets of classes, the pairs already looked at, and the components that confirmed links make."""
 
-    def __init__(self, docs: DataFrame, known: DataFrame, width: int, percent: int):
-        self.docs, self.known, self.width, self.percent = docs, known, width, percent
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
         self.done = self.labels = None
 
     def component(self, df: DataFrame, node: str = "class", name: str = "component") -> DataFrame:
@@ -157,23 +172,26 @@ class _Links:
         pairs = pairs.join(self.done, ["a", "b"], "left_anti")
         return self.component(self.component(pairs, "a", "_a"), "b", "_b").filter("_a <> _b").drop("_a", "_b")
 
-    def texts(self, classes: DataFrame) -> DataFrame:
-        """(class, text) for the classes of a table, each from one of its documents."""
-        wanted = classes.join(self.known, "class")
-        docs = self.docs.select("_id", "_text", F.xxhash64("_text").alias("_hash"))
-        same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
-        return docs.join(wanted, same).select("class", "_text").dropDuplicates(["class"])
+    def both(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """Pairs with the full sets of their ends, `_a` and `_b`."""
+        sets = self.sets
+        return pairs.join(sets.select(F.col("class").alias(a), F.col("shingles").alias("_a")), a).join(
+            sets.select(F.col("class").alias(b), F.col("shingles").alias("_b")), b)
+
+    def similar(self, common: Column, first: Column, second: Column) -> Column:
+        return common * (100 + self.percent) >= (first + second) * self.percent
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare the full sets of pairs and join what they link."""
-        pairs = cut(pairs.select("a", "b"))
-        if pairs.isEmpty():
-            return
-        texts = cut(self.texts(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
-        both = pairs.join(texts.toDF("a", "_text_a"), "a").join(texts.toDF("b", "_text_b"), "b")
-        looked = cut(both.select("a", "b", "_text_a", "_text_b").mapInArrow(
-            _confirmer(self.width, self.percent), "a long, b long, linked boolean"))
-        self.done = looked.select("a", "b") if self.done is None else self.done.union(looked.select("a", "b"))
+        common = F.size(F.array_intersect("_a", "_b"))
+        looked = cut(self.both(pairs.select("a", "b"), "a", "b").select(
+            "a", "b", self.similar(common, F.size("_a"), F.size("_b")).alias("linked")))
+        self.add(looked)
+
+    def add(self, looked: DataFrame) -> None:
+        """Note pairs (a, b, linked) as looked at and join what is linked."""
+        seen = looked.select("a", "b")
+        self.done = seen if self.done is None else self.done.union(seen)
         links = looked.filter("linked").select("a", "b")
         if links.isEmpty():
             return
@@ -187,44 +205,120 @@ class _Links:
         fresh = merged.join(self.labels, F.col("node") == merged["component"], "left_anti").toDF("node", "component")
         self.labels = cut(before.union(fresh))
 
-    def sharing_early(self, classes: DataFrame) -> DataFrame:
-        """Pairs (a, b, estimate) of (class, n, component, planes) in different components that may be linked.
-
-        With shingles in one order, rarest first, two sets of the threshold's similarity share one among
-        the first `n - least overlap + 1` of each, and the first they share leaves room for that overlap.
-        """
-        fields = T.StructType([T.StructField("class", T.LongType()), T.StructField("shingle", T.LongType())])
-        shingles = cut(self.texts(classes.select("class")).mapInArrow(_shingler(self.width), fields))
-        often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-        order = Window.partitionBy("class").orderBy("often", "shingle")
-        ranked = shingles.join(often, "shingle").withColumn("at", F.row_number().over(order) - 1)
-        early = ranked.join(classes, "class").filter(
-            (F.col("often") > 1) & (F.col("at") * 100 <= F.col("n") * (100 - self.percent))).drop("often")
-        early = cut(early.withColumnRenamed("shingle", "key").withColumn("paired", F.lit(False)))
-        # What lies outside a shingle's main component meets all; the main one doesn't meet itself.
-        main = early.groupBy("key").agg(
-            F.mode("component", deterministic=True).alias("main"), F.min("component").alias("_least"), F.max("component").alias("_most"))
-        # Cut, so that both sides of the join below read one choice of the main component.
-        early = early.join(cut(main.filter("_least < _most").select("key", "main")), "key")
-        room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-        reach = room * (100 + self.percent) >= (F.col("x.n") + F.col("y.n")) * self.percent
+    def against_hubs(self, hubs: DataFrame) -> DataFrame:
+        """(class, hub, n, adds, lacks) for (class, hub), and the links of classes with their hubs."""
+        differ = cut(self.both(hubs, "class", "hub").select(
+            "class", "hub", F.size("_a").cast("long").alias("n"), F.size("_b").alias("_of_hub"),
+            F.array_except("_a", "_b").alias("adds"), F.array_except("_b", "_a").alias("lacks")))
+        common = F.col("n") - F.size("adds")
+        self.add(cut(differ.select(
+            F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"),
+            self.similar(common, F.col("n"), F.col("_of_hub")).alias("linked")).distinct()))
+        return differ.drop("_of_hub")
+
+    def sharing_early(self, differ: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of one hub, in different components, that may be linked."""
+        members = self.component(self.component(differ), "hub", "main")
+        several = members.groupBy("hub").agg(
+            F.count(F.lit(1)).alias("members"), F.max(F.col("component") != F.col("main")).alias("_open")).filter("_open")
+        several = cut(several.select("hub", "members"))
+        members = cut(members.join(several, "hub"))
+        elements = members.filter(
+            (F.col("members") > SAMPLE) & (F.pmod(F.xxhash64("class", "hub"), F.lit(1 << 30)) * F.col("members") < SAMPLE * (1 << 30)))
+        often = elements.select("hub", F.explode(F.concat("adds", "lacks")).alias("element")).groupBy("hub", "element").agg(
+            F.count(F.lit(1)).alias("often")).filter("often > 1")
+        most = often.groupBy("hub").agg(
+            F.slice(F.sort_array(F.collect_list(F.struct("often", "element")), asc=False), 1, FREQUENT).alias("_most"))
+        most = most.select("hub", F.col("_most.element").alias("frequent"), F.col("_most.often").alias("often"))
+        given = members.join(most, "hub", "left").select("hub", "class", "component", "main", "n", "adds", "lacks", "frequent", "often")
+        early = cut(given.mapInArrow(_early(self.percent), "hub long, element long, class long, component long, main long, n long, d long, at long"))
+        # The hub's component doesn't meet itself; what lies outside meets it, and the rest once.
+        whole = F.col("x.n") + F.col("y.n")
+        least = F.expr(f"((x.n + y.n) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
+        room = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+        reach = room * 2 >= F.col("x.d") + F.col("y.d") - whole + least * 2
         once = (F.col("y.component") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))
-        apart = (F.col("x.component") != F.col("y.component")) & once & reach
-        return _likely(early.filter("component <> main"), early, self.percent, apart)
+        on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & once & _sized(self.percent)
+        pairs = early.filter("component <> main").alias("x").join(
+            early.alias("y"), on & (F.col("x.component") != F.col("y.component")) & reach)
+        return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
+def _early(percent: int):
+    """The elements of each difference by which a link that its hub doesn't make has to show."""
+
+    def emit(batches):
+        for batch in batches:
+            parts, size = [], 0
+            for row in range(batch.num_rows):
+                hub, node, component, main, n = (batch.column(i)[row].as_py() for i in range(5))
+                adds, lacks = (batch.column(i)[row].values.to_numpy() for i in (5, 6))
+                elements = np.concatenate([adds, lacks])
+                seldom = np.zeros(len(elements), np.int64)
+                if batch.column(7)[row].is_valid:
+                    frequent, often = (batch.column(i)[row].values.to_numpy() for i in (7, 8))
+                    order = np.argsort(frequent)
+                    place = np.minimum(np.searchsorted(frequent[order], elements), len(order) - 1)
+                    seldom = np.where(frequent[order][place] == elements, often[order][place], 0)
+                order = np.lexsort((elements, np.arange(len(elements)) >= len(adds), seldom))
+                # Of d elements at least max(1, d - h) are shared, h the most that two linked sets of such sizes differ by.
+                most = n * (100 - percent) // percent
+                first = elements[order][:len(elements) - max(1, len(elements) - most) + 1]
+                fixed = [np.full(len(first), v, np.int64) for v in (node, component, main, n, len(elements))]
+                parts.append([np.full(len(first), hub, np.int64), first, *fixed, np.arange(len(first))])
+                size += len(first)
+                if size > 100_000 or row == batch.num_rows - 1:
+                    columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["hub", "element", "class", "component", "main", "n", "d", "at"])
+                    parts, size = [], 0
+
+    return emit
 
 
 def _shingler(width: int):
     def explode(batches):
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), width):
-                classes = batch.column(0).slice(first, len(sets)).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(classes, [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))],
-                    names=["class", "shingle"])
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), shingles], names=["class", "shingles"])
 
     return explode
 
 
+def _bits(keys: DataFrame) -> tuple[DataFrame, Column, Column] | None:
+    """A table of bits for (text_key, text_hash), with the word and the bit of a row; None if there are too many keys."""
+    n = keys.count()
+    if n > BIT_TABLE_KEYS:
+        return None
+    word = F.pmod(F.col("text_hash"), F.lit(max(1, n * BITS_PER_KEY // 64)))
+    bit = F.shiftrightunsigned("text_key", 58).cast("int")
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_mask")
+    return keys.groupBy(word.alias("_word")).agg(mask), word, bit
+
+
+def _maybe_in(rows: DataFrame, bits: tuple[DataFrame, Column, Column]) -> DataFrame:
+    """Rows with `_maybe`: false if their key is surely none of the table's."""
+    masks, word, bit = bits
+    hit = F.call_function("shiftrightunsigned", F.coalesce("_mask", F.lit(0).cast("long")), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return rows.withColumn("_word", word).join(F.broadcast(masks), "_word", "left").withColumn("_maybe", hit).drop("_word", "_mask")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows with `text_key`, of id and text, and `text_hash`, by which they are found again."""
+    return docs.withColumns({"text_key": F.xxhash64(F.lit("key"), F.col(id_col), F.col(text_col)), "text_hash": F.xxhash64(F.col(text_col))})
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(class, shingles) for (class, text_key, text_hash), each from one of its documents."""
+    keyed = _keyed(docs, "_id", "_text").drop("_id")
+    bits = _bits(wanted)
+    if bits:
+        keyed = _maybe_in(keyed, bits).filter("_maybe").drop("_maybe")
+    one = keyed.join(wanted, ["text_key", "text_hash"]).dropDuplicates(["text_key", "text_hash"])
+    return cut(one.select("class", "_text").mapInArrow(_shingler(width), "class long, shingles array<long>"))
+
+
 def _likeliest(pairs: DataFrame) -> DataFrame:
     """For each class the pair with the highest estimate."""
     ends = pairs.select(F.col("a").alias("class"), "*").union(pairs.select(F.col("b").alias("class"), "*"))
@@ -234,55 +328,62 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: id, `n_shingles`, `component_id`, `kept`, `text_hash`."""
+    """One row per row of `docs`: id, `n_shingles`, `component_id`, `kept`, `component`, `text_key`, `text_hash`."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema["_id"].dataType
-    fields = [("_id", kind), ("hash", T.LongType()), ("n", T.LongType()), ("_one", T.LongType()), ("_two", T.LongType()),
-              ("bands", T.ArrayType(T.LongType())), *((p, T.LongType()) for p in PLANES)]
+    fields = [("_id", kind), ("text_key", T.LongType()), ("text_hash", T.LongType()), ("n", T.LongType()), ("_one", T.LongType()),
+              ("_two", T.LongType()), ("bands", T.ArrayType(T.LongType())), *((p, T.LongType()) for p in PLANES)]
     schema = T.StructType([T.StructField(*f) for f in fields])
-    signed = docs.select("_id", F.xxhash64("_text").alias("hash"), "_text").mapInArrow(_signer(width, schema.names), schema)
+    signed = _keyed(docs, "_id", "_text").select("_id", "text_key", "text_hash", "_text").mapInArrow(_signer(width, schema.names), schema)
     rows = cut(signed.withColumn("row", F.monotonically_increasing_id()))
     set_key = ["n", "_one", "_two"]
-    first = F.min(F.struct("row", "_id", "hash", "bands", *PLANES)).alias("first")
+    first = F.min(F.struct("row", "text_key", "text_hash", "bands", *PLANES)).alias("first")
     classes = cut(rows.filter("n > 0").groupBy(*set_key).agg(first).select(
-        *set_key, F.col("first.row").alias("class"), F.col("first._id").alias("id"), "first.hash", "first.bands",
+        *set_key, F.col("first.row").alias("class"), "first.text_key", "first.text_hash", "first.bands",
         *(F.col(f"first.{p}") for p in PLANES)))
-    keys = classes.select("class", F.explode("bands").alias("key"))
+    keys = classes.select("class", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = cut(keys.join(shared, "key").join(classes.select("class", "n", *PLANES), "class"))
-    # A share HUBS / m of a bucket, by one hash for all buckets, so that bands agree on their hubs.
-    hub = (F.col("m") <= HUBS) | (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) * F.col("m") < HUBS * (1 << 30))
-    members = members.withColumn("hub", hub).withColumn("paired", F.col("m") <= HUBS)
-    found = _Links(docs, classes.select("class", "id", "hash"), width, percent)
-    once = ~(F.col("y.hub") & (F.col("y.class") < F.col("x.class")))
-    stars = cut(_likely(members.filter("hub"), members, percent, once))
-    found.confirm(_likeliest(stars))
-    # Pairs of small buckets are all looked at; what hubs of large ones leave open is finished below.
-    found.confirm(found.apart(stars.filter("paired")))
-    large = found.component(members.filter(f"m > {HUBS}"))
-    several = large.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
-    still = cut(large.join(several.filter("_least < _most").select("key"), "key", "left_semi").select(
-        "class", "n", "component", *PLANES).dropDuplicates(["class"]))
-    if not still.isEmpty():
-        early = cut(found.sharing_early(still))
-        found.confirm(_likeliest(found.apart(early)))
-        found.confirm(found.apart(early))
+    members = cut(keys.join(shared, "key"))
+    wanted = cut(classes.select("class", "text_key", "text_hash").join(members.select("class"), "class", "left_semi"))
+    found = _Links(_sets(docs, wanted, width), percent)
+    planes = classes.select("class", *PLANES)
+    pairs = cut(_small_pairs(members.filter(f"m <= {SMALL}"), planes, percent))
+    found.confirm(_likeliest(pairs))
+    found.confirm(found.apart(pairs))
+    differ = found.against_hubs(_hubs(members.filter(f"m > {SMALL}"), percent))
+    early = found.apart(found.sharing_early(differ))
+    agree = agreeing("x", "y")
+    near = early.join(planes.alias("x"), F.col("a") == F.col("x.class")).join(planes.alias("y"), F.col("b") == F.col("y.class"))
+    near = cut(near.filter(agree >= least_agreeing(percent)).select("a", "b", similarity(agree).alias("estimate")))
+    found.confirm(_likeliest(near))
+    found.confirm(found.apart(near))
     own = found.component(rows.join(classes.select(*set_key, "class"), set_key, "left"))
     own = own.withColumn("component", F.coalesce("component", "row"))
     names = own.groupBy("component").agg(F.min("_id").alias("component_id"))
     return own.join(names, "component").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("hash").alias("text_hash"), "component",
+        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "text_key", "text_hash",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                          percent: int = 80) -> DataFrame:
-    """The rows of `docs` that stay, one for each component, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, width, percent)
+    """The rows of `docs` that stay, one for each component, with all their columns.
+
+    Rows that surely stay, by a table of bits of the others, pass without a shuffle.
+    """
+    key = ["text_key", "text_hash"]
+    found = cut(near_duplicates(docs, id_col, text_col, width, percent).select(id_col, "component", "kept", *key))
     # Of several rows with a component's id (an id given to different texts) the least hash stays.
-    kept = found.filter("kept").groupBy("component").agg(
-        F.first("component_id").alias("component_id"), F.min("text_hash").alias("_keep_hash"))
-    marked = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"))
-    same = F.col("_id").eqNullSafe(F.col("component_id")) & (F.col("_hash") == F.col("_keep_hash"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_id", "_hash"]).select("_doc.*")
+    staying = found.filter("kept").groupBy("component").agg(F.min(F.struct("text_hash", "text_key")).alias("_stays"))
+    staying = staying.select("_stays.text_key", "_stays.text_hash")
+    alone = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows = 1").join(staying, key, "left_semi")
+    doubtful = cut(found.select(*key).distinct().join(alone, key, "left_anti"))
+    marked = _keyed(docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
+    marked = marked.select("_doc", *key)
+    bits = _bits(doubtful)
+    if bits is None:
+        return marked.join(staying, key, "left_semi").dropDuplicates(key).select("_doc.*")
+    marked = _maybe_in(marked, bits)
+    looked = marked.filter("_maybe").join(staying, key, "left_semi").dropDuplicates(key)
+    return marked.filter("NOT _maybe").select("_doc.*").unionAll(looked.select("_doc.*"))

@@ -3,10 +3,10 @@ import re
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
+from eventloom.llm import near_dedup
 from eventloom.llm.components import components
-from eventloom.llm.near_dedup import HUBS, PLANES, _Links, drop_near_duplicates, near_duplicates
+from eventloom.llm.near_dedup import SMALL, drop_near_duplicates, near_duplicates
 from eventloom.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, hash string, component int, _doc string"
@@ -66,7 +66,7 @@ def test_against_all_pairs(spark, width, percent):
     texts += ["one", "ONE", "two words", "", None, " \t\n", "a b c", "A  b\nc", "é É x y z", texts[0], texts[0].upper()]
     rnd.shuffle(texts)
     rows = list(enumerate(texts))
-    assert len(texts) > 8 * HUBS
+    assert len(texts) > 8 * SMALL
     got = near_duplicates(frame(spark, rows), width=width, percent=percent).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, width, percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -108,12 +108,64 @@ def test_components_of_random_links(spark):
     assert len(got) == len({r.node for r in got})
 
 
-def test_both_sides_read_one_main_component(spark):
-    docs = frame(spark, [(i, f"a b c d e f g h x{i} y") for i in range(4)]).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    classes = docs.select(
-        F.col("_id").alias("class"), F.lit(6).cast("long").alias("n"), F.col("_id").alias("component"), *(F.lit(0).cast("long").alias(p) for p in PLANES))
-    known = docs.select(F.col("_id").alias("class"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"))
-    early = _Links(docs, known, 5, 50).sharing_early(classes)
-    # A side that chose for itself would hold the aggregate; components are tied here.
-    assert "mode(" not in early._jdf.queryExecution().toString()
-    assert {(r.a, r.b) for r in early.collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+def edited(rnd, base, n, least, most):
+    """Copies with words replaced, dropped and put in at random places."""
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rnd.randint(least, most)):
+            at = rnd.randrange(len(words))
+            words[at:at + rnd.randrange(2)] = [f"w{rnd.randrange(10**6)}"] * rnd.randrange(2)
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("seed,width,percent", [(1, 3, 85), (2, 5, 80), (3, 1, 50), (4, 3, 70)])
+def test_groups_around_the_threshold(spark, seed, width, percent, monkeypatch):
+    """Large buckets in which some members link with the hub, some with each other only and most with none."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", 20)
+    rnd = random.Random(seed)
+    base = [f"b{rnd.randrange(10**6)}" for _ in range(80)]
+    texts = edited(rnd, base, 90, 0, 14)
+    for _ in range(6):  # families that share an edit and come near each other
+        texts += edited(rnd, rnd.choice(texts[:90]).split(), 14, 0, 7)
+    texts += edited(rnd, base[:60], 30, 0, 6) + edited(rnd, base + base[:20], 30, 0, 6)
+    rows = list(enumerate(texts))
+    got = near_duplicates(frame(spark, rows), width=width, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, width, percent)
+
+
+def test_many_near_copies_under_the_threshold(spark):
+    """2,000 texts that come near a common one and link with none, and a chain through them."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(2000):
+        words = list(base)
+        for at in rnd.sample(range(10, 150), 9):
+            words[at] = f"w{i}x{at}"
+        texts.append(" ".join(words))
+    chain = texts[17].split()
+    for k in range(12):  # each step moves one word on: neighbours link, the ends don't
+        chain[k * 12 + 3] = f"c{k}"
+        texts.append(" ".join(chain))
+    got = near_duplicates(frame(spark, list(enumerate(texts))), width=3, percent=85)
+    sizes = {}
+    for r in got.collect():
+        sizes.setdefault(r.component_id, set()).add(r.doc_id)
+    large = [ids for ids in sizes.values() if len(ids) > 1]
+    assert {17, *range(2000, 2012)} in large
+    for i in {x for ids in large for x in ids} - {17, *range(2000, 2012)}:
+        raise AssertionError(f"{i} is linked with {sizes}")
+
+
+def test_rows_pass_with_and_without_a_table_of_bits(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = list(enumerate(edited(rnd, base, 30, 0, 3) + [f"own text number {i}" for i in range(40)]))
+    rows += [rows[3], rows[50], (None, "x y z"), (None, "x y z"), (900, None), (900, None)]
+    one = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in drop_near_duplicates(frame(spark, rows)).collect())
+    monkeypatch.setattr(near_dedup, "BIT_TABLE_KEYS", 0)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in drop_near_duplicates(frame(spark, rows)).collect()) == one
+    least = {c for _, _, c in brute([r for r in rows if r[0] is not None], 5, 80)}
+    assert {i for i, _ in one if i >= 0} == least and len(one) == len(least) + 1
