@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import by_bytes
+from .common import by_bytes, cut
 from .dom import Page, read_page
 
 #: Labelled pages that are learned from, those of the least hash.
@@ -215,11 +215,18 @@ def train(labelled: DataFrame | None, html_col: str = "html", text_col: str = "t
     if labelled is None:
         return _model(counts)
     pairs = labelled.select(F.col(html_col).alias("_html"), F.col(text_col).alias("_text")).dropna()
-    sample = pairs.orderBy(F.xxhash64("_html"), F.xxhash64("_text")).limit(sample_pages)
+    sample = least_hashed(pairs, ["_html", "_text"], sample_pages)
     sums = sample.mapInArrow(_tallier, "place int, label int, n long").groupBy("place", "label").agg(F.sum("n").alias("n"))
     return _model(counts, {(row.place, row.label): row.n for row in sums.collect()})
 
 
+def least_hashed(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """Of the rows that differ in some columns the `n` of the least hash; only hashes are sorted for that."""
+    hashed = rows.withColumn("_hash", F.xxhash64(*columns))
+    most = hashed.select("_hash").distinct().orderBy("_hash").limit(n).agg(F.max("_hash").alias("most")).first().most
+    return hashed.filter(F.col("_hash") <= F.lit(most)).dropDuplicates(["_hash"]).drop("_hash")
+
+
 def _model(examples: dict, given: dict | None = None) -> dict:
     """Counts (not content, content) of every place seen; the examples count as much as the given pages."""
     given, seen = given or {}, {}
@@ -333,7 +340,7 @@ def labelled_pages(pages: DataFrame, docs: DataFrame, sample_pages: int = SAMPLE
     The ids of these few pages reach the driver, so that the documents are read by a pushed-down filter.
     """
     found = pages.select("html", shown_document(F.col("url")).alias("_doc")).dropna()
-    sample = found.orderBy(F.xxhash64("html"), "_doc").limit(sample_pages)
+    sample = cut(least_hashed(found, ["html", "_doc"], sample_pages))
     ids = sorted({row._doc for row in sample.select("_doc").collect()})
     texts = docs.filter(F.col("doc_id").isin(ids)).select(F.col("doc_id").alias("_doc"), "text").dropDuplicates(["_doc"])
     return sample.join(texts, "_doc").select("html", "text")
