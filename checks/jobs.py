@@ -497,10 +497,10 @@ def stream_health(spark, sf_dir):
 
     folder = scratch(spark)
     shape(runs(spark, sf_dir), HEALTH).write.parquet(f"{folder}/in")
-    state = tb.KeyedTable(spark, f"{folder}/state", streams.HEALTH_STATE, "key")
+    state = tb.KeyedTable(spark, f"{folder}/state", streams.HEALTH_SUMS, "key")
     stream = streams.landed_stream(spark, f"{folder}/in", ddl(HEALTH))
     streams.stream_health(stream, f"{folder}/log", state, f"{folder}/check").awaitTermination()
-    return state.read().select("source", "city", "avg_events", "total_errors")
+    return streams.health_state(state.read()).select("source", "city", "avg_events", "total_errors")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS url, sha256(text) AS hash FROM documents WHERE doc_id % 4 <> 0")

@@ -170,19 +170,19 @@ def run_city(
         "seq", F.struct("feed_order", "seq")
     )
     rows = staged(card_ops.to_event_rows(extracted, moment), f"{folder}/rows")
-    stored = events.read()
+    stored = events.read(base)
     full = [f.name for f in feeds if f.full_snapshot]
     current = rows.filter(F.col("source").isin(full)).select("source", "city", "id")
-    kept, _ = maintenance.sync_snapshot(stored, current, day)
+    kept, dropped = maintenance.sync_snapshot(stored, current, day)
 
     peers = card_ops.stored_peers(rows, kept)
     peers = staged(peers.filter(F.size(card_ops.failed_rules(peers)) == 0), f"{folder}/peers")
     merged = staged(merge.merge_cards(rows, peers, priorities), f"{folder}/merged")
     pairs = staged(merge.merge_pairs(rows, peers, priorities), f"{folder}/pairs")
 
-    # One new version of the table: what the snapshot sync left, the merged cards, nothing past.
-    known = merged.join(stored.select("id"), "id", "left_semi").count()
+    # One new version of the table: the merged cards, without what the snapshot sync drops and what is past.
     total = merged.count()
+    known = merged.join(stored.select("id"), "id", "left_semi").count()
     parts = run_parts(spark, tally, [o[:4] for o in outcomes])
     done = CityRun(
         parts, reports.run_summary(parts, ["city"]), merged, pairs,
@@ -190,9 +190,10 @@ def run_city(
     )
     if dry_run:
         return done
-    others = kept.join(merged.select("id"), "id", "left_anti")
-    result = merged.select(*EVENT).unionByName(others.select(*EVENT))
-    events.replace(maintenance.purge_past(result, day, city)[0], after=base)
+    current_cards, past_cards = maintenance.purge_past(merged, day, city)
+    gone = dropped.select("id").unionAll(maintenance.purge_past(kept, day, city)[1].select("id"))
+    gone = gone.join(merged.select("id"), "id", "left_anti").unionAll(past_cards.select("id"))
+    events.merge(current_cards, gone, after=base)
     for order, _, _, _, documents in outcomes:
         if documents:
             archive = spark.read.parquet(f"{folder}/archive/feed={order}")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import predicates
-from ..operators import cards as card_ops, merge, reports
+from ..operators import cards as card_ops, merge
 from ..schemas import HEALTH, RAW, ddl
 from ..tables import KeyedTable, RawArchive, finished, latest_documents, upsert_events
 
@@ -49,11 +49,12 @@ def stream_merge(
 ) -> StreamingQuery:
     """Merge each batch of event rows (with `seq`) into the event table.
 
-    Merging a batch twice gives the same cards: its rows meet their own result again.
+    Merging a batch twice gives the same cards: its rows meet their own result again. A batch opens the
+    buckets its ids fall in and writes its own cards.
     """
 
     def merge_batch(batch: DataFrame, _: int) -> None:
-        peers = card_ops.stored_peers(batch, table.read())
+        peers = table.lookup(batch)
         upsert_events(table, merge.merge_cards(batch, peers, priorities))
         table.expire(keep=2)
 
@@ -62,21 +63,69 @@ def stream_merge(
     ).trigger(availableNow=True).start()
 
 
+#: What is kept of a source: sums that take further runs, and the last batch that they hold.
+HEALTH_SUMS = {
+    "key": "string", "source": "string", "city": "string", "last_run": "timestamp", "last_success": "timestamp",
+    "counted": "bigint", "events": "bigint", "judged": "bigint", "clean": "bigint", "total_errors": "bigint",
+    "batch": "bigint",
+}
+
+
+def health_sums(runs: DataFrame) -> DataFrame:
+    """The sums of some runs by source and city."""
+    clean = F.col("errors") == 0
+    return runs.groupBy("source", "city").agg(
+        F.max("run_at").alias("last_run"), F.max(F.when(clean, F.col("run_at"))).alias("last_success"),
+        F.count("events_found").alias("counted"), F.sum("events_found").alias("events"),
+        F.count("errors").alias("judged"), F.count_if(clean).alias("clean"), F.sum("errors").alias("total_errors"),
+    ).withColumn("key", source_key())
+
+
+def source_key() -> Column:
+    """A key of source and city, which may hold any character and be null."""
+    return F.to_json(F.array("source", "city"))
+
+
+def health_state(sums: DataFrame) -> DataFrame:
+    """State of each source from its sums, as `reports.health_agg` gives it from the whole log."""
+    return sums.select(
+        "source", "city", "last_run", "last_success",
+        F.round(F.col("events") / F.nullif("counted", F.lit(0)), 2).alias("avg_events"),
+        F.round(F.col("clean") / F.nullif("judged", F.lit(0)), 3).alias("success_rate"), "total_errors",
+    )
+
+
+def add_runs(state: KeyedTable, runs: DataFrame, batch_id: int) -> None:
+    """Add a batch of runs to the sums of its sources.
+
+    A source that holds the batch already stays as it is. All sources of a batch are written as one
+    version, so a batch that comes again finds either none of them added or all.
+    """
+    given = health_sums(runs).withColumn("batch", F.lit(batch_id).cast("bigint"))
+    stored = state.lookup(given).select("key", F.struct(*[c for c in HEALTH_SUMS if c != "key"]).alias("_old"))
+    old = lambda name: F.col(f"_old.{name}")
+    plus = lambda name: F.when(
+        F.col(name).isNull() & old(name).isNull(), F.lit(None)).otherwise(F.coalesce(name, F.lit(0)) + F.coalesce(old(name), F.lit(0)))
+    joined = given.join(stored, "key", "left").filter(old("batch").isNull() | (old("batch") < batch_id))
+    added = joined.select(
+        "key", "source", "city",
+        *[F.greatest(name, old(name)).alias(name) for name in ("last_run", "last_success")],
+        *[plus(name).alias(name) for name in ("counted", "events", "judged", "clean", "total_errors")], "batch",
+    )
+    state.upsert(added)
+
+
 def stream_health(runs: DataFrame, log_path: str, state: KeyedTable, checkpoint: str) -> StreamingQuery:
-    """Append run rows to the log and recompute the state of the sources they touch.
+    """Append run rows to the log and add them to the sums of their sources.
 
-    `state` is keyed by `key`, source and city joined.
+    `state` has the layout HEALTH_SUMS, keyed by `key`; `health_state` reads it. A batch meets the sums of
+    its own sources only, never the log.
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
         folder = f"{log_path}/batch={batch_id}"
         batch.select(*HEALTH).write.mode("overwrite").parquet(folder)
-        spark = batch.sparkSession
-        touched = spark.read.schema(ddl(HEALTH)).parquet(folder).select("source", "city").distinct()
-        log = spark.read.schema(ddl(HEALTH)).parquet(log_path)
-        again = log.join(touched, ["source", "city"], "left_semi")
-        key = F.concat_ws("|", "source", "city")
-        state.upsert(reports.health_agg(again).withColumn("key", key))
+        add_runs(state, batch.sparkSession.read.schema(ddl(HEALTH)).parquet(folder), batch_id)
         state.expire(keep=2)
 
     return runs.writeStream.foreachBatch(record).option(
@@ -84,13 +133,6 @@ def stream_health(runs: DataFrame, log_path: str, state: KeyedTable, checkpoint:
     ).trigger(availableNow=True).start()
 
 
-HEALTH_STATE = {
-    "key": "string", "source": "string", "city": "string", "last_run": "timestamp",
-    "last_success": "timestamp", "avg_events": "double", "success_rate": "double",
-    "total_errors": "bigint",
-}
-
-
 def stream_changed_docs(
     docs: DataFrame, archive: RawArchive, out_path: str, checkpoint: str
 ) -> StreamingQuery:

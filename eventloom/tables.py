@@ -1,142 +1,27 @@
 """Tables on a shared file system.
 
-Spark's file tables have no MERGE, so a keyed table is kept as numbered versions: a write
-makes the next version and readers take the last one whose write finished. A lost executor
-or a failed job therefore never leaves a half-written table. The raw archive is larger
-than all else, so it is only ever appended to, by fetch day, and old days are dropped whole.
+Keyed tables are merged on read (`keyed.py`). The raw archive is larger than all else, so it is only
+ever appended to, by fetch day, and old days are dropped whole; a keyed table beside it holds the last
+hash of every url, so that a check opens the buckets of its urls and never the archive.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .keyed import CityTables, KeyedTable, WriteCounts, children
 from .operators.cards import failed_rules, manual_guard
 from .operators.ranking import drop_repeats
 from .schemas import EVENT, HEALTH, RAW, VENUE, ddl, shape
 from .session import cut_lineage
 
 
-def _children(spark: SparkSession, path: str) -> list:
-    """(file system, statuses) of a folder, through Hadoop so that any file system works."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, (list(fs.listStatus(folder)) if fs.exists(folder) else [])
-
-
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a write to a folder was completed."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-@dataclass
-class WriteCounts:
-    inserted: int = 0
-    updated: int = 0
-
-
-class KeyedTable:
-    """A table with one row per key."""
-
-    def __init__(self, spark: SparkSession, path: str, layout: dict[str, str], key: str = "id",
-                 partition_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.layout, self.key = spark, path, layout, key
-        self.partition_by = partition_by
-
-    def _versions(self, complete_only: bool = True) -> list[int]:
-        _, statuses = _children(self.spark, self.path)
-        names = [s.getPath().getName() for s in statuses]
-        return sorted(
-            int(name[2:])
-            for name in names
-            if name.startswith("v=")
-            and (not complete_only or finished(self.spark, f"{self.path}/{name}"))
-        )
-
-    def current(self) -> str | None:
-        """Folder of the last complete version."""
-        versions = self._versions()
-        return f"{self.path}/v={versions[-1]:08d}" if versions else None
-
-    def read(self) -> DataFrame:
-        folder = self.current()
-        if folder is None:
-            return self.spark.createDataFrame([], ddl(self.layout))
-        return shape(self.spark.read.schema(ddl(self.layout)).parquet(folder), self.layout)
-
-    def version(self) -> int:
-        """The last complete version, 0 if there is none."""
-        return max(self._versions(), default=0)
-
-    def replace(self, rows: DataFrame, after: int | None = None) -> None:
-        """Write the next version. Rows may be read from the current one.
-
-        With `after`, the version the rows were made from, it fails if another writer has been
-        there since.
-        """
-        if after is not None and self.version() != after:
-            raise RuntimeError(f"{self.path} was written by another job since version {after}")
-        number = max(self._versions(complete_only=False), default=0) + 1
-        writer = shape(rows, self.layout).write.mode("errorifexists")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.path}/v={number:08d}")
-
-    def upsert(self, rows: DataFrame, insert_only: bool = False) -> WriteCounts:
-        """Insert rows, replacing those of the same key, or only those of new keys.
-
-        Of several rows of one key the greatest by their values counts. One full outer join
-        reads rows and table once each, and the counts come from the write itself.
-        """
-        values = [name for name in self.layout if name != self.key]
-        base = self.version()
-        stored = self.read().select(self.key, F.struct(*values).alias("stored"))
-        given = shape(rows, self.layout).groupBy(self.key).agg(F.max(F.struct(*values)).alias("given"))
-        known, new = F.col("stored").isNotNull(), F.col("given").isNotNull()
-        seen = Observation()
-        joined = stored.join(given, self.key, "full_outer").observe(
-            seen, F.count_if(~known).alias("inserted"), F.count_if(known & new).alias("updated")
-        )
-        taken = new & ~known if insert_only else new
-        row = F.when(taken, F.col("given")).otherwise(F.col("stored")).alias("row")
-        self.replace(joined.select(self.key, row).select(self.key, "row.*"), after=base)
-        counts = seen.get
-        return WriteCounts(counts["inserted"], 0 if insert_only else counts["updated"])
-
-    def expire(self, keep: int = 2) -> None:
-        """Delete all but the last complete versions."""
-        complete = self._versions()
-        for number in complete[:-keep]:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={number:08d}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-class CityTables:
-    """A keyed table of its own for every city.
-
-    A run rewrites the rows of its city only, and the runs of several cities can go on at
-    the same time, each with its own versions.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, layout: dict[str, str], key: str = "id"):
-        self.spark, self.path, self.layout, self.key = spark, path, layout, key
-
-    def of(self, city: str) -> KeyedTable:
-        return KeyedTable(self.spark, f"{self.path}/city={city}", self.layout, self.key)
-
-    def read(self) -> DataFrame:
-        """The rows of all cities."""
-        _, statuses = _children(self.spark, self.path)
-        names = [s.getPath().getName() for s in statuses]
-        folders = [self.of(n[5:]).current() for n in sorted(names) if n.startswith("city=")]
-        folders = [f for f in folders if f]
-        if not folders:
-            return self.spark.createDataFrame([], ddl(self.layout))
-        return shape(self.spark.read.schema(ddl(self.layout)).parquet(*folders), self.layout)
-
-
 def upsert_events(table: KeyedTable, rows: DataFrame) -> WriteCounts:
     return table.upsert(shape(rows, EVENT))
 
@@ -145,57 +30,89 @@ def upsert_venues(table: KeyedTable, venues: DataFrame, insert_only: bool = Fals
     """Venue rows except those entered by hand, the first row of each id."""
     if "seq" in venues.columns:
         venues = drop_repeats(venues, ["id"], "seq")
-    return table.upsert(shape(manual_guard(venues, table.read()), VENUE), insert_only)
+    return table.upsert(shape(manual_guard(venues, table.lookup(venues)), VENUE), insert_only)
 
 
 def fetch_by_ids(table: KeyedTable, ids: DataFrame) -> DataFrame:
     """Stored rows under the given ids that still pass as events."""
-    rows = table.read().join(ids.select("id").distinct(), "id", "left_semi")
+    rows = table.lookup(ids)
     return rows.filter(F.size(failed_rules(rows)) == 0)
 
 
+#: What is known of a url without its documents: when it was last stored, and the hash of that.
+LAST_HASH = {"url": "string", "fetched_at": "timestamp", "hash": "string"}
+
+
 class RawArchive:
     """Raw documents, appended by fetch day; the newest row of a url is the stored one.
 
     Every writer (a city's run, a stream) has a folder of its own, since two file writes
-    into one folder at the same time remove each other's temporary files. Readers see all.
+    into one folder at the same time remove each other's temporary files, and an index of its own
+    of last hashes. Readers see all. An index follows its log: a writer that stops between the two
+    leaves urls that count as changed once more, and `rebuild_index` makes up for it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _log(self) -> DataFrame:
+    def _log(self, writer: str | None = None) -> DataFrame:
         if not self._days():
             return self.spark.createDataFrame([], ddl(RAW))
         layout = f"{ddl(RAW)}, writer string, fetch_day date"
-        return self.spark.read.schema(layout).parquet(self.path).drop("writer", "fetch_day")
+        rows = self.spark.read.schema(layout).parquet(self.path)
+        if writer is not None:
+            rows = rows.filter(F.col("writer") == writer)
+        return rows.drop("writer", "fetch_day")
+
+    def _writers(self) -> list[str]:
+        _, statuses = children(self.spark, self.path)
+        names = [s.getPath().getName() for s in statuses]
+        return sorted(name[7:] for name in names if name.startswith("writer="))
 
     def _days(self) -> list:
         """Folders of all days of all writers."""
-        _, writers = _children(self.spark, self.path)
-        names = [w.getPath().getName() for w in writers]
         found = []
-        for name in names:
-            if name.startswith("writer="):
-                _, days = _children(self.spark, f"{self.path}/{name}")
-                found += [d.getPath() for d in days if d.getPath().getName().startswith("fetch_day=")]
+        for writer in self._writers():
+            _, days = children(self.spark, f"{self.path}/writer={writer}")
+            found += [d.getPath() for d in days if d.getPath().getName().startswith("fetch_day=")]
         return found
 
+    def index(self, writer: str) -> KeyedTable:
+        """The last hashes of what a writer stored. It lies beside the log, where readers of the log don't look."""
+        return KeyedTable(self.spark, f"{self.path}/_index/{writer}", LAST_HASH, "url")
+
     def append(self, docs: DataFrame, fetched_at: Column, writer: str = "shared") -> None:
         rows = archive_rows(docs, fetched_at).withColumn("fetch_day", F.to_date("fetched_at"))
         rows.write.mode("append").partitionBy("fetch_day").parquet(f"{self.path}/writer={writer}")
+        self._note(rows, writer)
+
+    def _note(self, rows: DataFrame, writer: str) -> None:
+        """Put the newest of some rows into a writer's index where nothing newer is known."""
+        index = self.index(writer)
+        given = rows.select(*LAST_HASH)
+        known = index.lookup(given)
+        newest = given.unionByName(known).groupBy("url").agg(F.max(F.struct("fetched_at", "hash")).alias("_n"))
+        index.upsert(newest.select("url", "_n.fetched_at", "_n.hash"))
+        index.expire(keep=3)
+
+    def rebuild_index(self) -> None:
+        """Make the indexes anew from the log."""
+        for writer in self._writers():
+            log = self._log(writer).groupBy("url").agg(F.max(F.struct("fetched_at", "hash")).alias("_n"))
+            self.index(writer).replace(log.select("url", "_n.fetched_at", "_n.hash"))
 
     def hashes(self, urls: DataFrame | None = None) -> DataFrame:
         """(url, hash) as last stored, of all urls or of the given ones.
 
-        Only the small columns are read and moved, contents never.
+        Read from the indexes, of which only the buckets of the urls are opened.
         """
-        log = self._log()
-        if urls is not None:
-            log = log.join(urls.select("url").distinct(), "url", "left_semi")
-        return log.groupBy("url").agg(
-            F.max_by("hash", F.struct("fetched_at", "hash")).alias("hash")
-        )
+        rows = self.spark.createDataFrame([], ddl(LAST_HASH))
+        for writer in self._writers():
+            index = self.index(writer)
+            if not index.version():
+                self.rebuild_index()  # a log from before there were indexes
+            rows = rows.unionAll(index.read() if urls is None else index.lookup(urls))
+        return rows.groupBy("url").agg(F.max_by("hash", F.struct("fetched_at", "hash")).alias("hash"))
 
     def latest(self, urls: DataFrame | None = None) -> DataFrame:
         """Stored documents, of all urls or of the given ones (then other contents never move)."""
@@ -205,14 +122,23 @@ class RawArchive:
         return latest_documents(log)
 
     def purge(self, as_of, keep_days: int = 120) -> list[str]:
-        """Drop whole days that ended `keep_days` before `as_of` (a date); returns their names."""
-        dropped = set()
-        for folder in self._days():
-            day = folder.getName().split("=", 1)[1]
-            if (as_of - as_of.fromisoformat(day)).days > keep_days:
-                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-                dropped.add(day)
-        return sorted(dropped)
+        """Drop whole days that ended `keep_days` before `as_of` (a date); returns their names.
+
+        Urls that were last stored on such a day leave the indexes first.
+        """
+        due = [f for f in self._days() if (as_of - as_of.fromisoformat(f.getName().split("=", 1)[1])).days > keep_days]
+        dropped = sorted({f.getName().split("=", 1)[1] for f in due})
+        if not dropped:
+            return []
+        for writer in self._writers():
+            index = self.index(writer)
+            version = index.version()
+            old = index.read(version).filter(F.to_date("fetched_at").cast("string").isin(dropped))
+            if version:
+                index.merge(index.read(version).limit(0), old, version)
+        for folder in due:
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return dropped
 
 
 def archive_rows(docs: DataFrame, fetched_at: Column, content_type: str = "html") -> DataFrame:
@@ -265,7 +191,7 @@ def snapshot_upsert(
     spark: SparkSession, path: str, rows: DataFrame, keys: list[str], checkpoint_dir: str | None = None
 ) -> None:
     """Replace the rows of some keys of some days; only those days of those cities are written."""
-    _, statuses = _children(spark, path)
+    _, statuses = children(spark, path)
     if any(s.getPath().getName().startswith("city=") for s in statuses):
         stored = spark.read.schema(rows.schema).parquet(path)
         # The result is cut from its lineage: it is read from the partitions it replaces.
