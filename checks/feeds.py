@@ -528,6 +528,44 @@ def clean_html(spark, sf_dir):
     return html_feeds.clean_html(pages, "html")
 
 
+@query(r"""
+WITH parts AS (
+  SELECT page_id, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1,
+    regexp_extract(html, '(?s)</h1>(.*)</article>', 1) AS body FROM pages),
+split AS (SELECT page_id, string_split(body, '<p>') AS p FROM parts),
+lines AS (
+  SELECT page_id, i, replace(p[i], '</p>', '') AS t FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM split)),
+texts AS (SELECT page_id, 0 AS i, false AS bold, '# ' AS mark, h1 AS t FROM parts UNION ALL SELECT page_id, -1, false, '', ad FROM parts
+  UNION ALL SELECT page_id, i, starts_with(t, '<b>'), '', replace(replace(t, '<b>', ''), '<br>', '') FROM lines),
+plain AS (
+  SELECT page_id, i, bold, mark, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+    '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '*', '\*'), '_', '\_'), '\s+', ' ', 'g')) AS t FROM texts)
+SELECT page_id, string_agg(mark || CASE WHEN bold THEN '**' || t || '**' ELSE t END, chr(10) || chr(10) ORDER BY i) AS html
+FROM plain WHERE t <> '' GROUP BY page_id
+""")
+def clean_html_markdown(spark, sf_dir):
+    """The pages as Markdown: the advert, the title, paragraphs; unclosed bold text ends with its paragraph."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html_feeds.clean_markdown(pages, "html")
+
+
+@query(r"""
+SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || 'Costs **' || p_size || '** at [' || p_brand || '](/b?x=1 "Brand").' || chr(10) || chr(10)
+  || '* one' || chr(10) || '* two' || chr(10) || '  1. in' || chr(10) || '  2. side' || chr(10) || chr(10)
+  || '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_type || ' | ' || p_size || ' |' || chr(10) || chr(10)
+  || '> Said *so*.' || chr(10) || chr(10) || '## End' AS content FROM part
+""")
+def clean_markdown_structure(spark, sf_dir):
+    """Headings, marks, links, nested lists, tables and quotes; navigation and images are gone."""
+    page = F.expr(
+        "concat('<html><head><title>x</title></head><body><nav><a href=\"/\">Home</a></nav><h1>', p_name, '</h1>\\n<p>Costs <b>', p_size, "
+        "'</b> at <a href=\"/b?x=1\" title=\"Brand\" class=\"c\">', p_brand, '</a>.<img src=\"i.png\" alt=\"no\"></p><ul><li>one<li>two<ol><li>in</li>"
+        "<li>side</ol></ul><table><tr><th>name</th><th>size</th></tr><tr><td>', p_type, '</td><td>', p_size, '</td></tr></table>"
+        "<blockquote><p>Said <em>so</em>.</blockquote><script>x < 1</script><h2>End</h2><footer>f</footer></body></html>')"
+    )
+    return html_feeds.clean_markdown(table(spark, sf_dir, "part").select("p_partkey", page.alias("content")), "content")
+
+
 @query("""
 SELECT page_id, '<body><p>' || page_id || '</p>' || CASE WHEN page_id % 2 = 0 THEN '<p>left' ELSE '' END || '</body>' AS html FROM pages
 """)

@@ -7,7 +7,9 @@ on other columns belong before these calls, since Spark does not move them insid
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import vocab
 from ..functions import dates, predicates
@@ -16,7 +18,10 @@ from ..functions.urls import url_join
 from ..operators.ranking import drop_repeats, last_n
 from ..schemas import arrival, card_columns
 from . import htmltree
+from .markdown import to_markdown
 
+#: Characters of pages that are converted before they are passed on.
+BATCH_CHARS = 4_000_000
 KEPT = ["source", "city", "url", "page"]
 
 
@@ -219,7 +224,39 @@ def clean_html(
     end = F.length("_text") - F.locate(">ydob/<", F.lower(F.reverse("_text"))) + 1
     whole = F.when(F.lower("_text").contains("</body>"), F.expr("substring(_text, 1, _end)")).otherwise(F.col("_text"))
     cleaned = cleaned.withColumn("_end", end).withColumn("_text", whole)
-    if max_chars is not None:
-        marked = F.concat(F.substring("_text", 1, max_chars), F.lit(vocab.HTML_TRUNCATED))
-        cleaned = cleaned.withColumn("_text", F.when(F.length("_text") > max_chars, marked).otherwise(F.col("_text")))
-    return cleaned.withColumn(column, F.col("_text")).select(*pages.columns)
+    return cleaned.withColumn(column, shortened(F.col("_text"), max_chars, vocab.HTML_TRUNCATED)).select(*pages.columns)
+
+
+def shortened(text: Column, max_chars: int | None, mark: str) -> Column:
+    """Text cut after some characters and marked as cut; None cuts nothing."""
+    if max_chars is None:
+        return text
+    return F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit(mark))).otherwise(text)
+
+
+def clean_markdown(
+    pages: DataFrame, column: str, dropped: list[str] = vocab.MARKDOWN_DROPPED_TAGS, max_chars: int | None = None
+) -> DataFrame:
+    """Replace page source by Markdown of its body without some elements and images; a null page is empty.
+
+    Elements are dropped in the JVM; what is left goes through Python in Arrow batches, cut into runs of
+    `BATCH_CHARS`, so that memory follows the longest page.
+    """
+    place = pages.columns.index(column)
+
+    def convert(batches):
+        for batch in batches:
+            sizes = pc.utf8_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+            first = 0
+            while first < batch.num_rows:
+                most = (sizes[first - 1] if first else 0) + BATCH_CHARS
+                last = max(first + 1, int(sizes.searchsorted(most, "right")))
+                part = batch.slice(first, last - first)
+                made = pa.array([to_markdown(html) for html in part.column(place).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [made if i == place else part.column(i) for i in range(part.num_columns)], names=part.schema.names)
+                first = last
+
+    cleaned = clean_html(pages, column, dropped).withColumn(column, F.coalesce(column, F.lit("")))
+    made = cleaned.mapInArrow(convert, T.StructType([T.StructField(f.name, f.dataType) for f in cleaned.schema]))
+    return made.withColumn(column, shortened(F.col(column), max_chars, vocab.MARKDOWN_TRUNCATED))

@@ -236,3 +236,5 @@ MAP_SEARCH = "https://2gis.ru/search/"
 POST_MARKER = "=== POST %s ===\n"
 HTML_DROPPED_TAGS = ["script", "style", "noscript", "svg", "iframe", "head"]
 HTML_TRUNCATED = "\n<!-- truncated -->"
+MARKDOWN_DROPPED_TAGS = [*HTML_DROPPED_TAGS, "header", "footer", "nav", "aside"]
+MARKDOWN_TRUNCATED = "\n\n<!-- truncated -->"
