@@ -203,6 +203,20 @@ def budgeted_domains(spark, sf_dir):
     return discovery.budgeted_domains(best, "changed", "structured", 7).select("domain", "reading")
 
 
+@query(f"""
+WITH {_STORED}, t AS (SELECT *, c_custkey % 5 <> 0 AS changed, c_custkey % 4 = 0 AS structured,
+  sum(CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 4 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY city ORDER BY score DESC, domain) AS turn
+  FROM stored WHERE status = 'approved')
+SELECT domain, CASE WHEN NOT changed THEN 'unchanged' WHEN structured THEN 'structured' WHEN turn <= 7 THEN 'model' ELSE 'over_budget' END AS reading FROM t
+""")
+def budgeted_domains_all(spark, sf_dir):
+    """A model budget without a limit of domains: it goes to the best scores of a city."""
+    approved = discovery.approved_domains(_stored(spark, sf_dir)).withColumns({
+        "changed": c("c_custkey") % 5 != 0, "structured": c("c_custkey") % 4 == 0,
+    })
+    return discovery.budgeted_domains(approved, "changed", "structured", 7).select("domain", "reading")
+
+
 @query(f"""
 WITH probes AS (
   SELECT c_custkey, arg_min(p, p) AS p FROM (SELECT c_custkey, unnest(range(6)) AS p FROM customer)

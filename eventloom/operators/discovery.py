@@ -231,28 +231,32 @@ def approved_domains(candidates: DataFrame, limit: int | None = None, by: str =
     return approved.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
+#: Stands for a score that is missing, in the order of scores.
+_NO_SCORE = -(1 << 62)
+
+
 def budgeted_domains(
     domains: DataFrame, changed: str, structured: str, model_budget: int | None = None, by: str = "city"
 ) -> DataFrame:
     """Which domains are read, and which of them may use the model.
 
-    Unchanged domains are skipped; those without structured data share the model budget in
-    rank order, if there is one.
+    Unchanged domains are skipped; those without structured data share the model budget by score and
+    domain, the best first, if there is one. The last domain that the budget reaches is found by a ranked
+    limit, which Spark also applies before the shuffle, and the others are compared with it: no city is
+    sorted as a whole.
     """
+    kind = F.when(~F.col(changed), "unchanged").when(F.col(structured), "structured")
     if model_budget is None:
-        kind = F.when(~F.col(changed), "unchanged").when(F.col(structured), "structured")
         return domains.withColumn("reading", kind.otherwise("model"))
-    needs = F.col(changed) & ~F.col(structured)
-    turn = F.sum(needs.cast("int")).over(
-        Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    reading = (
-        F.when(~F.col(changed), "unchanged")
-        .when(F.col(structured), "structured")
-        .when(turn <= model_budget, "model")
-        .otherwise("over_budget")
-    )
-    return domains.withColumn("reading", reading)
+    needs = domains.filter(F.col(changed) & ~F.col(structured)).select(by, "score", "domain")
+    served = first_n(needs, [by], [F.desc("score"), F.col("domain")], model_budget)
+    # The score is turned round so that the last one served is the greatest pair.
+    rank = F.struct((-F.coalesce("score", F.lit(_NO_SCORE))).alias("score"), F.col("domain"))
+    last = served.groupBy(by).agg(F.max(rank).alias("_last"))
+    domains = domains.withColumn("_city", F.col(by)).join(
+        last.withColumnRenamed(by, "_by"), F.col("_city").eqNullSafe(F.col("_by")), "left")
+    reading = kind.when(rank <= F.col("_last"), "model").otherwise("over_budget")
+    return domains.withColumn("reading", reading).drop("_city", "_by", "_last")
 
 
 def pick_listing_url(candidates: DataFrame, probes: DataFrame, now: Column) -> DataFrame:
