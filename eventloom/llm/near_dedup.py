@@ -44,8 +44,9 @@ PLANES = [f"s{i}" for i in range(BITS * MINIMA // 64)]
 #: Members of a bucket that are paired in full.
 SMALL = 8
 DEVIATIONS = 6
-#: Members of a hub from which on the frequent elements of differences are looked for, among as many members.
-SAMPLE = 64
+#: Members of a hub from which on the frequent elements of differences are looked for, among as many members
+#: and the elements of least hash of each.
+SAMPLE, SAMPLE_ELEMENTS = 64, 1024
 #: Frequent elements that are kept for a hub; all others count as rare, which costs time only.
 FREQUENT = 256
 #: Keys for which a table of bits, `BITS_PER_KEY` for each, is broadcast; with more keys all rows are joined.
@@ -111,11 +112,10 @@ def agreeing(left: str, right: str) -> Column:
     return out
 
 
-def least_agreeing(percent: int) -> int:
-    """Agreeing minima below which a pair of at least `percent` similarity is ruled out."""
-    chance, similar = 2.0**-BITS, percent / 100
-    least = max(0.0, similar - DEVIATIONS * math.sqrt(similar * (1 - similar) / MINIMA))
-    return math.floor(MINIMA * (chance + (1 - chance) * least))
+def least_similarity(percent: int) -> float:
+    """The estimate below which a pair of at least `percent` similarity is ruled out."""
+    similar = percent / 100
+    return max(0.0, similar - DEVIATIONS * math.sqrt(similar * (1 - similar) / MINIMA))
 
 
 def similarity(agree: Column) -> Column:
@@ -129,12 +129,12 @@ def _sized(percent: int) -> Column:
 
 
 def _small_pairs(members: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, estimate) of small buckets that may reach the threshold."""
+    """Pairs (a, b) of small buckets that may reach the threshold."""
     members = cut(members.join(planes, "class"))
-    agree = agreeing("x", "y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & _sized(percent) & (agree >= least_agreeing(percent))
+    near = similarity(agreeing("x", "y")) >= least_similarity(percent)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & _sized(percent) & near
     pairs = members.alias("x").join(members.alias("y"), on)
-    return pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.max(similarity(agree)).alias("estimate"))
+    return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def _hubs(members: DataFrame, percent: int) -> DataFrame:
@@ -152,11 +152,11 @@ def _hubs(members: DataFrame, percent: int) -> DataFrame:
 
 
 class _Links:
-    """Sets of classes, the pairs already looked at, and the components that confirmed links make."""
+    """Sets of classes, and the components that confirmed links make."""
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        self.done = self.labels = None
+        self.labels = None
 
     def component(self, df: DataFrame, node: str = "class", name: str = "component") -> DataFrame:
         """`df` with the component of a class; a class without links is one by itself."""
@@ -165,13 +165,6 @@ class _Links:
         label = self.labels.select(F.col("node").alias(node), F.col("component").alias(name))
         return df.join(label, node, "left").withColumn(name, F.coalesce(name, node))
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs not looked at yet whose ends lie in different components."""
-        if self.done is None:
-            return pairs
-        pairs = pairs.join(self.done, ["a", "b"], "left_anti")
-        return self.component(self.component(pairs, "a", "_a"), "b", "_b").filter("_a <> _b").drop("_a", "_b")
-
     def both(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """Pairs with the full sets of their ends, `_a` and `_b`."""
         sets = self.sets
@@ -181,18 +174,14 @@ class _Links:
     def similar(self, common: Column, first: Column, second: Column) -> Column:
         return common * (100 + self.percent) >= (first + second) * self.percent
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Compare the full sets of pairs and join what they link."""
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough."""
         common = F.size(F.array_intersect("_a", "_b"))
-        looked = cut(self.both(pairs.select("a", "b"), "a", "b").select(
-            "a", "b", self.similar(common, F.size("_a"), F.size("_b")).alias("linked")))
-        self.add(looked)
-
-    def add(self, looked: DataFrame) -> None:
-        """Note pairs (a, b, linked) as looked at and join what is linked."""
-        seen = looked.select("a", "b")
-        self.done = seen if self.done is None else self.done.union(seen)
-        links = looked.filter("linked").select("a", "b")
+        return self.both(pairs.select("a", "b"), "a", "b").filter(self.similar(common, F.size("_a"), F.size("_b"))).select("a", "b")
+
+    def add(self, links: DataFrame) -> None:
+        """Join what is linked."""
+        links = cut(links)
         if links.isEmpty():
             return
         if self.labels is None:
@@ -205,16 +194,13 @@ class _Links:
         fresh = merged.join(self.labels, F.col("node") == merged["component"], "left_anti").toDF("node", "component")
         self.labels = cut(before.union(fresh))
 
-    def against_hubs(self, hubs: DataFrame) -> DataFrame:
-        """(class, hub, n, adds, lacks) for (class, hub), and the links of classes with their hubs."""
+    def against_hubs(self, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(class, hub, n, adds, lacks) for (class, hub), and the links (a, b) of classes with their hubs."""
         differ = cut(self.both(hubs, "class", "hub").select(
             "class", "hub", F.size("_a").cast("long").alias("n"), F.size("_b").alias("_of_hub"),
             F.array_except("_a", "_b").alias("adds"), F.array_except("_b", "_a").alias("lacks")))
-        common = F.col("n") - F.size("adds")
-        self.add(cut(differ.select(
-            F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"),
-            self.similar(common, F.col("n"), F.col("_of_hub")).alias("linked")).distinct()))
-        return differ.drop("_of_hub")
+        linked = differ.filter(self.similar(F.col("n") - F.size("adds"), F.col("n"), F.col("_of_hub")))
+        return differ.drop("_of_hub"), linked.select(F.col("class").alias("a"), F.col("hub").alias("b"))
 
     def sharing_early(self, differ: DataFrame) -> DataFrame:
         """Pairs (a, b) of members of one hub, in different components, that may be linked."""
@@ -225,11 +211,9 @@ class _Links:
         members = cut(members.join(several, "hub"))
         elements = members.filter(
             (F.col("members") > SAMPLE) & (F.pmod(F.xxhash64("class", "hub"), F.lit(1 << 30)) * F.col("members") < SAMPLE * (1 << 30)))
-        often = elements.select("hub", F.explode(F.concat("adds", "lacks")).alias("element")).groupBy("hub", "element").agg(
-            F.count(F.lit(1)).alias("often")).filter("often > 1")
-        most = often.groupBy("hub").agg(
-            F.slice(F.sort_array(F.collect_list(F.struct("often", "element")), asc=False), 1, FREQUENT).alias("_most"))
-        most = most.select("hub", F.col("_most.element").alias("frequent"), F.col("_most.often").alias("often"))
+        some = F.slice(F.array_sort(F.concat("adds", "lacks")), 1, SAMPLE_ELEMENTS)
+        most = elements.groupBy("hub").agg(F.flatten(F.collect_list(some)).alias("elements")).mapInArrow(
+            _frequent, "hub long, frequent array<long>, often array<long>")
         given = members.join(most, "hub", "left").select("hub", "class", "component", "main", "n", "adds", "lacks", "frequent", "often")
         early = cut(given.mapInArrow(_early(self.percent), "hub long, element long, class long, component long, main long, n long, d long, at long"))
         # The hub's component doesn't meet itself; what lies outside meets it, and the rest once.
@@ -244,6 +228,18 @@ class _Links:
         return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
+def _frequent(batches):
+    """The most frequent elements of each hub's sample, in ascending order, and how often they come up."""
+    for batch in batches:
+        hubs, found = batch.column(0), []
+        for row in range(batch.num_rows):
+            elements, often = np.unique(batch.column(1)[row].values.to_numpy(), return_counts=True)
+            first = np.sort(np.argsort(-often, kind="stable")[:min(FREQUENT, int((often > 1).sum()))])
+            found.append((elements[first], often[first]))
+        yield pa.RecordBatch.from_arrays(
+            [hubs, *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in range(2))], names=["hub", "frequent", "often"])
+
+
 def _early(percent: int):
     """The elements of each difference by which a link that its hub doesn't make has to show."""
 
@@ -255,11 +251,10 @@ def _early(percent: int):
                 adds, lacks = (batch.column(i)[row].values.to_numpy() for i in (5, 6))
                 elements = np.concatenate([adds, lacks])
                 seldom = np.zeros(len(elements), np.int64)
-                if batch.column(7)[row].is_valid:
+                if batch.column(7)[row].is_valid and len(batch.column(7)[row]):
                     frequent, often = (batch.column(i)[row].values.to_numpy() for i in (7, 8))
-                    order = np.argsort(frequent)
-                    place = np.minimum(np.searchsorted(frequent[order], elements), len(order) - 1)
-                    seldom = np.where(frequent[order][place] == elements, often[order][place], 0)
+                    place = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
+                    seldom = np.where(frequent[place] == elements, often[place], 0)
                 order = np.lexsort((elements, np.arange(len(elements)) >= len(adds), seldom))
                 # Of d elements at least max(1, d - h) are shared, h the most that two linked sets of such sizes differ by.
                 most = n * (100 - percent) // percent
@@ -319,13 +314,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return cut(one.select("class", "_text").mapInArrow(_shingler(width), "class long, shingles array<long>"))
 
 
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """For each class the pair with the highest estimate."""
-    ends = pairs.select(F.col("a").alias("class"), "*").union(pairs.select(F.col("b").alias("class"), "*"))
-    best = ends.groupBy("class").agg(F.max(F.struct("estimate", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("best"))
-    return best.select((-F.col("best.a")).alias("a"), (-F.col("best.b")).alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per row of `docs`: id, `n_shingles`, `component_id`, `kept`, `component`, `text_key`, `text_hash`."""
@@ -347,16 +335,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = cut(classes.select("class", "text_key", "text_hash").join(members.select("class"), "class", "left_semi"))
     found = _Links(_sets(docs, wanted, width), percent)
     planes = classes.select("class", *PLANES)
-    pairs = cut(_small_pairs(members.filter(f"m <= {SMALL}"), planes, percent))
-    found.confirm(_likeliest(pairs))
-    found.confirm(found.apart(pairs))
-    differ = found.against_hubs(_hubs(members.filter(f"m > {SMALL}"), percent))
-    early = found.apart(found.sharing_early(differ))
-    agree = agreeing("x", "y")
-    near = early.join(planes.alias("x"), F.col("a") == F.col("x.class")).join(planes.alias("y"), F.col("b") == F.col("y.class"))
-    near = cut(near.filter(agree >= least_agreeing(percent)).select("a", "b", similarity(agree).alias("estimate")))
-    found.confirm(_likeliest(near))
-    found.confirm(found.apart(near))
+    pairs = _small_pairs(members.filter(f"m <= {SMALL}"), planes, percent)
+    differ, with_hubs = found.against_hubs(_hubs(members.filter(f"m > {SMALL}"), percent))
+    found.add(found.confirmed(pairs).unionAll(with_hubs))
+    near = found.sharing_early(differ)
+    near = near.join(planes.alias("x"), F.col("a") == F.col("x.class")).join(planes.alias("y"), F.col("b") == F.col("y.class"))
+    found.add(found.confirmed(near.filter(similarity(agreeing("x", "y")) >= least_similarity(percent))))
     own = found.component(rows.join(classes.select(*set_key, "class"), set_key, "left"))
     own = own.withColumn("component", F.coalesce("component", "row"))
     names = own.groupBy("component").agg(F.min("_id").alias("component_id"))
