@@ -181,7 +181,7 @@ class _Links:
 
     def add(self, links: DataFrame) -> None:
         """Join what is linked."""
-        links = cut(links)
+        links = cut(links.distinct())
         if links.isEmpty():
             return
         if self.labels is None:
@@ -196,26 +196,29 @@ class _Links:
 
     def against_hubs(self, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(class, hub, n, adds, lacks) for (class, hub), and the links (a, b) of classes with their hubs."""
+        # Dealt out anew: the members of one hub were made side by side.
         differ = cut(self.both(hubs, "class", "hub").select(
             "class", "hub", F.size("_a").cast("long").alias("n"), F.size("_b").alias("_of_hub"),
-            F.array_except("_a", "_b").alias("adds"), F.array_except("_b", "_a").alias("lacks")))
+            F.array_except("_a", "_b").alias("adds"), F.array_except("_b", "_a").alias("lacks")).repartition("class", "hub"))
         linked = differ.filter(self.similar(F.col("n") - F.size("adds"), F.col("n"), F.col("_of_hub")))
         return differ.drop("_of_hub"), linked.select(F.col("class").alias("a"), F.col("hub").alias("b"))
 
     def sharing_early(self, differ: DataFrame) -> DataFrame:
         """Pairs (a, b) of members of one hub, in different components, that may be linked."""
-        members = self.component(self.component(differ), "hub", "main")
+        members = cut(self.component(self.component(differ), "hub", "main"))
         several = members.groupBy("hub").agg(
-            F.count(F.lit(1)).alias("members"), F.max(F.col("component") != F.col("main")).alias("_open")).filter("_open")
-        several = cut(several.select("hub", "members"))
-        members = cut(members.join(several, "hub"))
+            F.count(F.lit(1)).alias("members"), F.max("n").alias("largest"),
+            F.max(F.col("component") != F.col("main")).alias("_open")).filter("_open")
+        members = members.join(cut(several.select("hub", "members", "largest")), "hub")
         elements = members.filter(
             (F.col("members") > SAMPLE) & (F.pmod(F.xxhash64("class", "hub"), F.lit(1 << 30)) * F.col("members") < SAMPLE * (1 << 30)))
         some = F.slice(F.array_sort(F.concat("adds", "lacks")), 1, SAMPLE_ELEMENTS)
         most = elements.groupBy("hub").agg(F.flatten(F.collect_list(some)).alias("elements")).mapInArrow(
             _frequent, "hub long, frequent array<long>, often array<long>")
-        given = members.join(most, "hub", "left").select("hub", "class", "component", "main", "n", "adds", "lacks", "frequent", "often")
-        early = cut(given.mapInArrow(_early(self.percent), "hub long, element long, class long, component long, main long, n long, d long, at long"))
+        given = members.join(most, "hub", "left").select(
+            "hub", "class", "component", "main", "n", "adds", "lacks", "frequent", "often", "largest")
+        early = cut(given.mapInArrow(
+            _early(self.percent), "hub long, element long, class long, component long, main long, n long, d long, at long"))
         # The hub's component doesn't meet itself; what lies outside meets it, and the rest once.
         whole = F.col("x.n") + F.col("y.n")
         least = F.expr(f"((x.n + y.n) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
@@ -257,7 +260,8 @@ def _early(percent: int):
                     seldom = np.where(frequent[place] == elements, often[place], 0)
                 order = np.lexsort((elements, np.arange(len(elements)) >= len(adds), seldom))
                 # Of d elements at least max(1, d - h) are shared, h the most that two linked sets of such sizes differ by.
-                most = n * (100 - percent) // percent
+                partner = min(batch.column(9)[row].as_py(), n * 100 // percent)
+                most = (n + partner) * (100 - percent) // (100 + percent)
                 first = elements[order][:len(elements) - max(1, len(elements) - most) + 1]
                 fixed = [np.full(len(first), v, np.int64) for v in (node, component, main, n, len(elements))]
                 parts.append([np.full(len(first), hub, np.int64), first, *fixed, np.arange(len(first))])
@@ -314,10 +318,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return cut(one.select("class", "_text").mapInArrow(_shingler(width), "class long, shingles array<long>"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: id, `n_shingles`, `component_id`, `kept`, `component`, `text_key`, `text_hash`."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(_id, n, component, text_key, text_hash) for every row of (_id, _text)."""
     kind = docs.schema["_id"].dataType
     fields = [("_id", kind), ("text_key", T.LongType()), ("text_hash", T.LongType()), ("n", T.LongType()), ("_one", T.LongType()),
               ("_two", T.LongType()), ("bands", T.ArrayType(T.LongType())), *((p, T.LongType()) for p in PLANES)]
@@ -342,32 +344,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = near.join(planes.alias("x"), F.col("a") == F.col("x.class")).join(planes.alias("y"), F.col("b") == F.col("y.class"))
     found.add(found.confirmed(near.filter(similarity(agreeing("x", "y")) >= least_similarity(percent))))
     own = found.component(rows.join(classes.select(*set_key, "class"), set_key, "left"))
-    own = own.withColumn("component", F.coalesce("component", "row"))
+    return own.select("_id", "n", F.coalesce("component", "row").alias("component"), "text_key", "text_hash")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                    percent: int = 80) -> DataFrame:
+    """One row per row of `docs`: id, `n_shingles`, `component_id`, `kept`."""
+    own = _components(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width, percent)
     names = own.groupBy("component").agg(F.min("_id").alias("component_id"))
     return own.join(names, "component").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "text_key", "text_hash",
-    )
+        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                          percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay, one for each component, with all their columns.
 
-    Rows that surely stay, by a table of bits of the others, pass without a shuffle.
+    Rows that stand alone, as a table of bits of the others tells, pass without a shuffle.
     """
     key = ["text_key", "text_hash"]
-    found = cut(near_duplicates(docs, id_col, text_col, width, percent).select(id_col, "component", "kept", *key))
+    own = _components(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width, percent)
+    # Rows without words are one if they have the same id and text.
+    bare = F.col("n") == 0
+    own = cut(own.select("_id", *key, F.when(bare, F.col("text_key")).otherwise(F.col("component")).alias("_group"),
+                         F.when(bare, F.col("text_hash")).otherwise(0).alias("_bare")))
     # Of several rows with a component's id (an id given to different texts) the least hash stays.
-    staying = found.filter("kept").groupBy("component").agg(F.min(F.struct("text_hash", "text_key")).alias("_stays"))
-    staying = staying.select("_stays.text_key", "_stays.text_hash")
-    alone = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows = 1").join(staying, key, "left_semi")
-    doubtful = cut(found.select(*key).distinct().join(alone, key, "left_anti"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "text_hash", "text_key")).alias("_stays")
+    groups = cut(own.groupBy("_group", "_bare").agg(F.count(F.lit(1)).alias("_rows"), first).filter("_rows > 1"))
+    doubtful = cut(own.join(groups.select("_group", "_bare"), ["_group", "_bare"], "left_semi").select(*key).distinct())
+    staying = groups.select("_stays.text_key", "_stays.text_hash")
     marked = _keyed(docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
     marked = marked.select("_doc", *key)
     bits = _bits(doubtful)
-    if bits is None:
-        return marked.join(staying, key, "left_semi").dropDuplicates(key).select("_doc.*")
-    marked = _maybe_in(marked, bits)
-    looked = marked.filter("_maybe").join(staying, key, "left_semi").dropDuplicates(key)
-    return marked.filter("NOT _maybe").select("_doc.*").unionAll(looked.select("_doc.*"))
+    if bits is not None:
+        marked = _maybe_in(marked, bits)
+        alone, marked = marked.filter("NOT _maybe").select("_doc.*"), marked.filter("_maybe")
+    # A row with a bit that is in no group stands alone as well.
+    looked = marked.join(doubtful.withColumn("_doubtful", F.lit(True)), key, "left").join(
+        staying.withColumn("_staying", F.lit(True)), key, "left")
+    chosen = looked.filter("_doubtful IS NULL OR _staying").dropDuplicates(key).select("_doc.*")
+    return chosen if bits is None else alone.unionAll(chosen)
