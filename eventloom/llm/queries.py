@@ -171,10 +171,8 @@ _PART = RISK / len(CUTOFFS)
 @query(rf"""
 WITH texts AS (SELECT doc_id, coalesce('s' || lang, 't') AS stratum, coalesce(text, '') AS t FROM documents),
 split AS (
-  SELECT doc_id, stratum, t, regexp_extract_all(t, '[^ 	-
-]+') AS w,
-    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS l FROM texts),
+  SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
 windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM split)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),

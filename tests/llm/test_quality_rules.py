@@ -91,3 +91,14 @@ def test_rows_without_labels_repeats_and_nulls(spark):
     assert sorted((r.doc_id or 0, r.base_failed, r.kept) for r in got) == [
         (0, False, True), (1, False, True), (1, False, True), (2, True, False), (3, True, False), (4, False, True)]
     assert judge_quality(docs.limit(0), labels(spark, [(1, 1, 0)])).count() == 0
+
+
+def test_sql_splits_at_every_ascii_space(spark, tmp_path):
+    from checks.run import compare
+
+    unit = "one\rtwo\x0bthree\x0cfour\tfive six\nseven eight "
+    rows = [(1, unit * 4, "en"), (2, "a\rb\x0cc " * 10, "en"), (3, "\r\n\x0b\n x", None), (4, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    labels(spark, [(1, 1, 0), (2, 1, 0)]).toPandas().to_parquet(tmp_path / "labels.parquet")
+    result = compare(spark, str(tmp_path), ["op8_quality_rules"])["op8_quality_rules"]
+    assert result.startswith("ok 4 rows"), result
