@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder for tables a query writes, beside the checkpoints of the cluster."""
+    """A fresh folder for tables a query writes, beside the checkpoints of the cluster.
+
+    Where none is named a local master gets a temporary folder; a cluster without a shared folder is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if shared is None and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='eventloom-')}/{uuid.uuid4().hex}"
