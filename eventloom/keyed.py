@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .schemas import ddl, shape
 
 #: Buckets of a new table. A table of many rows takes more: compaction rewrites whole buckets.
-BUCKETS = 16
+BUCKETS = 8
 #: A bucket is rewritten once its newer parts hold this share of the rows of its oldest, or are this many.
 COMPACT_SHARE, COMPACT_PARTS = 0.5, 16
 #: Times a write is prepared anew when another writer was first.
