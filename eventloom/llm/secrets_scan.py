@@ -2,7 +2,9 @@
 
 A worklist holds layers of a text, the text itself first. Each layer is scanned for secrets, and what
 it hides is unwrapped into further layers: percent escapes, Unicode and character-reference escapes,
-base64 runs, also wrapped over lines, and compressed bytes (gzip, zlib, bzip2, xz, zstd) inside these. A layer of which the same
+base64 runs, also wrapped over lines, and compressed bytes (gzip, zlib, bzip2, xz, zstd) inside these. What
+stands before a run may be glued to it (a path, a name and a dash), so a run is decoded from each of its first
+four characters, and packed streams are opened wherever they begin in decoded or unpacked bytes. A layer of which the same
 place has already given the same content is not taken again, so that the work ends at a fixpoint.
 Spans found in a layer are mapped back to the original text: exactly through escapes and base64 of
 ASCII, else to the whole run they came from. Bytes that are no text are scanned as Latin-1 and as
@@ -26,6 +28,7 @@ import binascii
 import bz2
 import codecs
 import hashlib
+import html
 import io
 import itertools
 import lzma
@@ -52,10 +55,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(
-    r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+    r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+"
+    r"|\\[\"'/]|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|equals|colon|lowbar|period|sol|plus);")
 _NO_UTF8 = re.compile("[\udc80-\udcff]")
 # ASCII in UTF-16 of either order.
 _WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}[\t\n\r\x20-\x7e]?|(?:\x00[\t\n\r\x20-\x7e]){8,}")
+# The shortest secret, or what hides one, in bytes that are no text.
+_SHORTEST = 14
+_LEGIBLE = re.compile(rb"[\t\n\r\x20-\x7e]{%d}" % _SHORTEST)
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # A line of base64 after another; only the last of a run can be short.
@@ -90,6 +97,11 @@ class _Layer:
         self.pieces = pieces
         self.starts = [p[0] for p in pieces]
 
+    def above(self, index: int) -> int:
+        """Where a character of joined pieces stands in the parent."""
+        piece = self.pieces[bisect_right(self.starts, index) - 1]
+        return piece[1] + index - piece[0]
+
     def origin(self, start: int, end: int) -> tuple[int, int]:
         layer = self
         while layer.parent is not None:
@@ -127,6 +139,10 @@ def _escape(run: str) -> str | None:
             return chr(int(run[2:], 16))
         if run.startswith("\\x"):
             return _decoded(bytes.fromhex(run.replace("\\x", "")))
+        if run[0] == "\\":
+            return run[1]
+        if run[1] != "#":
+            return html.unescape(run)
         return chr(int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1]))
     except (ValueError, OverflowError):
         return None
@@ -225,15 +241,31 @@ def _opener(head: bytes):
 
 
 _MARKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+# The same, and two bytes that may begin a zlib stream.
+_STREAM = re.compile(_MARKED.pattern + rb"|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff]", re.DOTALL)
+_LONGEST_MARK = 10
 _SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18.{4}", re.DOTALL)
 _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError)
 
 
+def _zlib_begins(data: bytes, at: int) -> bool:
+    """Whether two bytes that look like a zlib header are followed by what can be its stream."""
+    if len(data) - at < 8 or (data[at] << 8 | data[at + 1]) % 31:
+        return False
+    try:
+        zlib.decompressobj().decompress(data[at:at + 128], 64)
+    except zlib.error:
+        return False
+    return True
+
+
 class _Unpacked:
-    """The bytes that a packed file unpacks to, in chunks; `broken` if it can't be read to its end."""
+    """The bytes that a file unpacks to from some place on, in chunks; `broken` if it can't be read to its end."""
 
-    def __init__(self, packed):
-        self.packed, self.broken, self.size, self.rest = packed, False, 0, b""
+    def __init__(self, packed, start: int = 0):
+        self.packed, self.start, self.broken, self.size, self.rest = packed, start, False, 0, b""
+        #: Where what follows the last stream begins; None at the end of the file.
+        self.end = None
 
     def _through(self, opener, data: bytes):
         """Chunks of what some bytes of the file unpack to."""
@@ -254,7 +286,7 @@ class _Unpacked:
                 yield more
 
     def __iter__(self):
-        self.packed.seek(0)
+        self.packed.seek(self.start)
         data = self.packed.read(_READ)
         opener = _opener(data)()
         try:
@@ -275,7 +307,7 @@ class _Unpacked:
                         return
                     following = _opener(data)
                     if following is None:
-                        self.rest = data
+                        self.rest, self.end = data, self.packed.tell() - len(data)
                         return
                     opener = following()
                 else:
@@ -361,32 +393,49 @@ class _Scan:
         content = layer.content
         if "%" in content:
             yield from _replaced(layer, _PERCENT, _percent)
-        if "\\" in content or "&#" in content:
+        if "\\" in content or "&" in content:
             yield from _replaced(layer, _ESCAPES, _escape)
         runs = [m.span() for m in _BASE64.finditer(content)]
         # Where streams begin, the fewest that broke off: one that its first line cuts off may be whole with the next ones.
-        broken: dict[int, int] = {}
+        broken: dict = {}
         for span in runs:
-            yield from self.decoded(layer, span, span[0], broken)
+            yield from self.decoded(layer, span, lambda index: index, broken)
         for lines in _wrapped(content, runs):
             joined = _joined_lines(layer, lines)
-            yield from self.decoded(joined, (0, len(joined.content)), lines[0][0], broken)
+            yield from self.decoded(joined, (0, len(joined.content)), joined.above, broken)
         self.closed += sum(broken.values())
         layer.content = None
 
-    def decoded(self, layer: _Layer, span: tuple[int, int], place: int, broken: dict[int, int]):
-        """The layers in a base64 run."""
-        run = layer.content[slice(*span)].rstrip("=")
-        run = run[:len(run) - (len(run) % 4 == 1)]
-        data = base64.b64decode(run.translate(_STANDARD) + "=" * (-len(run) % 4))
-        text = _as_text(data)
-        if text is not None:
-            if text:
-                yield _Layer(text, layer, run=span, exact=text.isascii())
-            return
-        if _opener(data):
-            yield from self.unpacked(layer, span, io.BytesIO(data), place, broken)
-        yield from self.raw(layer, span, data, True)
+    def decoded(self, layer: _Layer, span: tuple[int, int], above, broken: dict):
+        """The layers in a base64 run, which may begin with any of its first four characters."""
+        whole = layer.content[slice(*span)].rstrip("=").translate(_STANDARD)
+        for phase in range(4):
+            run = whole[phase:len(whole) - ((len(whole) - phase) % 4 == 1)]
+            data = base64.b64decode(run + "=" * (-len(run) % 4))
+            if phase and len(data) < _SHORTEST:
+                return
+            part = (span[0] + phase, span[1])
+            text = None if phase else _as_text(data)
+            if text is None:
+                yield from self.streams(layer, part, data, above, broken)
+                yield from self.raw(layer, part, data, True)
+            elif text:
+                yield _Layer(text, layer, run=part, exact=text.isascii())
+
+    def streams(self, layer: _Layer, span: tuple[int, int], data: bytes, above, broken: dict):
+        """The layers in packed streams that begin somewhere in the bytes of a run."""
+        packed, at = None, 0
+        while m := _STREAM.search(data, at):
+            at = m.start() + 1
+            marked = m.end() - m.start() > 2
+            if not marked and not _zlib_begins(data, m.start()):
+                continue
+            packed = packed or io.BytesIO(data)
+            # A zlib header is also found by chance: within bytes such a stream doesn't count as one that broke off.
+            place = above(span[0] + m.start() * 4 // 3) if marked or not m.start() else None
+            end = yield from self.unpacked(layer, span, packed, m.start(), place, broken)
+            if end is not None:
+                at = max(at, end)
 
     def raw(self, layer: _Layer, span: tuple[int, int], data: bytes, exact: bool):
         """Bytes that are no text as Latin-1, which shows all ASCII in them, and what may be UTF-16 among them."""
@@ -398,13 +447,17 @@ class _Scan:
                 yield _Layer(plain, whole, pieces)
             else:
                 yield _Layer(plain, layer, run=span)
-        yield whole
+        if _LEGIBLE.search(data):
+            yield whole
 
-    def unpacked(self, layer: _Layer, span: tuple[int, int], packed, place: int, broken: dict[int, int]):
-        """The layers in a packed stream, and in streams it packs; enters the streams that broke off."""
-        n, nested = 0, False
+    def unpacked(self, layer: _Layer, span: tuple[int, int], packed, start: int, place, broken: dict):
+        """The layers in a packed stream, and in streams it packs; enters the streams that broke off at their place.
+
+        Returns where what follows the stream begins in the file, None if it broke off.
+        """
+        n, nested, after = 0, False, None
         while packed is not None:
-            stream = _Unpacked(packed)
+            stream = _Unpacked(packed, start)
             chunks = self.limited(stream)
             first = b""
             while len(first) < 64 and (more := next(chunks, None)):
@@ -420,29 +473,59 @@ class _Scan:
                     inner.close()
                     inner = None
             else:
-                yield from self.read(layer, span, chunks)
+                yield from self.read(layer, span, chunks, place, broken)
             if nested and stream.broken:
                 # Whatever it is, its bytes can be looked at.
                 packed.seek(0)
-                yield from self.read(layer, span, iter(lambda: packed.read(_READ), b""))
+                yield from self.read(layer, span, iter(lambda: packed.read(_READ), b""), place, broken, first=1)
             elif nested:
-                yield from self.read(layer, span, stream.trailing())
-            nested = True
+                yield from self.read(layer, span, stream.trailing(), place, broken)
+            elif not stream.broken:
+                packed.seek(0, io.SEEK_END)
+                after = packed.tell() if stream.end is None else stream.end
             # A zlib header is also found by chance; such bytes give nothing and are no stream.
-            packed.seek(0)
-            n += stream.broken and (stream.size > 0 or _MARKED.match(packed.read(10)) is not None)
-            packed.close()
-            packed = inner
-        broken[place] = min(n, broken.get(place, n))
-
-    def read(self, layer: _Layer, span: tuple[int, int], chunks):
-        """The layers in unpacked bytes."""
+            packed.seek(start)
+            n += stream.broken and (stream.size > 0 or _MARKED.match(packed.read(_LONGEST_MARK)) is not None)
+            if nested:
+                packed.close()
+            packed, start, nested = inner, 0, True
+        if place is not None:
+            broken[place] = min(n, broken.get(place, n))
+        return after
+
+    def read(self, layer: _Layer, span: tuple[int, int], chunks, place, broken: dict, first: int = 0):
+        """The layers in unpacked bytes, and in packed streams that begin among them at `first` or later."""
+        rest, base, marks, at, tail = None, 0, [], 0, b""
         for window in _windows(chunks):
+            # A mark may stand across two windows.
+            seam, before = tail + window, at - len(tail)
+            found = [before + m.start() for m in _MARKED.finditer(seam)]
+            found = [mark for mark in found if mark >= first and (not marks or mark > marks[-1])]
+            if rest is not None:
+                rest.write(window)
+            elif found:
+                rest, base = tempfile.SpooledTemporaryFile(WINDOW), found[0]
+                rest.write(seam[base - before:])
+            marks += found
+            at += len(window)
+            tail = seam[1 - _LONGEST_MARK:]
             text = _as_text(window)
             if text is None:
                 yield from self.raw(layer, span, window, False)
             else:
                 yield _Layer(text, layer, run=span)
+        end = 0
+        for mark in marks:
+            if mark < end:
+                continue
+            rest.seek(mark - base)
+            beginning = hashlib.sha256(rest.read(_READ)).hexdigest()
+            if self.fresh(f"packed {beginning} {at - mark}", layer.origin(*span)):
+                after = yield from self.unpacked(
+                    layer, span, rest, mark - base, None if place is None else (place, mark), broken)
+                end = mark + 1 if after is None else base + after
+        if rest is not None:
+            rest.close()
 
     def limited(self, stream: _Unpacked):
         for chunk in stream:

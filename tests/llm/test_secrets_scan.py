@@ -184,3 +184,88 @@ def test_later_members(pack):
         assert any(k == "assign" for k, w in spans(f"<{run}>")) and scan(run)[3] == 0
     noise = random.Random(1).randbytes(5000)
     assert scan(b64(pack(noise)[:3000]))[3] == 1
+
+
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+
+
+@pytest.mark.parametrize("lead", ["https://h.example/cb/", "id-", "x_", "/a", "/v1/data/", "abcdefghijklmnopqrstu/"])
+@pytest.mark.parametrize("trail", ["", "/a", "-x_1", "/abcdefgh"])
+def test_runs_glued_to_paths(lead, trail):
+    for plain in (f"some {KEY} key", f"{SECRET} é and more", f"say {SECRET}"):
+        for data in (b64(plain).rstrip("="), base64.urlsafe_b64encode(plain.encode()).decode().rstrip("=")):
+            text = f"see {lead}{data}{trail} there"
+            want = 1 if KEY in plain else 0
+            secret = KEY if want else SECRET
+            (where,) = {(s, e) for s, k, e in scan(text)[1] if k == want and e - s >= len(secret) * 4 // 3}
+            first = len(f"see {lead}") + plain.encode().index(secret.encode()) * 4 // 3
+            assert where[0] == first, (text, where)
+    for pack in PACKS:
+        data = b64(pack(f"see {SECRET} there".encode())).rstrip("=")
+        found = scan(f"see {lead}{data}{trail} there")
+        assert any(k == 0 for _, k, _ in found[1]) and found[3] == 0, (lead, pack)
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_streams_within_bytes(pack, monkeypatch):
+    packed = pack(f"see {SECRET} there".encode())
+    for head in (b"\1\2\3\4\5\6", b"six by", b"\xff" * 7):
+        for data in (head + packed, head + packed + b"\0tail", head + pack(head + gzip.compress(f" {SECRET} ".encode())),
+                     head + packed + packed, gzip.compress(head * 30 + gzip.compress(b"\0" + packed + b"x")) if pack is not zlib.compress else head + packed):
+            found = scan(f"<{b64(data)}>")
+            assert any(k == 0 for _, k, _ in found[1]) and found[3] == 0, (head, data)
+    monkeypatch.setattr("eventloom.llm.secrets_scan.WINDOW", 300)
+    if pack is not zlib.compress:
+        noise = random.Random(4).randbytes(3000).replace(b"BZh", b"")
+        for n in range(0, 60, 7):
+            found = scan(b64(gzip.compress(noise[n:] + packed + noise)))
+            assert any(k == 0 for _, k, _ in found[1]), n
+
+
+def test_many_members_are_read_once():
+    text = b64(b"\0" + b"".join(gzip.compress(f"line {i}".encode()) for i in range(3000)) + gzip.compress(SECRET.encode()))
+    assert any(k == 0 for _, k, _ in scan(text)[1])
+    assert scan(b64(b"\0" + b"BZh91AY&SY" * 3000))[3] > 0
+
+
+def test_named_references_and_escaped_quotes():
+    for hidden in ("password&quot;: &quot;abcdefgh1234&quot;", 'password\\": \\"abcdefgh1234\\"', "password&amp;#58; abcdefgh1234"):
+        assert any(k == 0 and "abcdefgh1234" in hidden[s:e] for s, k, e in scan(hidden)[1]), hidden
+
+
+def decoded_by_force(content, depth):
+    """All texts that a few rules make of a text, whatever the order: no worklist, no windows, no spans."""
+    out = {content}
+    if not depth:
+        return out
+    following = [urllib.parse.unquote(content), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), content)]
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}", content):
+        for phase in range(4):
+            run = m[0][phase:]
+            data = base64.b64decode(run[:len(run) - (len(run) % 4 == 1)] + "=" * (-(len(run) - (len(run) % 4 == 1)) % 4))
+            following.append(data.decode("latin-1"))
+            for at in range(len(data) - 8):
+                for opened in (lambda d: zlib.decompressobj(31).decompress(d), lambda d: zlib.decompressobj().decompress(d),
+                               lambda d: bz2.BZ2Decompressor().decompress(d)):
+                    try:
+                        following.append(opened(data[at:]).decode("latin-1"))
+                    except (OSError, zlib.error):
+                        pass
+    for text in following:
+        if text != content:
+            out |= decoded_by_force(text, depth - 1)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_against_decoding_by_force(seed):
+    rnd = random.Random(seed)
+    content = f"{rnd.choice(['', 'a ', 'x1, '])}{rnd.choice([KEY, SECRET])}{rnd.choice([' end', '; more'])}"
+    for _ in range(rnd.randint(1, 3)):
+        content = rnd.choice([
+            lambda t: urllib.parse.quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+            lambda t: rnd.choice(["", "p/", "ab/c"]) + b64(t), lambda t: "/" + b64(gzip.compress(t.encode())),
+            lambda t: "id/" + b64(rnd.randbytes(rnd.randrange(5)) + bz2.compress(t.encode()))])(content)
+    secrets = {(kind, layer[start:end]) for layer in decoded_by_force(content, 3) for start, kind, end in plain_base(layer)}
+    kinds = {kind for _, kind, _ in scan(content)[1]}
+    assert secrets and {kind for kind, _ in secrets} <= kinds, content
