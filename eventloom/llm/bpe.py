@@ -164,22 +164,24 @@ def _coder(path: str, pattern: str, with_ids: bool):
             if with_ids:
                 ends = pa.array(np.cumsum([0, *counts]).astype(np.int32))
                 columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))))
+            columns += batch.columns[2:]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
     return code
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                     with_ids: bool = True) -> DataFrame:
-    """One row per row of `docs`: id, `n_tokens`, `ids_sha256`, `decoded_sha256` and, if asked for, the `ids`.
+                     with_ids: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: id, `n_tokens`, `ids_sha256`, `decoded_sha256`, if asked for the `ids`, and `carried` columns.
 
     `rank_file` must be readable at the same path on every executor.
     """
-    df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carried)
     fields = [T.StructField(id_col, df.schema["_id"].dataType), T.StructField("n_tokens", T.LongType()),
               T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    fields += df.schema.fields[2:]
     return df.mapInArrow(_coder(rank_file, pattern, with_ids), T.StructType(fields))
 
 

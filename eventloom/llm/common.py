@@ -18,6 +18,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Rows that one window partition of a running number holds on average.
 BLOCK_ROWS = 20_000
+#: The most blocks that a range is cut into; beyond it blocks grow, and sort on disk.
+MOST_BLOCKS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +55,14 @@ def seeded_hash(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def hash_block(digits: Column, blocks: int) -> Column:
-    """The block, of `blocks` equal ones in hash order, that a hash of hex digits falls in."""
-    high = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long")
-    return F.shiftright(high * F.lit(blocks), 32)
+def in_blocks(df: DataFrame, order: list[str], rows: int, block_rows: int) -> DataFrame:
+    """`df`, of `rows` rows, checkpointed with `_block`: blocks of about `block_rows` that follow each other in an order.
+
+    Where blocks end comes from a sample of the whole order, so no value of its first columns makes a large
+    block, however many rows have it. Rows that are equal in the whole order share one.
+    """
+    blocks = min(max(1, -(-rows // block_rows)), MOST_BLOCKS)
+    return cut(df.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id()))
 
 
 def running(df: DataFrame, groups: list[str], block: Column, order: list[Column], value: Column) -> DataFrame:

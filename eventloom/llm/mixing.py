@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import BLOCK_ROWS, WORD, cut, group_key, hash_block, running, seeded_hash
+from .common import BLOCK_ROWS, WORD, cut, group_key, in_blocks, running, seeded_hash
 
 WEIGHTS = (3, 1, 2)
 #: Schedules at equally spaced knots, in the order of the weights: early, even and late sources.
@@ -91,13 +91,13 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = cut(docs.select(
         F.col(id_col).alias("_id"), size.alias("size"), group_key(source_col).alias("source_key"),
         F.xxhash64(F.col(text_col)).alias("text_hash"),
-        seeded_hash(seed, id_col).alias("_hash"),
+        seeded_hash(seed, id_col).alias("_hash"), F.monotonically_increasing_id().alias("_row"),
     ))
     targets = source_targets(
         rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share_percent, max_repeats)
-    blocks = max(1, -(-rows.count() // block_rows))
-    df = running(rows, ["source_key"], hash_block(F.col("_hash"), blocks),
-                 [F.col("_hash"), F.col("_id"), F.col("size"), F.col("text_hash")], F.col("size"))
+    order = ["_hash", "_id", "size", "text_hash", "_row"]
+    blocks = in_blocks(rows, ["source_key", *order], rows.count(), block_rows)
+    df = running(blocks, ["source_key"], F.col("_block"), [F.col(c) for c in order], F.col("size"))
     df = df.join(targets, ["source_key"])
     reading = F.filter(
         F.transform(
@@ -137,3 +137,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **optio
     same = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash"))
     due = marked.join(readings, same).dropDuplicates(["_doc_id", "_hash"]).withColumn("_time", F.explode("_times"))
     return due.orderBy("_time", "_doc_id").select("_doc.*")
+
+
+def training_places(mixed: DataFrame) -> DataFrame:
+    """The rows of a written mix with their place in training order: `train_part`, `train_row` within it.
+
+    Parquet promises no order between files, so the place is read from the files themselves: a range-sorted
+    table is written one part for each range, in order. Equal places don't occur.
+    """
+    name = F.col("_metadata.file_name")
+    # A task that writes several files numbers these after a `c`.
+    part = F.regexp_extract(name, r"^part-([0-9]+)", 1).cast("long") * 1_000_000
+    return mixed.select(
+        "*", (part + F.coalesce(F.regexp_extract(name, r"-c([0-9]+)", 1).try_cast("long"), F.lit(0))).alias("train_part"),
+        F.col("_metadata.row_index").alias("train_row"))

@@ -133,16 +133,20 @@ placed AS (
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 counted AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE (middle <= target)::int + (middle + source_size <= target)::int END AS readings,
-         middle / target AS u FROM placed)
+         middle / target AS u, (middle + source_size) / target AS again FROM placed)
 SELECT doc_id, size, source_size, target, size * readings AS taken,
        CASE WHEN readings > 0 THEN round(CASE k % 3
-         WHEN 0 THEN (sqrt(2.25 - 2 * u) - 1.5) / -1.0 WHEN 1 THEN u ELSE (sqrt(0.25 + 2 * u) - 0.5) / 1.0 END, 6) END AS position
+         WHEN 0 THEN (sqrt(2.25 - 2 * u) - 1.5) / -1.0 WHEN 1 THEN u ELSE (sqrt(0.25 + 2 * u) - 0.5) / 1.0 END, 6) END AS position,
+       CASE WHEN readings > 1 THEN round(CASE k % 3
+         WHEN 0 THEN (sqrt(greatest(2.25 - 2 * again, 0)) - 1.5) / -1.0 WHEN 1 THEN again ELSE (sqrt(0.25 + 2 * again) - 0.5) / 1.0 END, 6) END
+         AS second_position
 FROM counted
 """)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"))
     out = plan.withColumn("position", F.get("times", F.lit(0))).orderBy(F.col("position").asc_nulls_last(), "source_key", "doc_id")
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"),
+                      F.round(F.get("times", F.lit(1)), 6).alias("second_position"))
 
 
 @query(r"""

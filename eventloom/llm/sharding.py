@@ -4,8 +4,9 @@ Within each source, rows stand in a seeded random order; row r of n gets the fra
 All rows are then sorted by fraction and cut into equal pieces, so every shard holds each source in
 the proportion of the whole, and row counts are at most one apart (law `rows`).
 
-Ranks are running numbers over blocks of bounded size: neither a source with a third of all rows nor
-the whole order passes through one task.
+Ranks are running numbers over blocks of bounded size, cut by the whole order: neither a source with a
+third of all rows, nor thousands of sources with one row (all at the fraction 1/2), nor rows with one id
+or none pass through one task.
 
 Nulls and ties: a null source is a source of its own; a null text has no bytes. Equal fractions
 of several sources follow each other in source order; rows that repeat each other in id and text are
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLOCK_ROWS, cut, group_key, hash_block, running, seeded_hash
+from .common import BLOCK_ROWS, cut, group_key, in_blocks, running, seeded_hash
 
 SEED = 17
 
@@ -30,19 +31,19 @@ def interleave(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     rows = cut(docs.select(
         F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), group_key(source_col).alias("source_key"),
-        seeded_hash(seed, id_col).alias("_hash"),
+        seeded_hash(seed, id_col).alias("_hash"), F.monotonically_increasing_id().alias("_row"),
     ))
     total = rows.count()
-    blocks = max(1, -(-total // block_rows))
-    ranked = running(
-        rows, ["source_key"], hash_block(F.col("_hash"), blocks),
-        [F.col("_hash"), F.col("_id"), F.col("text_crc32"), F.col("size")], F.lit(1).cast("long"))
+    order = ["_hash", "_id", "text_crc32", "size", "_row"]
+    blocks = in_blocks(rows, ["source_key", *order], total, block_rows)
+    ranked = running(blocks, ["source_key"], F.col("_block"), [F.col(c) for c in order], F.lit(1).cast("long"))
     ranked = ranked.select(
         "_id", "size", "text_crc32", "source_key",
         ((F.col("before") * 2 + 1) / (F.col("whole") * 2)).alias("fraction"),
     )
+    blocks = in_blocks(ranked, ["fraction", "source_key"], total, block_rows)
     placed = running(
-        ranked, [], F.floor(F.col("fraction") * blocks), [F.col("fraction"), F.col("source_key")],
+        blocks, [], F.col("_block"), [F.col("fraction"), F.col("source_key")],
         F.lit(1).cast("long")).withColumnRenamed("before", "position")
     shard = F.expr(f"cast(position * {shards} div {max(total, 1)} as int)")
     start = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")

@@ -5,7 +5,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm.mixing import SCHEDULES, due_time, in_training_order, mix, plan_mix, source_targets
+from eventloom.llm import mixing
+from eventloom.llm.common import in_blocks
+from eventloom.llm.mixing import SCHEDULES, due_time, in_training_order, mix, plan_mix, source_targets, training_places
 
 SCHEMA = "doc_id long, text string, source string, times string, _time int"
 
@@ -86,3 +88,30 @@ def test_repeats_nulls_and_no_words(spark):
     assert mixed.count() == sum(len(r.times) for r in plan)
     assert all(r.taken == 0 for r in plan_mix(frame(spark, [(1, None, None), (2, "", "a")])).collect())
     assert plan_mix(frame(spark, [])).count() == 0 and mix(frame(spark, [])).count() == 0
+
+
+def test_null_ids_and_repeats_fill_even_blocks(spark, monkeypatch):
+    sizes = []
+
+    def watched(df, *arguments):
+        out = in_blocks(df, *arguments)
+        sizes.append(sorted(r["count"] for r in out.groupBy("_block").count().collect()))
+        return out
+
+    monkeypatch.setattr(mixing, "in_blocks", watched)
+    plan = plan_mix(frame(spark, [(None, "a b", "s")] * 12_000 + [(None, f"a w{i}", "t") for i in range(8_000)]), block_rows=500)
+    assert plan.count() == 20_000 and abs(plan.agg(F.sum("taken")).first()[0] - 60_000) <= 4
+    assert len(sizes[0]) >= 39 and sizes[0][-1] < 2 * sizes[0][len(sizes[0]) // 2]
+
+
+def test_places_of_a_written_mix(spark, tmp_path):
+    rnd = random.Random(6)
+    docs = frame(spark, [(i, " ".join(["w"] * rnd.randint(1, 40)), rnd.choice("aab")) for i in range(900)])
+    due = in_training_order(plan_mix(docs)).select("doc_id").collect()
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 70)
+    try:
+        mix(docs).write.parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    placed = training_places(spark.read.parquet(f"{tmp_path}/mixed")).collect()
+    assert [r.doc_id for r in sorted(placed, key=lambda r: (r.train_part, r.train_row))] == [r.doc_id for r in due]

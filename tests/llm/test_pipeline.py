@@ -9,6 +9,7 @@ import tiktoken
 import corpus_pipeline
 from checks.run import compare
 from eventloom.llm.bpe import read_ranks
+from eventloom.llm.mixing import mix
 from eventloom.llm.queries import QUERIES, SQL
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -67,10 +68,13 @@ def test_every_stage_against_plain_python(spark, tmp_path):
     texts = {r.doc_id: r.text for r in before}
     rows = after.collect()
     assert len(rows) == sum(read.values())
+    order = sorted(rows, key=lambda r: (r.train_part, r.train_row))
+    assert len({(r.train_part, r.train_row) for r in rows}) == len(rows)
+    assert [r.doc_id for r in order] == [r.doc_id for r in mix(outs[3][1].sparkSession.read.parquet(f"{tmp_path}/near_dedup")).collect()]
     for r in rows:
         assert r.ids == library.encode_ordinary(texts[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 100
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "train_part", "train_row"] and out.count() > 100

@@ -2,6 +2,10 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
+from eventloom.llm import sharding
+from eventloom.llm.common import in_blocks
 from eventloom.llm.sharding import interleave
 
 SCHEMA = "doc_id long, text string, source string, shard string, before int, _block string"
@@ -37,3 +41,20 @@ def test_few_rows_and_none(spark):
     got = interleave(frame(spark, [(1, "a", "s"), (1, "a", "s"), (2, "b", "s")])).collect()
     assert len({(r["shard"], r.slot) for r in got}) == 3 and all(r.slot == 0 for r in got)
     assert interleave(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, "x", f"source {i}") for i in range(20_000)], [(None, "x", "s")] * 20_000, [(None, f"x{i}", "s") for i in range(20_000)],
+    [(i % 3, "x", "st"[i % 2]) for i in range(20_000)]])
+def test_blocks_stay_even(spark, rows, monkeypatch):
+    sizes = []
+
+    def watched(df, *arguments):
+        out = in_blocks(df, *arguments)
+        sizes.append(sorted(r["count"] for r in out.groupBy("_block").count().collect()))
+        return out
+
+    monkeypatch.setattr(sharding, "in_blocks", watched)
+    got = interleave(frame(spark, rows), block_rows=500).collect()
+    assert len({(r["shard"], r.slot) for r in got}) == 20_000 and {r["shard"] for r in got} == set(range(16))
+    assert len(sizes) == 2 and all(len(s) >= 39 and s[-1] < 2 * s[len(s) // 2] for s in sizes), sizes
