@@ -16,7 +16,7 @@ from eventloom.llm.bpe import encode_documents
 from eventloom.llm.common import table
 from eventloom.llm.exact_dedup import drop_duplicates
 from eventloom.llm.language_id import held_out, keep_identified, train
-from eventloom.llm.mixing import mix
+from eventloom.llm.mixing import mix, training_places
 from eventloom.llm.near_dedup import drop_near_duplicates
 
 
@@ -41,8 +41,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every reading, with their hash and that of the decoded text."""
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids of every reading, with their hash, that of the decoded text, and the place in training order."""
+    return encode_documents(
+        training_places(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+        carried=("train_part", "train_row"))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixture), ("bpe", tokens)]
