@@ -29,6 +29,8 @@ BUCKETS = 8
 COMPACT_SHARE, COMPACT_PARTS = 0.5, 16
 #: Times a write is prepared anew when another writer was first.
 ATTEMPTS = 5
+#: Notes of earlier writes that a version keeps.
+NOTES = 16
 
 
 class Conflict(RuntimeError):
@@ -128,9 +130,16 @@ class KeyedTable:
         parts = [Part(p["folder"], p["seq"], {int(b): n for b, n in p["rows"].items()}) for p in listed["parts"]]
         return listed["buckets"], sorted(parts, key=lambda p: p.seq)
 
-    def _publish(self, after: int, buckets: int, parts: list[Part]) -> None:
+    def notes(self, version: int | None = None) -> list[str]:
+        """The notes that the last writes up to a version were given."""
+        version = self.version() if version is None else version
+        return json.loads(read_text(self.spark, f"{self.path}/versions/{version:08d}.json")).get("notes", []) if version else []
+
+    def _publish(self, after: int, buckets: int, parts: list[Part], note: str | None = None) -> None:
         listed = [{"folder": p.folder, "seq": p.seq, "rows": p.rows} for p in parts if p.rows]
-        create_text(self.spark, f"{self.path}/versions/{after + 1:08d}.json", json.dumps({"buckets": buckets, "parts": listed}))
+        notes = [*self.notes(after), *([note] if note else [])][-NOTES:]
+        text = json.dumps({"buckets": buckets, "parts": listed, "notes": notes})
+        create_text(self.spark, f"{self.path}/versions/{after + 1:08d}.json", text)
 
     # --- reading -----------------------------------------------------------------------------
 
@@ -246,19 +255,22 @@ class KeyedTable:
                 continue
         raise Conflict(f"{self.path} is written by other jobs all the time")
 
-    def merge(self, rows: DataFrame, gone: DataFrame | None, after: int) -> WriteCounts:
+    def merge(self, rows: DataFrame, gone: DataFrame | None, after: int, note: str | None = None) -> WriteCounts:
         """Put rows, unique by key, in place of those of their keys and delete the keys of `gone`, as one version.
 
-        A key that is in both stays. It fails if another writer has been there since version `after`.
+        A key that is in both stays. It fails if another writer has been there since version `after`. A `note`
+        stays with the next versions, so that a repeated job can tell whether it has written.
         """
+        if self.version() != after:
+            raise Conflict(f"{self.path} was written by another job since version {after}")
         buckets, parts = self._parts(after)
         given = shape(rows, self.layout).withColumn("_gone", F.lit(False))
         if gone is not None:
             left = gone.select(self.key).distinct().join(rows.select(self.key), self.key, "left_anti")
             given = given.unionByName(shape(left, self.layout).withColumn("_gone", F.lit(True)))
-        return self._add(self._write(given, buckets), after, buckets, parts)
+        return self._add(self._write(given, buckets), after, buckets, parts, note)
 
-    def _add(self, folder: str, base: int, buckets: int, parts: list[Part]) -> WriteCounts:
+    def _add(self, folder: str, base: int, buckets: int, parts: list[Part], note: str | None = None) -> WriteCounts:
         """Publish a written part on top of a version, and rewrite the buckets that have grown."""
         every = {bucket: 0 for bucket in range(buckets)}
         written = self._scan([Part(folder, 0, every)], [self.key])
@@ -269,7 +281,7 @@ class KeyedTable:
         new = written.filter("NOT _gone").select(self.key).join(known, self.key, "left")
         counts = new.agg(F.count_if(F.col("_known").isNull()), F.count_if("_known")).first()
         parts = [*parts, Part(folder, base + 1, rows)]
-        self._publish(base, buckets, parts)
+        self._publish(base, buckets, parts, note)
         self._compact(base + 1, buckets, parts)
         return WriteCounts(counts[0], counts[1])
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import json
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import cards as card_ops, maintenance, merge, reports
 from ..schemas import CANDIDATE, EVENT, VENUE
+from ..keyed import Conflict
+from ..runs import APPLIED, REFUSED, RunLog
 from ..session import staged
 from ..sources.structured import enabled_sources
 from ..tables import CityTables, KeyedTable, RawArchive, append_health, snapshot_upsert, upsert_venues
@@ -39,6 +42,9 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def runs(self, city: str) -> RunLog:
+        return RunLog(self.spark, self.path(f"runs/city={city}"))
+
 
 @dataclass
 class Feed:
@@ -142,16 +148,21 @@ def run_city(
 ) -> CityRun:
     """Read all feeds, merge with what is stored, write, purge and record.
 
-    Each feed is staged once, in a folder of the city and run, so the later steps read files.
-    Documents are archived only after the event table is written: a run that fails before meets
-    the same pages again. A repeated run replaces its health rows. `CityRun.close` removes the
-    staging folder once the frames of the result are read. A dry run stages and merges only.
+    Each feed is staged once, in a folder of the city and run, so the later steps read files. Nothing
+    is written to a table before all is staged and the run is committed as one record; a run that
+    fails before meets the same pages again, and one that stops after is completed by the next run of the
+    city, or by `settle`. If another run of the city was committed meanwhile, or the event table changed,
+    it raises Conflict and leaves all tables alone. A repeated run replaces its health rows. `CityRun.close`
+    removes the staging folder once the frames of the result are read. A dry run stages and merges only.
     """
     spark = tables.spark
     events = tables.events.of(city)
-    base = events.version()
+    if not dry_run:
+        settle(tables, city)
+    runs = tables.runs(city)
+    last, base = runs.last(), events.version()
     day, moment = F.lit(as_of), F.lit(now).cast("timestamp")
-    folder = tables.path(f"staging/city={city}/run={run_id}")
+    folder = tables.path(f"staging/city={city}/run={run_id}/try={uuid.uuid4().hex}")
     outcomes = stage(feeds, city, folder)
     good = [o[0] for o in outcomes if o[3] is None]
     if not good:
@@ -163,8 +174,6 @@ def run_city(
     # Of two feeds that report a venue the later one counts, and of one feed the first report.
     found = settled.filter(F.col("outcome") == "venue").withColumn("seq", F.struct(-F.col("feed_order"), "seq"))
     venues = card_ops.to_venues(found, F.lit("twogis"), moment)
-    if not dry_run:
-        upsert_venues(tables.venues.of(city), venues)
 
     extracted = settled.filter(F.col("outcome") == "extracted").withColumn(
         "seq", F.struct("feed_order", "seq")
@@ -180,7 +189,6 @@ def run_city(
     merged = staged(merge.merge_cards(rows, peers, priorities), f"{folder}/merged")
     pairs = staged(merge.merge_pairs(rows, peers, priorities), f"{folder}/pairs")
 
-    # One new version of the table: the merged cards, without what the snapshot sync drops and what is past.
     total = merged.count()
     known = merged.join(stored.select("id"), "id", "left_semi").count()
     parts = run_parts(spark, tally, [o[:4] for o in outcomes])
@@ -190,25 +198,70 @@ def run_city(
     )
     if dry_run:
         return done
+    # One new version of the table: the merged cards, without what the snapshot sync drops and what is past.
     current_cards, past_cards = maintenance.purge_past(merged, day, city)
     gone = dropped.select("id").unionAll(maintenance.purge_past(kept, day, city)[1].select("id"))
     gone = gone.join(merged.select("id"), "id", "left_anti").unionAll(past_cards.select("id"))
-    events.merge(current_cards, gone, after=base)
-    for order, _, _, _, documents in outcomes:
-        if documents:
-            archive = spark.read.parquet(f"{folder}/archive/feed={order}")
-            tables.raw.append(archive, moment, city)
-    events.expire(keep=3)
-    tables.raw.purge(as_of)
+    quality = reports.source_quality(reports.extracted_by_source(rows), pairs, city, day)
+    schemas = {
+        name: staged(frame, f"{folder}/{name}").schema.json() for name, frame in (
+            ("current", current_cards), ("gone", gone.select("id")), ("venues", venues), ("quality_rows", quality),
+            ("health", health_rows(parts, moment, duration)))
+    }
+    number = runs.commit(last, {
+        "run_id": run_id, "folder": folder, "base": base, "as_of": as_of.isoformat(), "now": now.isoformat(),
+        "archives": [o[0] for o in outcomes if o[4]], "schemas": schemas,
+    })
+    apply_run(tables, city, number, again=False)
+    return done
 
-    snapshot = F.lit(as_of)
-    covered = reports.coverage(events.read(), snapshot, city)
-    snapshot_upsert(spark, tables.path("coverage"), covered, ["category"], tables.path("checkpoint"))
-    quality = reports.source_quality(reports.extracted_by_source(rows), pairs, city, snapshot)
-    snapshot_upsert(spark, tables.path("quality"), quality, ["source"], tables.path("checkpoint"))
 
-    append_health(tables.path("health"), health_rows(parts, moment, duration), city, run_id)
-    return done
+def settle(tables: Tables, city: str) -> int | None:
+    """Carry out what a stopped run had committed; returns its number, None if nothing was open.
+
+    Readers that need the tables of a city to be of one run call it first.
+    """
+    number = tables.runs(city).pending()
+    if number is not None:
+        try:
+            apply_run(tables, city, number, again=True)
+        except Conflict:
+            pass  # the event table had changed: the run is closed as refused, with nothing written
+    return number
+
+
+def apply_run(tables: Tables, city: str, number: int, again: bool) -> None:
+    """Write a committed run to the tables. Every step may be repeated.
+
+    The event table goes first: only there can another writer have been in the way, and then nothing else
+    is written.
+    """
+    spark, events, runs = tables.spark, tables.events.of(city), tables.runs(city)
+    record = runs.record(number)
+    folder, as_of = record["folder"], datetime.date.fromisoformat(record["as_of"])
+    moment = F.lit(datetime.datetime.fromisoformat(record["now"])).cast("timestamp")
+    note = f"run {number}"
+
+    def kept(name: str) -> DataFrame:
+        return spark.read.schema(T.StructType.fromJson(json.loads(record["schemas"][name]))).parquet(f"{folder}/{name}")
+
+    if note not in events.notes():
+        try:
+            events.merge(kept("current"), kept("gone"), record["base"], note)
+        except Conflict:
+            if note not in events.notes():
+                runs.close(number, REFUSED)
+                raise
+    upsert_venues(tables.venues.of(city), kept("venues"))
+    for order in record["archives"]:
+        tables.raw.append(spark.read.parquet(f"{folder}/archive/feed={order}"), moment, city, again)
+    events.expire(keep=3)
+    tables.raw.purge(as_of)
+    covered = reports.coverage(events.read(), F.lit(as_of), city)
+    snapshot_upsert(spark, tables.path("coverage"), covered, ["category"], kept_at=f"{folder}/coverage_days")
+    snapshot_upsert(spark, tables.path("quality"), kept("quality_rows"), ["source"], kept_at=f"{folder}/quality_days")
+    append_health(tables.path("health"), kept("health"), city, record["run_id"])
+    runs.close(number, APPLIED)
 
 
 def run_parts(spark: SparkSession, tally: DataFrame, outcomes: list[tuple]) -> DataFrame:

@@ -81,8 +81,15 @@ class RawArchive:
         """The last hashes of what a writer stored. It lies beside the log, where readers of the log don't look."""
         return KeyedTable(self.spark, f"{self.path}/_index/{writer}", LAST_HASH, "url")
 
-    def append(self, docs: DataFrame, fetched_at: Column, writer: str = "shared") -> None:
+    def append(self, docs: DataFrame, fetched_at: Column, writer: str = "shared", again: bool = False) -> None:
+        """Add documents to a writer's log. `again` leaves out rows that a stopped write of the same has left there."""
         rows = archive_rows(docs, fetched_at).withColumn("fetch_day", F.to_date("fetched_at"))
+        if again:
+            same = ["url", "fetched_at", "hash"]
+            left = self._log(writer).select(*same)
+            new = rows.join(left, [rows[c].eqNullSafe(left[c]) for c in same], "left_anti").select(*rows.columns)
+            new.write.mode("append").partitionBy("fetch_day").parquet(f"{self.path}/writer={writer}")
+            return self._note(rows, writer)
         rows.write.mode("append").partitionBy("fetch_day").parquet(f"{self.path}/writer={writer}")
         self._note(rows, writer)
 
@@ -188,11 +195,22 @@ def snapshot_rows(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 
 def snapshot_upsert(
-    spark: SparkSession, path: str, rows: DataFrame, keys: list[str], checkpoint_dir: str | None = None
+    spark: SparkSession, path: str, rows: DataFrame, keys: list[str], checkpoint_dir: str | None = None,
+    kept_at: str | None = None,
 ) -> None:
-    """Replace the rows of some keys of some days; only those days of those cities are written."""
+    """Replace the rows of some keys of some days; only those days of those cities are written.
+
+    With `kept_at`, a folder of the run, the days are written there first: a run that stops while it replaces
+    them does so again from there.
+    """
     _, statuses = children(spark, path)
-    if any(s.getPath().getName().startswith("city=") for s in statuses):
+    if kept_at is not None:
+        if not finished(spark, kept_at):
+            some = any(s.getPath().getName().startswith("city=") for s in statuses)
+            whole = snapshot_rows(spark.read.schema(rows.schema).parquet(path), rows, keys) if some else rows
+            whole.write.mode("overwrite").parquet(kept_at)
+        rows = spark.read.schema(rows.schema).parquet(kept_at)
+    elif any(s.getPath().getName().startswith("city=") for s in statuses):
         stored = spark.read.schema(rows.schema).parquet(path)
         # The result is cut from its lineage: it is read from the partitions it replaces.
         rows = cut_lineage(snapshot_rows(stored, rows, keys), checkpoint_dir)
