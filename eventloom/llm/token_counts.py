@@ -15,7 +15,9 @@ The second machine rests on a property of BPE: a sequence of tokens is the encod
 two neighbours are. So the last token of a prefix is the one token that ends it and
 goes with the last token before.
 
-Strings of special tokens in a text count as one token each, as the library does by default.
+Strings of special tokens in a text count as one token each, as the library does by default. A file with
+settings that the machines don't follow (a normalizer, another pre-tokenizer, dropout, merges ignored for whole
+words, special tokens that strip) is refused with a ValueError, not counted wrongly.
 
 Nulls and ties: a null text counts as empty and has no tokens. Rows that repeat each other get equal
 results. An empty table gives an empty table.
@@ -223,12 +225,30 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def check_settings(spec: dict) -> None:
+    """Raise ValueError if a tokenizer file asks for anything but plain byte-level BPE."""
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    off = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    unread = [f"model.{name}" for name in off if model.get(name)]
+    if model.get("type", "BPE") != "BPE":
+        unread.append("model.type")
+    if spec.get("normalizer"):
+        unread.append("normalizer")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True):
+        unread.append("pre_tokenizer")
+    unread += sorted({
+        f"added_tokens.{name}" for token in spec.get("added_tokens") or () for name in ("single_word", "lstrip", "rstrip") if token.get(name)})
+    if unread:
+        raise ValueError(f"tokenizer settings that can't be followed: {', '.join(unread)}")
+
+
 class Counter:
     """Counts tokens as the library that reads `path` does."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        check_settings(spec)
         letters = _byte_letters()
 
         def raw(token: str) -> bytes:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 from eventloom.llm import token_counts
 from eventloom.llm.bpe import Encoder, decode_ids, encode_documents, read_ranks
-from eventloom.llm.token_counts import Counter, count_tokens
+from eventloom.llm.token_counts import Counter, check_settings, count_tokens
 
 RANK_FILE, TOKENIZER = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"))
 RANKS = read_ranks(RANK_FILE)
@@ -92,3 +93,17 @@ def test_rank_file(tmp_path):
     file = tmp_path / "ranks"
     file.write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)))
     assert read_ranks(str(file)) == {bytes([b]): b for b in range(256)}
+
+
+@pytest.mark.parametrize("change", [
+    lambda s: s.update(normalizer={"type": "Lowercase"}), lambda s: s.update(pre_tokenizer={"type": "Whitespace"}),
+    lambda s: s["pre_tokenizer"].update(add_prefix_space=True), lambda s: s.update(pre_tokenizer=None),
+    lambda s: s["pre_tokenizer"].update(use_regex=False), lambda s: s["model"].update(ignore_merges=True),
+    lambda s: s["model"].update(dropout=0.1), lambda s: s["added_tokens"][0].update(lstrip=True), lambda s: s["model"].update(type="Unigram")])
+def test_other_settings_are_refused(change):
+    with open(TOKENIZER, encoding="utf-8") as file:
+        spec = json.load(file)
+    check_settings(spec)
+    change(spec)
+    with pytest.raises(ValueError, match="can't be followed"):
+        check_settings(spec)
