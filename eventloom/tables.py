@@ -243,6 +243,27 @@ def export_venues(venues: DataFrame, path: str, city: str | None = None) -> None
     venue_statements(rows).select("statement").write.mode("overwrite").text(path)
 
 
+#: Folders that the warnings of all cities share.
+WARNING_FOLDERS = 64
+
+
+def _warning_folder(city: Column) -> Column:
+    return F.pmod(F.xxhash64(city), F.lit(WARNING_FOLDERS)).cast("int")
+
+
 def write_warnings(warnings: DataFrame, path: str) -> None:
-    """Warnings (city, seq, warning) as JSON lines, one each, in a folder per city."""
-    warnings.select("city", "seq", "warning").write.mode("overwrite").partitionBy("city").json(path)
+    """Warnings (city, seq, warning) as JSON lines, one each, those of a city together in the folder its name hashes to.
+
+    The folders are as many for any number of cities; one for each city would cost more than its lines.
+    """
+    rows = warnings.select("city", "seq", "warning", _warning_folder(F.col("city")).alias("folder"))
+    placed = rows.hint("rebalance", "folder").sortWithinPartitions("folder", "city")
+    placed.write.mode("overwrite").partitionBy("folder").json(path)
+
+
+def read_warnings(spark: SparkSession, path: str, city: str | None = None) -> DataFrame:
+    """Written warnings, of all cities or of one; then only its folder is opened."""
+    rows = spark.read.schema("city string, seq bigint, warning string, folder int").json(path)
+    if city is not None:
+        rows = rows.filter((F.col("folder") == _warning_folder(F.lit(city))) & (F.col("city") == city))
+    return rows.drop("folder")

@@ -134,3 +134,16 @@ def test_one_failing_feed_leaves_the_others_alone(spark, tmp_path):
     health = spark.read.parquet(tables.path("health"))
     assert health.count() == 4 and health.filter("last_error = 'broken: HTTP 403'").count() == 2
     assert spark.read.parquet(tables.path("coverage")).count() == 2
+
+
+def test_warnings_of_many_cities_share_folders(spark, tmp_path):
+    made = [(None if i == 7 else f"city {i // 2}", i, None if i == 9 else f"token {i}") for i in range(600)]
+    tb.write_warnings(spark.createDataFrame(made, "city string, seq long, warning string"), str(tmp_path / "w"))
+    folders = [p for p in (tmp_path / "w").iterdir() if p.is_dir()]
+    assert len(folders) <= tb.WARNING_FOLDERS
+    whole = spark.read.schema("city string, seq bigint, warning string").json(str(tmp_path / "w"))
+    key = lambda r: r[1]
+    assert sorted((tuple(r) for r in whole.select("city", "seq", "warning").collect()), key=key) == made
+    assert sorted(map(tuple, tb.read_warnings(spark, str(tmp_path / "w")).collect()), key=key) == made
+    of_one = tb.read_warnings(spark, str(tmp_path / "w"), "city 5")
+    assert sorted(map(tuple, of_one.collect())) == [("city 5", 10, "token 10"), ("city 5", 11, "token 11")]
