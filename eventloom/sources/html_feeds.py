@@ -1,12 +1,11 @@
 """Feeds landed as HTML pages.
 
-Partitions of landed pages go through `mapInPandas`, one page to many small rows; filters
+Partitions of landed pages go through `mapInArrow`, one page to many small rows; filters
 on other columns belong before these calls, since Spark does not move them inside.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -25,21 +24,44 @@ BATCH_CHARS = 4_000_000
 KEPT = ["source", "city", "url", "page"]
 
 
+def short_runs(batch: pa.RecordBatch, place: int):
+    """A batch in runs of rows whose texts in one column have `BATCH_CHARS` characters together, or of one longer row."""
+    sizes = pc.utf8_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    first = 0
+    while first < batch.num_rows:
+        most = (sizes[first - 1] if first else 0) + BATCH_CHARS
+        last = max(first + 1, int(sizes.searchsorted(most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def map_pages(raw: DataFrame, read, layout: str) -> DataFrame:
-    """Apply `read(html) -> rows` to each page; rows keep the page's columns and get `pos`."""
-    names = [part.split()[0] for part in layout.split(", ")]
+    """Apply `read(html) -> rows` to each page; rows keep the page's columns and get `pos`.
+
+    Batches are cut into short runs, whose rows are passed on before the next one is read, so that memory
+    follows the longest page.
+    """
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
+    fields = [part.split() for part in layout.split(", ")]
+    names, types = ["pos", *[name for name, _ in fields]], [pa.int64(), *[kinds[kind] for _, kind in fields]]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for kept in batch.itertuples(index=False):
-                for pos, values in enumerate(read(kept.content)):
-                    rows.append((kept.source, kept.city, kept.url, kept.page, pos, *values))
-            yield pd.DataFrame(rows, columns=[*KEPT, "pos", *names])
+            for part in short_runs(batch, len(KEPT)):
+                at, found = [], []
+                for place, html in enumerate(part.column(len(KEPT)).to_pylist()):
+                    for pos, values in enumerate(read(html)):
+                        at.append(place)
+                        found.append((pos, *values))
+                pages = [part.column(i).take(pa.array(at, pa.int64())) for i in range(len(KEPT))]
+                rows = zip(*found) if found else [()] * len(names)
+                made = [pa.array(list(values), kind) for values, kind in zip(rows, types)]
+                yield pa.RecordBatch.from_arrays([*pages, *made], names=[*KEPT, *names])
 
     schema = f"source string, city string, url string, page bigint, pos bigint, {layout}"
-    pages = raw.select(*KEPT, F.coalesce("content", F.lit("")).alias("content"))
-    return pages.mapInPandas(run, schema)
+    pages = raw.select(
+        *KEPT[:3], F.col("page").cast("bigint").alias("page"), F.coalesce("content", F.lit("")).alias("content"))
+    return pages.mapInArrow(run, schema)
 
 
 def playbill_cards(
@@ -246,16 +268,10 @@ def clean_markdown(
 
     def convert(batches):
         for batch in batches:
-            sizes = pc.utf8_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-            first = 0
-            while first < batch.num_rows:
-                most = (sizes[first - 1] if first else 0) + BATCH_CHARS
-                last = max(first + 1, int(sizes.searchsorted(most, "right")))
-                part = batch.slice(first, last - first)
+            for part in short_runs(batch, place):
                 made = pa.array([to_markdown(html) for html in part.column(place).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [made if i == place else part.column(i) for i in range(part.num_columns)], names=part.schema.names)
-                first = last
 
     cleaned = clean_html(pages, column, dropped).withColumn(column, F.coalesce(column, F.lit("")))
     made = cleaned.mapInArrow(convert, T.StructType([T.StructField(f.name, f.dataType) for f in cleaned.schema]))
