@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a narrow table dealt out evenly, for costly work on each that would else follow the table's few files."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder for tables a query writes, beside the checkpoints of the cluster.
 

@@ -12,7 +12,7 @@ from eventloom.plans import city as city_plan, feeds
 from eventloom.schemas import CANDIDATE, EVENT, HEALTH, RAW, arrival, ddl, shape
 from eventloom.streaming import jobs as streams
 
-from .base import AS_OF, NOW, query, scratch, table
+from .base import AS_OF, NOW, query, scratch, spread, table
 from .feeds import _JSONLD, _jsonld_pages, _json
 from .views import CARDS, PRIORITIES, SOCIAL, cards, social
 
@@ -479,7 +479,7 @@ SELECT id, source, coalesce(r.description, f.description) AS description FROM r
 def stream_merge(spark, sf_dir):
     rows = shape(cards(spark, sf_dir), EVENT, ["seq"])
     folder = scratch(spark)
-    rows.coalesce(1).write.parquet(f"{folder}/in")
+    spread(rows).write.parquet(f"{folder}/in")  # a task reads and sorts a share of what landed, however much that is
     store = tb.KeyedTable(spark, f"{folder}/events", EVENT)
     stream = streams.landed_stream(spark, f"{folder}/in", f"{ddl(EVENT)}, seq bigint")
     streams.stream_merge(stream, store, PRIORITIES, f"{folder}/state").awaitTermination()

@@ -1,6 +1,9 @@
 """Costly work on each row follows the rows, not the few files they lie in."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
+
+from checks import jobs
 from eventloom.sources import html_feeds
 
 
@@ -22,3 +25,14 @@ def test_rows_of_pages_are_passed_on_run_by_run(spark, monkeypatch):
     rows = [tuple(r.values()) for batch in made for r in batch.to_pylist()]
     assert [r[3:6] for r in rows] == [
         (1, 0, "a"), (1, 1, "b"), (None, 0, "c" * 30), (4, 0, "d"), *[(5, i, w) for i, w in enumerate("efghi")]]
+
+
+def test_what_lands_for_the_stream_lies_in_several_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(60).selectExpr(
+        "id AS event_id", "cast('2024-01-05 10:00:00' AS timestamp_ntz) AS ts", "id % 7 AS user_id", "'view' AS event_type",
+        "cast(id AS double) AS value", "'{}' AS props",
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(jobs, "scratch", lambda _: str(tmp_path / "work"))
+    assert jobs.stream_merge(spark, str(tmp_path)).count() == 7
+    assert len(list((tmp_path / "work" / "in").glob("part-*"))) > 1
