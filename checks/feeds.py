@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom import vocab
 from eventloom.sources import html_feeds, json_feeds, structured
 
-from .base import SITE, query, scratch, table
+from .base import SITE, query, scratch, spread, table
 from .views import landed, pages_of
 
 DAY = "strftime(ts, '%Y-%m-%d')"
@@ -379,7 +379,7 @@ def _jsonld_pages(spark, sf_dir):
         "concat('<html><head><script type=\"application/ld+json\">', ld, '</script>', "
         "'<script>var x=1;</script></head><body>x</body></html>')"
     )
-    parts = table(spark, sf_dir, "part").withColumn("ev", event)
+    parts = spread(table(spark, sf_dir, "part")).withColumn("ev", event)
     return landed(
         parts.withColumn("ld", F.expr(nested)).select(
             F.expr(page).alias("content"), F.col("p_partkey").alias("page"),

@@ -72,13 +72,12 @@ def jsonld_objects(raw: DataFrame, kept: list[str]) -> DataFrame:
             *kept, "_path", F.posexplode(F.coalesce(inner(), F.array("obj"))).alias("_at", "obj")
         ).withColumn("_path", F.concat("_path", F.array("_at"))).drop("_at")
     deep = F.when(inner().isNotNull(), F.to_json("obj"))
-    # Only rows nested deeper still go through Python.
-    rows = rows.withColumn("_deep", deep)
-    flat = rows.filter("_deep IS NULL").select(*kept, F.concat("_path", F.array(F.lit(0))).alias("_path"), "obj")
+    # One pass over all objects: Python is given the text of those nested deeper still, and null for the others.
     rest = F.transform(_flatten_deep(F.col("_deep")), lambda t: F.try_parse_json(t))
-    nested = rows.filter("_deep IS NOT NULL").select(*kept, "_path", F.posexplode(rest).alias("_at", "obj"))
-    nested = nested.withColumn("_path", F.concat("_path", F.array("_at"))).drop("_at")
-    return flat.unionByName(nested.select(*flat.columns))
+    rows = rows.withColumn("_deep", deep).select(
+        *kept, "_path", F.posexplode(F.when(F.col("_deep").isNull(), F.array("obj")).otherwise(rest)).alias("_at", "obj")
+    )
+    return rows.withColumn("_path", F.concat("_path", F.array("_at"))).drop("_at")
 
 
 def _is(value: Column, kind: str) -> Column:

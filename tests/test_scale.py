@@ -1,10 +1,50 @@
 """Costly work on each row follows the rows, not the few files they lie in."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from checks import jobs
-from eventloom.sources import html_feeds
+from checks import feeds as feed_checks, jobs
+from eventloom.sources import html_feeds, structured
+
+from test_sources import EVENT, landed, page
+
+
+@pytest.fixture
+def parts(spark, tmp_path):
+    """A part table in one file."""
+    rows = spark.range(40).selectExpr(
+        "id AS p_partkey", "concat('part ', id) AS p_name", "'Brand' AS p_brand", "'TYPE' AS p_type", "cast(id AS int) AS p_size",
+        "10.0D + id AS p_retailprice",
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def tasks_with_rows(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_pages_of_one_file_are_read_by_several_tasks(spark, parts):
+    assert tasks_with_rows(feed_checks._jsonld_pages(spark, parts)) > 1
+    assert tasks_with_rows(feed_checks.structured.jsonld_events(feed_checks._jsonld_pages(spark, parts))) > 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_structured_data_is_parsed_once(spark):
+    read = structured.jsonld_events(landed(spark, page(EVENT)))
+    assert plan(read).count("regexp_extract_all") == 1
+
+
+def test_objects_keep_their_places(spark):
+    deep = [[[[[{"@graph": [[{**EVENT, "name": "Third"}, {**EVENT, "name": "Fourth"}]]}]]]]]
+    pages = landed(spark, page({**EVENT, "name": "First"}, [EVENT, {**EVENT, "name": "Second"}]) + page(deep, []))
+    read = structured.jsonld_events(pages).orderBy("seq").select("title", "seq.pos").collect()
+    assert [r.title for r in read] == ["First", "Концерт", "Second", "Third", "Fourth"]
+    assert [r.pos for r in read] == [[0, 0, 0, 0, 0], [1, 0, 0, 0, 0], [1, 1, 0, 0, 0], [2, 0, 0, 0, 0], [2, 0, 0, 0, 1]]
 
 
 def test_rows_of_pages_are_passed_on_run_by_run(spark, monkeypatch):
