@@ -563,7 +563,8 @@ def clean_markdown_structure(spark, sf_dir):
         "<li>side</ol></ul><table><tr><th>name</th><th>size</th></tr><tr><td>', p_type, '</td><td>', p_size, '</td></tr></table>"
         "<blockquote><p>Said <em>so</em>.</blockquote><script>x < 1</script><h2>End</h2><footer>f</footer></body></html>')"
     )
-    return html_feeds.clean_markdown(table(spark, sf_dir, "part").select("p_partkey", page.alias("content")), "content")
+    parts = spread(table(spark, sf_dir, "part"))
+    return html_feeds.clean_markdown(parts.select("p_partkey", page.alias("content")), "content")
 
 
 @query("""

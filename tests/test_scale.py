@@ -30,6 +30,10 @@ def test_pages_of_one_file_are_read_by_several_tasks(spark, parts):
     assert tasks_with_rows(feed_checks.structured.jsonld_events(feed_checks._jsonld_pages(spark, parts))) > 1
 
 
+def test_markdown_of_one_file_is_made_by_several_tasks(spark, parts):
+    assert tasks_with_rows(feed_checks.clean_markdown_structure(spark, parts)) > 1
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
