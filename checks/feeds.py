@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom import vocab
+from eventloom.session import staged
 from eventloom.sources import html_feeds, json_feeds, structured
 
 from .base import SITE, query, scratch, spread, table
@@ -423,7 +424,7 @@ SELECT 'https://site.example/p' || p_partkey, 'Model ' || p_partkey FROM part
 WHERE p_partkey % 6 = 0 AND NOT (p_partkey % 5 <> 4 AND p_partkey % 4 <> 3)
 """)
 def structured_or_model(spark, sf_dir):
-    read = structured.jsonld_events(_jsonld_pages(spark, sf_dir), "other")
+    read = staged(structured.jsonld_events(_jsonld_pages(spark, sf_dir), "other"), f"{scratch(spark)}/structured")
     answers = table(spark, sf_dir, "part").filter("p_partkey % 6 = 0").select(
         F.concat(F.lit('[{"title":"Model '), F.col("p_partkey").cast("string"), F.lit('"}]')).alias("content"),
         F.concat(F.lit("https://site.example/p"), F.col("p_partkey").cast("string")).alias("url"),

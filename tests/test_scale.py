@@ -38,9 +38,11 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_structured_data_is_parsed_once(spark):
+def test_structured_data_is_parsed_once(spark, parts):
     read = structured.jsonld_events(landed(spark, page(EVENT)))
     assert plan(read).count("regexp_extract_all") == 1
+    both = feed_checks.structured_or_model(spark, parts)
+    assert "regexp_extract_all" not in plan(both)  # read from what was staged
 
 
 def test_objects_keep_their_places(spark):
