@@ -77,15 +77,19 @@ def _ranges(codes: list[int]) -> str:
 
 
 def _expand(text: Column) -> Column:
-    """Spell out characters with longer ASCII forms; only rows that hold any are taken apart."""
+    """Spell out characters with longer ASCII forms; only rows that hold any are taken apart.
+
+    The class of these has hundreds of ranges, so text of ASCII and Cyrillic characters only isn't tested with it.
+    """
     _, _, longer = _ascii_forms()
     rare = _ranges([ord(c) for c in longer])
+    maybe = text.rlike(r"[^\x00-\x7f\x{400}-\x{4ff}]")
     forms = F.str_to_map(
         F.lit("\x01".join(f"{c}\x02{form}" for c, form in longer.items())), F.lit("\x01"), F.lit("\x02")
     )
     pieces = F.regexp_extract_all(text, F.lit(f"[^{rare}]+|[{rare}]"), F.lit(0))
     spelled = F.array_join(F.transform(pieces, lambda p: F.coalesce(forms[p], p)), "")
-    return F.when(text.rlike(f"[{rare}]"), spelled).otherwise(text)
+    return F.when(maybe & text.rlike(f"[{rare}]"), spelled).otherwise(text)
 
 
 def transliterate(text: Column) -> Column:

@@ -131,6 +131,12 @@ def stage(feeds: list[Feed], city: str, path: str) -> list[tuple]:
     ]
 
 
+def side_by_side(*steps: Callable) -> list:
+    """What steps that don't need each other give: the last tasks of one leave no cores idle."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [done.result() for done in [pool.submit(step) for step in steps]]
+
+
 _TALLY = "source string, city string, counter string, n bigint, feed_order int"
 _OUTCOMES = "feed_order int, source string, city string, warning string"
 
@@ -186,34 +192,39 @@ def run_city(
 
     peers = card_ops.stored_peers(rows, kept)
     peers = staged(peers.filter(F.size(card_ops.failed_rules(peers)) == 0), f"{folder}/peers")
-    merged = staged(merge.merge_cards(rows, peers, priorities), f"{folder}/merged")
-    pairs = staged(merge.merge_pairs(rows, peers, priorities), f"{folder}/pairs")
-
-    total = merged.count()
-    known = merged.join(stored.select("id"), "id", "left_semi").count()
-    parts = run_parts(spark, tally, [o[:4] for o in outcomes])
-    done = CityRun(
-        parts, reports.run_summary(parts, ["city"]), merged, pairs,
-        merge.near_misses(rows, peers), total - known, known, spark, folder,
+    merged, pairs = side_by_side(
+        lambda: staged(merge.merge_cards(rows, peers, priorities), f"{folder}/merged"),
+        lambda: staged(merge.merge_pairs(rows, peers, priorities), f"{folder}/pairs"),
     )
+    counts = [lambda: merged.count(), lambda: merged.join(stored.select("id"), "id", "left_semi").count()]
+    parts = run_parts(spark, tally, [o[:4] for o in outcomes])
+
+    def result(total: int, known: int) -> CityRun:
+        return CityRun(
+            parts, reports.run_summary(parts, ["city"]), merged, pairs,
+            merge.near_misses(rows, peers), total - known, known, spark, folder,
+        )
+
     if dry_run:
-        return done
+        return result(*side_by_side(*counts))
     # One new version of the table: the merged cards, without what the snapshot sync drops and what is past.
     current_cards, past_cards = maintenance.purge_past(merged, day, city)
     gone = dropped.select("id").unionAll(maintenance.purge_past(kept, day, city)[1].select("id"))
     gone = gone.join(merged.select("id"), "id", "left_anti").unionAll(past_cards.select("id"))
     quality = reports.source_quality(reports.extracted_by_source(rows), pairs, city, day)
-    schemas = {
-        name: staged(frame, f"{folder}/{name}").schema.json() for name, frame in (
-            ("current", current_cards), ("gone", gone.select("id")), ("venues", venues), ("quality_rows", quality),
-            ("health", health_rows(parts, moment, duration)))
+    frames = {
+        "current": current_cards, "gone": gone.select("id"), "venues": venues, "quality_rows": quality,
+        "health": health_rows(parts, moment, duration),
     }
+    writes = [partial(staged, frame, f"{folder}/{name}") for name, frame in frames.items()]
+    total, known, *written = side_by_side(*counts, *writes)
+    schemas = {name: frame.schema.json() for name, frame in zip(frames, written)}
     number = runs.commit(last, {
         "run_id": run_id, "folder": folder, "base": base, "as_of": as_of.isoformat(), "now": now.isoformat(),
         "archives": [o[0] for o in outcomes if o[4]], "schemas": schemas,
     })
     apply_run(tables, city, number, again=False)
-    return done
+    return result(total, known)
 
 
 def settle(tables: Tables, city: str) -> int | None:

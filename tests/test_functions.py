@@ -36,6 +36,14 @@ def test_slug_equals_a_plain_model(column):
     assert column(lambda v: text.slugify(v), titles) == [plain_slug(t) for t in titles]
 
 
+def test_slugs_of_ascii_and_cyrillic_titles_skip_the_class_of_rare_characters(column):
+    assert column(text._expand, ["User 1", "Ёлка: ночь", "№5", "ночь Ⅷ", "", None]) == ["User 1", "Ёлка: ночь", "-o5", "ночь viii", "", None]
+    # None of the skipped characters has a longer form.
+    assert not [c for c in text._ascii_forms()[2] if ord(c) < 0x80 or 0x400 <= ord(c) <= 0x4FF]
+    titles = [chr(c) + "1" for c in [*range(0x80), *range(0x400, 0x500)]]
+    assert column(lambda v: text.slugify(v), titles) == [plain_slug(t) for t in titles]
+
+
 def test_normal_form_and_fingerprint(column):
     assert column(text.normalize_text, ["  Ёлка: «Ночь», день_1! ", "..."]) == ["елка ночь день_1", ""]
     same = lambda v: text.fingerprint(v, F.lit("2026-06-15"), F.lit("Дом музыки"))

@@ -1,5 +1,6 @@
 import datetime
 import shutil
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,21 @@ def test_notes_stay_with_later_versions(spark, tmp_path):
     assert table.notes() == ["run 1"]
     with pytest.raises(keyed.Conflict):
         table.merge(given, None, 1, "run 2")
+
+
+def test_steps_that_need_only_the_staged_rows_run_side_by_side(spark, tmp_path, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+
+    def meeting(step):
+        def met(*args):
+            both.wait()  # broken if the other step isn't begun until this one has ended
+            return step(*args)
+        return met
+
+    for name in ("merge_cards", "merge_pairs"):
+        monkeypatch.setattr(city_plan.merge, name, meeting(getattr(city_plan.merge, name)))
+    tables = city_plan.Tables(spark, str(tmp_path))
+    done = run(spark, tables, FIRST)
+    assert (done.inserted, done.updated) == (1, 0)
+    again = run(spark, tables, FIRST + SECOND, LATER, "2")
+    assert (again.inserted, again.updated) == (1, 1)
